@@ -8,13 +8,14 @@ already planned on them.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "version bigint, data string"
+MANIFEST = "version bigint, written bigint, data string"
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
@@ -28,16 +29,21 @@ def current_version(spark: SparkSession, path: str) -> tuple[int, str | None]:
     manifest = _manifest(spark, path)
     if manifest is None:
         return 0, None
-    row = manifest.agg(F.max(F.struct("version", "data")).alias("m")).first()
+    row = manifest.agg(F.max(F.struct("version", "written", "data")).alias("m")).first()
     return (row.m.version, row.m.data) if row.m else (0, None)
 
 
-def replace_table(df: DataFrame, path: str) -> int:
+def replace_table(df: DataFrame, path: str, version: int | None = None) -> int:
+    """Write ``df`` as the next version, or as ``version`` if that is not older.
+
+    A repeated version replaces the earlier attempt: the later row wins.
+    """
     spark = df.sparkSession
-    version = current_version(spark, path)[0] + 1
+    version = current_version(spark, path)[0] + 1 if version is None else version
     data = f"{path}/data/v{version}-{uuid.uuid4().hex}"
     df.write.parquet(data)
-    spark.createDataFrame([(version, data)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    row = (version, time.time_ns(), data)
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return version
 
 
