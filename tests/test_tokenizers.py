@@ -1,0 +1,83 @@
+"""External tokenizers and next-fit packing against brute force."""
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from evalweave import tokenizers as T
+
+
+class Drifting:
+    """Joins lose a token when a word ends in z: counts drift on re-tokenizing."""
+
+    def tokenize(self, text):
+        return text.replace("z ", "z").split()
+
+    def join(self, toks):
+        return " ".join(toks)
+
+
+def test_fit_reaches_the_length():
+    t = T.load_tokenizer("words")
+    assert T.fit_one(t, "a b c d", 2, []) == ("a b", True, 0)
+    text, exact, used = T.fit_one(t, "a b", 5, [])
+    assert (text.split(), exact, used) == (["a", "b", "a", "b", "a"], True, 0)
+    text, exact, used = T.fit_one(t, "a", 4, ["x y", "w"])
+    assert exact and len(text.split()) == 4 and used >= 2
+    assert T.fit_one(t, " ", 4, [])[1] is False
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("az ", max_size=30), st.integers(1, 12), st.lists(st.text("az ", min_size=1, max_size=8), max_size=3))
+def test_fit_never_exceeds(text, length, supply):
+    t = Drifting()
+    got, exact, _ = T.fit_one(t, text, length, supply)
+    n = len(t.tokenize(got))
+    assert n <= length or not exact
+    if exact:
+        assert n == length
+
+
+def test_arrow_functions(spark):
+    df = spark.createDataFrame([("a b  c", ["x"]), ("", ["x y"])], "text string, supply array<string>")
+    got = df.select(T.count_with("words")("text"), T.tokens_with("words")("text"),
+                    T.fit_external("words", 4)("text", "supply").alias("f")).collect()
+    assert [(r[0], r[1]) for r in got] == [(3, ["a", "b", "c"]), (0, [])]
+    assert [len(r.f.text.split()) for r in got] == [4, 4]
+
+
+def test_file_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.WordLevel({"a": 0, "b": 1, "[UNK]": 2}, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.save(str(tmp_path / "tokenizer.json"))
+    df = spark.createDataFrame([("a b a",)], "text string")
+    assert df.select(T.count_with(str(tmp_path))("text")).first()[0] == 3
+
+
+def next_fit(texts, length):
+    """Direct statement of the rule: fill by estimate, check, fill again."""
+    out, i, sample = [], 0, 0
+    while i < len(texts):
+        held = 0
+        while i < len(texts) and held < length:
+            need, got = length - held, 0
+            while i < len(texts) and got < need:
+                out.append(sample)
+                got += max(len(texts[i]) // 4, 1)
+                held += len(texts[i].split())
+                i += 1
+        sample += 1
+    return out
+
+
+def test_next_fit_against_brute_force(spark):
+    texts = [("w " * (1 + i * 7 % 13) + "long" * (i % 5)).strip() for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = T.pack_next_fit(df, "id", "text", 20).orderBy("id").collect()
+    assert [r.sample for r in got] == next_fit(texts, 20)
+    assert [r.id for r in got] == list(range(120))  # each text once
+    shards = T.pack_next_fit(df, "id", "text", 20, shard_size=50)
+    sums = shards.where("complete").groupBy("shard", "sample").agg(F.sum("n_tokens").alias("n"))
+    assert sums.where("n < 20").count() == 0 and shards.count() == 120
