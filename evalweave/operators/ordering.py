@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalweave.operators.sizes import measured
 from evalweave.session import materialize
 
 BUCKET_BITS = 21
@@ -40,39 +41,55 @@ def _before(weight: str, by: Sequence[str], order: str) -> Column:
     return F.coalesce(F.sum(weight).over(w), F.lit(0)).cast("bigint")
 
 
-def running_total(
-    df: DataFrame,
-    order: str,
-    group: str | Sequence[str] = (),
-    weight: Column | None = None,
-    start: str = "start",
-    total: str = "total",
+def running_totals(
+    df: DataFrame, order: str, weights: dict[str, Column], group: str | Sequence[str] = (),
 ) -> DataFrame:
-    """Add the exclusive running sum of ``weight`` and the group's total.
+    """Add, for each named weight, ``name`` (the sum before the row, in its group)
+    and ``name_total`` (the sum over the group).
 
-    ``order`` is a non-null bigint, unique within its group. With the default
-    weight of 1, ``start`` is the 0-based position and ``total`` the group size.
+    ``order`` is a non-null bigint, unique within its group.
     """
     group = as_list(group)
-    base = df.withColumn("__w", F.lit(1).cast("bigint") if weight is None else weight.cast("bigint"))
+    names = list(weights)
+    base = df.withColumns({f"__w_{n}": w.cast("bigint") for n, w in weights.items()})
     base = base.withColumn("__mid", F.shiftright(order, BUCKET_BITS))
 
-    mid = base.groupBy(*group, "__mid").agg(F.sum("__w").alias("__sum"))
+    def sums(source: str, target: str) -> list[Column]:
+        return [F.sum(f"{source}_{n}").alias(f"{target}_{n}") for n in names]
+
+    mid = base.groupBy(*group, "__mid").agg(*sums("__w", "__s"))
     mid = mid.withColumn("__hi", F.shiftright("__mid", BUCKET_BITS))
-    hi = mid.groupBy(*group, "__hi").agg(F.sum("__sum").alias("__hi_sum"))
+    hi = mid.groupBy(*group, "__hi").agg(*sums("__s", "__h"))
     hi = hi.select(
         *group, "__hi",
-        _before("__hi_sum", group, "__hi").alias("__hi_start"),
-        F.sum("__hi_sum").over(W.partitionBy(*group)).alias(total),
+        *[_before(f"__h_{n}", group, "__hi").alias(f"__before_{n}") for n in names],
+        *[F.sum(f"__h_{n}").over(W.partitionBy(*group)).alias(f"{n}_total") for n in names],
     )
     offsets = null_safe_join(mid, hi, [*group, "__hi"]).select(
-        *group, "__mid", total,
-        (F.col("__hi_start") + _before("__sum", [*group, "__hi"], "__mid")).alias("__mid_start"),
+        *group, "__mid", *[f"{n}_total" for n in names],
+        *[(F.col(f"__before_{n}") + _before(f"__s_{n}", [*group, "__hi"], "__mid")).alias(f"__from_{n}")
+          for n in names],
     )
     placed = null_safe_join(base, offsets, [*group, "__mid"])
-    return placed.withColumn(
-        start, F.col("__mid_start") + _before("__w", [*group, "__mid"], order)
-    ).select(*df.columns, start, total)
+    return placed.select(*df.columns, *[
+        c for n in names for c in (
+            (F.col(f"__from_{n}") + _before(f"__w_{n}", [*group, "__mid"], order)).alias(n),
+            F.col(f"{n}_total"))])
+
+
+def running_total(
+    df: DataFrame,
+    order: str,
+    group: str | Sequence[str] = (),
+    weight: Column | None = None,
+    start: str = "start",
+    total: str = "total",
+) -> DataFrame:
+    """``running_totals`` for one weight; with the default weight of 1, ``start`` is
+    the 0-based position and ``total`` the group size."""
+    weight = F.lit(1) if weight is None else weight
+    placed = running_totals(df, order, {"__t": weight}, group)
+    return placed.withColumnsRenamed({"__t": start, "__t_total": total})
 
 
 def number_sorted(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
@@ -120,10 +137,9 @@ def limit_per_group(df: DataFrame, group: str, order: str, limit: int | float) -
         return df
     placed = running_total(df.select(group, order), order, group)
     wanted = F.ceil(F.col("total") * F.lit(limit)) if isinstance(limit, float) else F.lit(limit)
-    kept = placed.where(F.col("start") < wanted).select(group, order)
-    return df.join(kept.withColumnRenamed(group, "__g").withColumnRenamed(order, "__o"),
-                   F.col(group).eqNullSafe(F.col("__g")) & (F.col(order) == F.col("__o")),
-                   "left_semi")
+    kept = measured(placed.where(F.col("start") < wanted).select(
+        F.col(group).alias("__g"), F.col(order).alias("__o")))
+    return df.join(kept, F.col(group).eqNullSafe(F.col("__g")) & (F.col(order) == F.col("__o")), "left_semi")
 
 
 def first_user_turn(turns: DataFrame, human: str) -> DataFrame:
@@ -152,16 +168,11 @@ def turn_requests(turns: DataFrame, human: str, mode: str) -> DataFrame:
     """
     if mode not in ("every", "last", "every_with_gt"):
         raise ValueError(f"unknown mode {mode!r}")
-    placed = running_total(turns.select("conv_id", "turn"), "turn", "conv_id", start="seq", total="n_turns")
-    sizes = turns.select(
-        "conv_id", "turn",
-        F.when((F.lit(mode) == "every_with_gt") | (F.col("role") == human),
-               F.length("text")).otherwise(0).alias("chars"),
-    )
-    history = running_total(sizes, "turn", "conv_id", F.col("chars"),
-                            start="history_chars", total="chat_chars")
-    rows = turns.join(placed, ["conv_id", "turn"]).join(
-        history.select("conv_id", "turn", "history_chars"), ["conv_id", "turn"])
+    chars = F.when((F.lit(mode) == "every_with_gt") | (F.col("role") == human), F.length("text"))
+    narrow = turns.select("conv_id", "turn", F.coalesce(chars, F.lit(0)).alias("__chars"))
+    placed = running_totals(
+        narrow, "turn", {"seq": F.lit(1), "history_chars": F.col("__chars")}, "conv_id")
+    rows = turns.join(placed.select("conv_id", "turn", "seq", "history_chars"), ["conv_id", "turn"])
     requests = rows.where(F.col("role") == human).select(
         "conv_id", "turn", F.col("text").alias("prompt"),
         F.col("seq").alias("history_turns"), "history_chars", "seq",

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalweave.operators.ordering import as_list, null_safe_join
+from evalweave.operators.sizes import measured
 
 BUCKETS_PER_E = 4096
 
@@ -58,11 +59,11 @@ def distribution(
     summary = ["count", "__sum", "min", "max"]
     wanted = placed.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__from")) & (
         r < F.col("__from") + F.col("__n"))))
-    hits = wanted.where(F.size("__ranks") > 0)
+    hits = measured(wanted.where(F.size("__ranks") > 0).select(
+        *group, "__b", "__from", "__ranks", *summary))
 
     # second pass: distinct values of the hit buckets with their ranks
-    found = null_safe_join(values.where(F.col("__x").isNotNull()), hits.select(
-        *group, "__b", "__from", "__ranks", *summary), [*group, "__b"])
+    found = null_safe_join(values.where(F.col("__x").isNotNull()), hits, [*group, "__b"])
     per_value = found.groupBy(*group, "__b", "__x").agg(
         F.count("*").alias("__c"), F.first("__from").alias("__from"),
         F.first("__ranks").alias("__ranks"), *[F.first(c).alias(c) for c in summary])

@@ -14,6 +14,7 @@ from evalweave.functions.text import cut_tokens, nonblank, tile_tokens, token_co
 from evalweave.operators.filters import valid_multiturn
 from evalweave.operators.joins import cycle_assign
 from evalweave.operators.ordering import running_total
+from evalweave.operators.sizes import bounded, measured
 from evalweave.session import materialize
 
 
@@ -23,19 +24,24 @@ def fit_length(text: str, length: int) -> tuple[Column, Column]:
     return tile_tokens(text, length), nonblank(text)
 
 
+def _seeded(corpus: DataFrame, key: str, text: str, n_samples: int) -> DataFrame:
+    """(sample, key, text) with the corpus cycled over ``n_samples`` samples."""
+    usable = corpus.where(nonblank(text))
+    # the filter reads the texts, the numbering then only the keys
+    assigned = cycle_assign(materialize(usable.select(key)), key, n_samples)
+    return usable.select(key, text).join(bounded(assigned, n_samples), key)
+
+
 def build_tiled(corpus: DataFrame, key: str, text: str, length: int, n_samples: int) -> DataFrame:
     """Each text cut or repeated to ``length``; first ``n_samples`` or cycled."""
-    usable = corpus.where(nonblank(text))
-    assigned = cycle_assign(usable, key, n_samples)
-    return assigned.join(usable.select(key, text), key).select(
+    return _seeded(corpus, key, text, n_samples).select(
         "sample", key, tile_tokens(text, length).alias("question"))
 
 
 def build_single(corpus: DataFrame, key: str, text: str, length: int, n_samples: int) -> DataFrame:
     """One seed text per sample, repeated to ``length``, with the exactness flag."""
-    usable = corpus.where(nonblank(text))
     fitted, exact = fit_length(text, length)
-    return cycle_assign(usable, key, n_samples).join(usable.select(key, text), key).select(
+    return _seeded(corpus, key, text, n_samples).select(
         "sample", key, fitted.alias("question"), exact.alias("exact"))
 
 
@@ -79,7 +85,7 @@ def pack_by_budget(offsets: DataFrame, key: str, length: int) -> DataFrame:
 
 def _cut_and_join(members: DataFrame, corpus: DataFrame, key: str, text: str, by: list[str]) -> DataFrame:
     """Member texts cut to ``take`` and joined in order: at most L tokens a group."""
-    parts = members.join(corpus.select(key, text), key).select(
+    parts = corpus.select(key, text).join(members, key).select(
         *by, "at", "take", cut_tokens(tokens(text), "take").alias("part"))
     return parts.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("at", "part"))).alias("__parts"),
@@ -89,13 +95,21 @@ def _cut_and_join(members: DataFrame, corpus: DataFrame, key: str, text: str, by
         "n_tokens", "draws")
 
 
-def _number(samples: DataFrame, n_samples: int | None) -> DataFrame:
+def _finish_concat(
+    members: DataFrame, corpus: DataFrame, key: str, text: str, offsets: DataFrame, length: int,
+    n_samples: int | None,
+) -> DataFrame:
+    """Number the samples and write out their texts."""
+    buckets = offsets.select(F.floor(F.col("start") / length).cast("bigint").alias("bucket")).distinct()
     if n_samples is None:
-        placed = running_total(samples.select("bucket"), "bucket", start="sample")
-        numbers = placed.select("bucket", "sample")
-    else:
-        numbers = cycle_assign(samples, "bucket", n_samples)
-    return numbers
+        # one sample per bucket: numbered while the rows are still narrow
+        numbers = running_total(buckets, "bucket", start="sample").select("bucket", "sample")
+        members = members.join(numbers, "bucket").drop("bucket")
+        return _cut_and_join(members, corpus, key, text, ["sample"])
+    numbers = cycle_assign(buckets, "bucket", n_samples)
+    members = measured(members.join(numbers.select("bucket").distinct(), "bucket", "left_semi"))
+    built = _cut_and_join(members, corpus, key, text, ["bucket"])
+    return built.join(numbers, "bucket").select("sample", "question", "n_tokens", "draws")
 
 
 def build_concat(
@@ -110,15 +124,6 @@ def build_concat(
     return _finish_concat(members, corpus, key, text, offsets, length, n_samples)
 
 
-def _finish_concat(members, corpus, key, text, offsets, length, n_samples) -> DataFrame:
-    buckets = offsets.select(F.floor(F.col("start") / length).cast("bigint").alias("bucket")).distinct()
-    numbers = _number(buckets, n_samples)
-    if n_samples is not None:
-        members = members.join(numbers.select("bucket").distinct(), "bucket", "left_semi")
-    built = _cut_and_join(members, corpus, key, text, ["bucket"])
-    return built.join(numbers, "bucket").select("sample", "question", "n_tokens", "draws")
-
-
 def build_prefix(
     corpus: DataFrame, key: str, text: str, length: int, percent: int, n_samples: int | None = None,
 ) -> DataFrame:
@@ -133,8 +138,9 @@ def build_prefix(
     offsets = corpus_offsets(corpus, key, text)
     head = _copies(offsets, key, F.lit(shared)).select(
         key, "at", F.least(F.col("n_tokens"), F.lit(shared) - F.col("at")).alias("take"))
-    # one row of at most `shared` tokens
-    prefix = _cut_and_join(head, corpus, key, text, []).select("question").scalar()
+    # every member holds a token, so there are at most `shared` of them, and one row
+    # of `shared` tokens comes out
+    prefix = _cut_and_join(bounded(head, shared), corpus, key, text, []).select("question").scalar()
     behind = offsets.where(F.col("start") >= shared).agg(F.min("start")).scalar()
     turned = offsets.withColumn(
         "start", F.pmod(F.col("start") - F.coalesce(behind, F.lit(0)), F.col("total")))
@@ -161,7 +167,8 @@ def prefix_audit(samples: DataFrame, text: str) -> DataFrame:
 
 def multiturn_subset(turns: DataFrame, human: str, n: int = 0) -> DataFrame:
     """All turns of the first ``n`` valid chats."""
-    return turns.join(valid_multiturn(turns, human, n), "conv_id", "left_semi")
+    chats = valid_multiturn(turns, human, n)
+    return turns.join(bounded(chats, n) if n > 0 else chats, "conv_id", "left_semi")
 
 
 def multiturn_chats(chats: DataFrame, human: str) -> DataFrame:

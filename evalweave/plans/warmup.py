@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.metrics import slot_of, warmup_prompt, wave_of
 from evalweave.operators.joins import cycle_assign
+from evalweave.operators.sizes import bounded
+from evalweave.session import materialize
 
 
 def warmup_plan(
@@ -20,8 +22,8 @@ def warmup_plan(
     usable = prompts.where(F.col(text) != "")
     if pool is not None:
         usable = usable.orderBy(key).limit(pool)
-    plan = cycle_assign(usable, key, total).select(
+    plan = cycle_assign(materialize(usable.select(key)), key, total).select(
         "sample", key, wave_of("sample", concurrency).alias("wave"),
         slot_of("sample", concurrency).alias("slot"))
-    return plan.join(usable.select(key, text), key).select(
+    return usable.select(key, text).join(bounded(plan, total), key).select(
         "sample", "wave", "slot", key, warmup_prompt(text, "wave", "slot", reuse).alias("prompt"))
