@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave import constants as C
@@ -30,37 +30,32 @@ def dataset_prefix(dataset_type) -> Column:
     return F.try_element_at(known, col(dataset_type))
 
 
-def _whole(text: Column) -> Column:
-    return F.when(text.rlike(r"^\s*\+?\d+\s*$"), F.trim(text).try_cast("bigint"))
-
-
-def parse_case(text) -> Column:
-    """``[type:]in-out-concurrency-rate[-pfx]`` as a struct with a reject reason."""
-    raw = F.trim(col(text))
-    known = "|".join(C.DATASETS)
-    named = F.lower(F.regexp_extract(raw, rf"(?i)^({known}):", 1))
-    parts = F.split(F.regexp_replace(raw, rf"(?i)^({known}):", ""), "-")
-
-    def part(i: int) -> Column:
-        return F.get(parts, F.lit(i))
-
-    numbers = [_whole(part(i)) for i in range(3)]
-    rate = F.trim(part(3)).try_cast("double")
-    pfx = _whole(part(4))
+def parse_cases(df: DataFrame, text: str, case: str = "case") -> DataFrame:
+    """Add ``[type:]in-out-concurrency-rate[-pfx]`` as a struct with a reject reason.
+
+    The steps are separate projections, so that the text is split once per row.
+    """
+    raw = F.trim(text)
+    kind = F.lower(F.substring_index(raw, ":", 1))
+    named = (F.instr(raw, ":") > 0) & kind.isin(*C.DATASETS)
+    df = df.withColumn("__kind", F.when(named, kind).otherwise(F.lit(C.DEFAULT_DATASET)))
+    rest = F.when(named, F.substring(raw, F.instr(raw, ":") + 1, F.length(raw))).otherwise(raw)
+    df = df.withColumn("__parts", F.split(rest, "-"))
+    part = [F.get("__parts", F.lit(i)) for i in range(5)]
+    kinds = ["bigint", "bigint", "bigint", "double", "bigint"]
+    df = df.withColumn("__v", F.struct(*[p.try_cast(k).alias(f"v{i}") for i, (p, k) in enumerate(zip(part, kinds))]))
+    v = [F.col(f"__v.v{i}") for i in range(5)]
+    n = F.size("__parts")
     reason = (
-        F.when(raw.isNull() | (F.size(parts) < 4), F.lit("too few fields"))
-        .when(F.greatest(*[n.isNull() for n in numbers]) | rate.isNull(), F.lit("bad number"))
-        .when((F.size(parts) >= 5) & pfx.isNull(), F.lit("bad prefix share"))
-    )
-    return F.struct(
-        F.coalesce(F.nullif(named, F.lit("")), F.lit(C.DEFAULT_DATASET)).alias("dataset_type"),
-        numbers[0].alias("input_len"),
-        numbers[1].alias("out_len"),
-        numbers[2].alias("concurrency"),
-        rate.alias("request_rate"),
-        F.nullif(pfx, F.lit(0)).alias("pfx"),
-        reason.alias("reject_reason"),
+        F.when(F.col(text).isNull() | (n < 4), F.lit("too few fields"))
+        .when(F.greatest(*[x.isNull() for x in v[:4]]), F.lit("bad number"))
+        .when((n >= 5) & v[4].isNull(), F.lit("bad prefix share"))
     )
+    return df.withColumn(case, F.struct(
+        F.col("__kind").alias("dataset_type"), v[0].alias("input_len"), v[1].alias("out_len"),
+        v[2].alias("concurrency"), v[3].alias("request_rate"),
+        F.nullif(v[4], F.lit(0).cast("bigint")).alias("pfx"), reason.alias("reject_reason"),
+    )).drop("__kind", "__parts", "__v")
 
 
 def case_from_object(raw: Column | str, seq) -> Column:

@@ -28,23 +28,26 @@ def nonblank(text) -> Column:
     return F.coalesce(col(text).rlike(r"\S"), F.lit(False))
 
 
-def cut_tokens(toks, length) -> Column:
-    """The first ``length`` tokens, joined by a space."""
-    return F.array_join(F.slice(col(toks), F.lit(1), _int(length)), " ")
+def first_tokens(text, length) -> Column:
+    """The first ``length`` tokens; splitting stops there, whatever the text's size.
+
+    Two more pieces than tokens: one for a leading blank, one for the rest.
+    """
+    n = _int(length)
+    return F.slice(F.array_remove(F.split(col(text), r"\s+", n + 2), ""), F.lit(1), n)
 
 
 def truncate_tokens(text, length) -> Column:
-    return cut_tokens(tokens(text), length)
+    return F.array_join(first_tokens(text, length), " ")
 
 
 def tile_tokens(text, length) -> Column:
     """Repeat the tokens up to exactly ``length``; null when there is none."""
-    toks = tokens(text)
-    times = (_int(length) / F.size(toks)).cast("int") + F.lit(1)
-    tiled = F.slice(F.flatten(F.array_repeat(toks, times)), F.lit(1), _int(length))
-    return F.when(
-        F.size(toks) >= _int(length), cut_tokens(toks, length)
-    ).when(F.size(toks) > 0, F.array_join(tiled, " "))
+    toks, n = first_tokens(text, length), _int(length)
+    times = F.ceil(n / F.size(toks)).cast("int")
+    tiled = F.slice(F.flatten(F.array_repeat(toks, times)), F.lit(1), n)
+    return F.when(F.size(toks) == n, F.array_join(toks, " ")).when(
+        F.size(toks) > 0, F.array_join(tiled, " "))
 
 
 def approx_tokens(text) -> Column:

@@ -32,7 +32,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
         *[F.col(c) for c in right.columns if c not in on],
     )
     match = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in on]
-    return left.join(renamed, match, how).drop(*[f"__r_{k}" for k in on])
+    joined = left.join(renamed, match, how)
+    return joined if how == "left_semi" else joined.drop(*[f"__r_{k}" for k in on])
 
 
 def _before(weight: str, by: Sequence[str], order: str) -> Column:

@@ -59,14 +59,16 @@ def distribution(
     summary = ["count", "__sum", "min", "max"]
     wanted = placed.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__from")) & (
         r < F.col("__from") + F.col("__n"))))
-    hits = measured(wanted.where(F.size("__ranks") > 0).select(
+    empty = F.col("count") == 0
+    kept = measured(wanted.where((F.size("__ranks") > 0) | empty).select(
         *group, "__b", "__from", "__ranks", *summary))
+    hits = kept.where(~empty)
 
     # second pass: distinct values of the hit buckets with their ranks
-    found = null_safe_join(values.where(F.col("__x").isNotNull()), hits, [*group, "__b"])
-    per_value = found.groupBy(*group, "__b", "__x").agg(
-        F.count("*").alias("__c"), F.first("__from").alias("__from"),
-        F.first("__ranks").alias("__ranks"), *[F.first(c).alias(c) for c in summary])
+    found = null_safe_join(
+        values.where(F.col("__x").isNotNull()), hits.select(*group, "__b"), [*group, "__b"], "left_semi")
+    per_value = null_safe_join(
+        found.groupBy(*group, "__b", "__x").agg(F.count("*").alias("__c")), hits, [*group, "__b"])
     inside = W.partitionBy(*group, "__b").orderBy("__x").rowsBetween(W.unboundedPreceding, -1)
     per_value = per_value.withColumn(
         "__from", F.col("__from") + F.coalesce(F.sum("__c").over(inside), F.lit(0)))
@@ -90,7 +92,7 @@ def distribution(
         *group, "count", (F.col("__sum") / F.col("count")).alias("mean"), "min", "max",
         *[interpolate(n, p).alias(n) for n, p in probs.items()],
     )
-    none = placed.where(F.col("count") == 0).select(
+    none = kept.where(empty).select(
         *group, "count", *[F.lit(None).cast("double").alias(c) for c in ("mean", "min", "max", *probs)])
     return full.unionByName(none)
 

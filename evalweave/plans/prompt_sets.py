@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.functions.text import cut_tokens, nonblank, tile_tokens, token_count, tokens
+from evalweave.functions.text import nonblank, tile_tokens, token_count, tokens, truncate_tokens
 from evalweave.operators.filters import valid_multiturn
 from evalweave.operators.joins import cycle_assign
 from evalweave.operators.ordering import running_total
@@ -48,10 +48,11 @@ def build_single(corpus: DataFrame, key: str, text: str, length: int, n_samples:
 def corpus_offsets(corpus: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_tokens, start, total): token position of each text in the corpus.
 
-    Counting is the only pass over the texts, so its narrow result is kept.
+    Both steps leave narrow rows that are read several times: the counts, so that
+    the texts are tokenized once, and the positions, on which packing builds.
     """
     counts = materialize(corpus.where(nonblank(text)).select(key, token_count(text).alias("n_tokens")))
-    return running_total(counts, key, weight=F.col("n_tokens"))
+    return materialize(running_total(counts, key, weight=F.col("n_tokens")))
 
 
 def _copies(offsets: DataFrame, key: str, until: Column) -> DataFrame:
@@ -86,7 +87,7 @@ def pack_by_budget(offsets: DataFrame, key: str, length: int) -> DataFrame:
 def _cut_and_join(members: DataFrame, corpus: DataFrame, key: str, text: str, by: list[str]) -> DataFrame:
     """Member texts cut to ``take`` and joined in order: at most L tokens a group."""
     parts = corpus.select(key, text).join(members, key).select(
-        *by, "at", "take", cut_tokens(tokens(text), "take").alias("part"))
+        *by, "at", "take", truncate_tokens(text, "take").alias("part"))
     return parts.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("at", "part"))).alias("__parts"),
         F.sum("take").alias("n_tokens"), F.count("*").alias("draws"),
@@ -158,8 +159,8 @@ def prefix_audit(samples: DataFrame, text: str) -> DataFrame:
     The common prefix of a set is that of its smallest and largest member, so two
     mergeable aggregates replace a comparison per position.
     """
-    ends = samples.agg(
-        F.count("*").alias("samples"), F.min(tokens(text)).alias("a"), F.max(tokens(text)).alias("b"))
+    ends = samples.select(tokens(text).alias("__t")).agg(
+        F.count("*").alias("samples"), F.min("__t").alias("a"), F.max("__t").alias("b"))
     differs = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), False)
     return ends.select(
         "samples", F.when(differs > 0, differs - 1).otherwise(F.size("a")).cast("bigint").alias("shared"))

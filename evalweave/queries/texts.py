@@ -151,11 +151,6 @@ def read_chats(t):
     return S.corpus_turns(t.conversations, "human", X.HUMAN).select("conv_id", "turn", "text")
 
 
-@query("read_questions", "SELECT item_id, text AS question FROM benchmark WHERE regexp_matches(text, '\\S')")
-def read_questions(t):
-    return FL.filter_nonblank(t.benchmark.select("item_id", F.col("text").alias("question")), "question")
-
-
 VALID_SQL = """
 SELECT conv_id FROM conversations GROUP BY conv_id
 HAVING count(*) >= 2 AND count(*) % 2 = 0 AND arg_min(role, turn) = 'user'"""

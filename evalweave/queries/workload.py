@@ -450,8 +450,7 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey,
   CASE WHEN l_returnflag = 'R' THEN 'too few fields' WHEN l_suppkey % 11 = 0 THEN 'bad number' END AS reject_reason
 FROM ({CASE_TEXT_SQL})""")
 def parse_case(t):
-    return _case_text(t).select("l_orderkey", "l_linenumber", "l_partkey", K.parse_case("txt").alias("c")).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "c.*")
+    return K.parse_cases(_case_text(t), "txt").select("l_orderkey", "l_linenumber", "l_partkey", "case.*")
 
 
 @query("sample_count", """

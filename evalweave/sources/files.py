@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalweave import constants as C
-from evalweave.functions.cases import case_from_object, parse_case
+from evalweave.functions.cases import case_from_object, parse_cases
 from evalweave.functions.messages import decode_chunk, score_value
 from evalweave.functions.text import join_name_path, nonblank
 from evalweave.operators.filters import filter_nonblank, filter_role
@@ -192,27 +192,33 @@ def prompts_of(turns: DataFrame, human: str) -> DataFrame:
     return first_user_turn(turns, human).select("conv_id", F.col("text").alias("prompt"))
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Cases from a map or list of texts or objects; bad ones keep a reason."""
-    files = spark.read.text(path, wholetext=True)
+def case_rows(files: DataFrame, text: str) -> DataFrame:
+    """Cases from JSON text: a map or list of texts or objects. Bad ones keep a
+    reason; the other columns of ``files`` stay."""
+    others = [c for c in files.columns if c != text]
     entries = F.transform(
-        F.map_entries(F.from_json("value", "map<string,variant>")),
+        F.map_entries(F.from_json(text, "map<string,variant>")),
         lambda e: F.struct(e["key"].alias("seq"), e["value"].alias("raw")))
-    items = F.transform(F.from_json("value", "array<variant>"), lambda v, i: F.struct(
+    items = F.transform(F.from_json(text, "array<variant>"), lambda v, i: F.struct(
         (i + 1).cast("string").alias("seq"), v.alias("raw")))
-    is_list = F.startswith(F.ltrim("value"), F.lit("["))
-    rows = files.select(F.explode(F.when(is_list, items).otherwise(entries)).alias("e")).select("e.*")
+    is_list = F.startswith(F.ltrim(text), F.lit("["))
+    rows = files.select(*others, F.explode(F.when(is_list, items).otherwise(entries)).alias("e"))
+    rows = rows.select(*others, "e.*")
+    rows = parse_cases(rows.withColumn("__text", F.col("raw").cast("string")), "__text")
     kind = F.schema_of_variant("raw")
     as_object = case_from_object("raw", "seq")
-    as_text = parse_case(F.col("raw").cast("string"))
     fields = ["dataset_type", "input_len", "out_len", "concurrency", "request_rate", "pfx", "reject_reason"]
-    text_case = F.struct(F.col("seq").alias("seq"), *[as_text[f].alias(f) for f in fields])
+    text_case = F.struct(F.col("seq").alias("seq"), *[F.col(f"case.{f}").alias(f) for f in fields])
     bad = F.struct(
         F.col("seq").alias("seq"), *[F.lit(None).cast(t).alias(f) for f, t in zip(
             fields, ["string", "bigint", "bigint", "bigint", "double", "bigint"])],
         F.lit("neither text nor object").alias("reject_reason"))
     case = F.when(kind.startswith("OBJECT"), as_object).when(kind == "STRING", text_case).otherwise(bad)
-    return rows.select(case.alias("c")).select("c.*")
+    return rows.select(*others, case.alias("c")).select(*others, "c.*")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    return case_rows(spark.read.text(path, wholetext=True), "value")
 
 
 def decoded_chunks(chunks: DataFrame) -> DataFrame:
