@@ -36,7 +36,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return joined if how == "left_semi" else joined.drop(*[f"__r_{k}" for k in on])
 
 
-def _before(weight: str, by: Sequence[str], order: str) -> Column:
+def sum_before(weight: str, by: Sequence[str], order: str) -> Column:
     """Sum over the rows before this one in its window partition."""
     w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return F.coalesce(F.sum(weight).over(w), F.lit(0)).cast("bigint")
@@ -63,18 +63,18 @@ def running_totals(
     hi = mid.groupBy(*group, "__hi").agg(*sums("__s", "__h"))
     hi = hi.select(
         *group, "__hi",
-        *[_before(f"__h_{n}", group, "__hi").alias(f"__before_{n}") for n in names],
+        *[sum_before(f"__h_{n}", group, "__hi").alias(f"__before_{n}") for n in names],
         *[F.sum(f"__h_{n}").over(W.partitionBy(*group)).alias(f"{n}_total") for n in names],
     )
     offsets = null_safe_join(mid, hi, [*group, "__hi"]).select(
         *group, "__mid", *[f"{n}_total" for n in names],
-        *[(F.col(f"__before_{n}") + _before(f"__s_{n}", [*group, "__hi"], "__mid")).alias(f"__from_{n}")
+        *[(F.col(f"__before_{n}") + sum_before(f"__s_{n}", [*group, "__hi"], "__mid")).alias(f"__from_{n}")
           for n in names],
     )
     placed = null_safe_join(base, offsets, [*group, "__mid"])
     return placed.select(*df.columns, *[
         c for n in names for c in (
-            (F.col(f"__from_{n}") + _before(f"__w_{n}", [*group, "__mid"], order)).alias(n),
+            (F.col(f"__from_{n}") + sum_before(f"__w_{n}", [*group, "__mid"], order)).alias(n),
             F.col(f"{n}_total"))])
 
 
@@ -107,7 +107,7 @@ def number_sorted(df: DataFrame, order: Sequence[Column | str], name: str = "ran
     ).withColumn("__part", F.shiftright("__pos", 33))
     in_part = F.col("__pos") - F.shiftleft(F.col("__part"), 33)
     sizes = pinned.groupBy("__part").agg((F.max(in_part) + 1).alias("__n"))
-    offsets = sizes.select("__part", _before("__n", [], "__part").alias("__offset"))
+    offsets = sizes.select("__part", sum_before("__n", [], "__part").alias("__offset"))
     # one row per shuffle partition, so the broadcast is bounded
     return pinned.join(F.broadcast(offsets), "__part").withColumn(
         name, (F.col("__offset") + in_part + 1).cast("bigint")

@@ -1,8 +1,10 @@
 """Exact quantiles without gathering a group's values in one task.
 
-A first pass counts values per logarithmic bucket (map-side combined, a few
-thousand buckets per decade at most). The buckets that hold the wanted ranks are
-found from those counts alone; a second pass reads only the values in them.
+A first pass counts values per logarithmic bucket (map-side combined, about ten
+thousand buckets per decade). The buckets that hold the wanted ranks are found from
+those counts alone; a second pass counts the distinct values of only these buckets.
+They are ranked in slices between the bucket's own minimum and maximum, so that no
+window holds more than a slice.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalweave.operators.ordering import as_list, null_safe_join
+from evalweave.operators.ordering import as_list, null_safe_join, sum_before
 from evalweave.operators.sizes import measured
 
 BUCKETS_PER_E = 4096
+SLICES = 65536
 
 
 def _bucket(x: Column) -> Column:
@@ -47,7 +50,7 @@ def distribution(
     before = whole.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     placed = buckets.select(
         *group, "__b", "__n",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"), "__lo", "__hi",
         F.sum("__n").over(whole).alias("count"),
         F.sum("__s").over(whole).alias("__sum"),
         F.min("__lo").over(whole).alias("min"),
@@ -61,17 +64,20 @@ def distribution(
         r < F.col("__from") + F.col("__n"))))
     empty = F.col("count") == 0
     kept = measured(wanted.where((F.size("__ranks") > 0) | empty).select(
-        *group, "__b", "__from", "__ranks", *summary))
+        *group, "__b", "__from", "__lo", "__hi", "__ranks", *summary))
     hits = kept.where(~empty)
 
     # second pass: distinct values of the hit buckets with their ranks
     found = null_safe_join(
         values.where(F.col("__x").isNotNull()), hits.select(*group, "__b"), [*group, "__b"], "left_semi")
-    per_value = null_safe_join(
+    counted = null_safe_join(
         found.groupBy(*group, "__b", "__x").agg(F.count("*").alias("__c")), hits, [*group, "__b"])
-    inside = W.partitionBy(*group, "__b").orderBy("__x").rowsBetween(W.unboundedPreceding, -1)
-    per_value = per_value.withColumn(
-        "__from", F.col("__from") + F.coalesce(F.sum("__c").over(inside), F.lit(0)))
+    share = F.try_divide(F.col("__x") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    counted = counted.withColumn("__slice", F.floor(F.coalesce(share, F.lit(0.0)) * SLICES).cast("bigint"))
+    slices = counted.groupBy(*group, "__b", "__slice").agg(F.sum("__c").alias("__in_slice"))
+    slices = slices.select(*group, "__b", "__slice", sum_before("__in_slice", [*group, "__b"], "__slice").alias("__to_slice"))
+    per_value = null_safe_join(counted, slices, [*group, "__b", "__slice"]).withColumn(
+        "__from", F.col("__from") + F.col("__to_slice") + sum_before("__c", [*group, "__b", "__slice"], "__x"))
     held = F.filter("__ranks", lambda r: (r >= F.col("__from")) & (r < F.col("__from") + F.col("__c")))
     at_rank = per_value.select(*group, "__x", *summary, F.explode(held).alias("__rank"))
 

@@ -35,6 +35,13 @@ def read_questions(t):
     return S.read_questions(t.spark, path)
 
 
+@query("read_issues", "SELECT text FROM documents WHERE regexp_matches(text, '\\S')")
+def read_issues(t):
+    path = scratch_path(t.spark, "issues")
+    t.documents.select("doc_id", F.col("text").alias("problem_statement")).write.parquet(f"{path}/data")
+    return S.read_issues(t.spark, path)
+
+
 def _bank(t):
     """Documents as problem lines: short ones broken, every seventh incomplete."""
     fields = F.struct(

@@ -317,6 +317,18 @@ def paired_runs(t):
                          stems.where("o_orderstatus = 'P'"))
 
 
+@query("latest_new_run", """
+SELECT max(run) AS run FROM (
+  SELECT o_custkey AS run, o_orderpriority AS stem FROM orders WHERE o_orderstatus = 'F'
+  INTERSECT SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O')
+WHERE run NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01') HAVING max(run) IS NOT NULL""")
+def latest_new_run(t):
+    kind = F.when(F.col("o_orderstatus") == "F", "csv").when(F.col("o_orderstatus") == "O", "json")
+    files = t.orders.select(F.col("o_custkey").alias("run"), F.col("o_orderpriority").alias("stem"), kind.alias("kind"))
+    before = t.orders.where("o_orderdate < timestamp_ntz'1995-06-01'").select(F.col("o_custkey").alias("run"))
+    return S.latest_new_run(files, before)
+
+
 WORDS_SQL = "list_filter(regexp_split_to_array(replace(l_returnflag || ',' || l_linestatus || ' ' || l_returnflag || CAST(l_linenumber AS VARCHAR), ' ', ','), ','), lambda x: x <> '')"
 
 

@@ -110,3 +110,24 @@ def test_no_cartesian_products_and_no_row_functions(spark, name):
 ])
 def test_scans_are_pruned(spark, name, columns):
     assert columns in plan_of(QUERIES[name](spark, SMALL))
+
+
+def test_quantiles_without_a_group(spark):
+    got = Q.distribution(spark.range(1001).select(F.col("id").cast("double").alias("x")), "x", {"p95": 0.95}).collect()
+    assert [(r["count"], r.mean, r.p95) for r in got] == [(1001, 500.0, 950.0)]
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    from evalweave.operators import sizes
+
+    small = spark.range(10)
+    big = spark.range(100).withColumnRenamed("id", "k")
+    assert "BroadcastHashJoin" in plan_of(big.join(sizes.measured(small), big.k == F.col("id")))
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for side in (sizes.measured(small), sizes.bounded(small, 10)):
+            joined = big.join(side, big.k == F.col("id"))
+            assert "SortMergeJoin" in plan_of(joined) and joined.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
