@@ -14,9 +14,9 @@ def flatten_turns(turns) -> Column:
 
 
 def flatten_messages(raw) -> Column:
-    """JSON text of a prompt: a plain string, or messages whose content is a
-    string or a list of parts. Messages are joined by a blank line, parts by a
-    newline."""
+    """A prompt as plain text, which stays as it is, or as a JSON array of messages
+    whose content is a string or a list of parts. Messages are joined by a blank
+    line, parts by a newline."""
     v = F.try_parse_json(col(raw))
 
     def part_text(p: Column) -> Column:
@@ -31,7 +31,7 @@ def flatten_messages(raw) -> Column:
     messages = F.try_variant_get(v, "$", "array<variant>")
     return F.when(
         messages.isNotNull(), F.array_join(F.transform(messages, content_text), "\n\n")
-    ).otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), col(raw)))
+    ).otherwise(col(raw))
 
 
 def decode_chunk(line) -> Column:

@@ -58,7 +58,8 @@ def approx_tokens(t):
 
 
 @query("parse_number", r"""
-SELECT doc_id, round(TRY_CAST(nullif(regexp_extract(text, '-?\d+\.?\d*'), '') AS DOUBLE) + 1e-9, 6) AS x FROM documents""")
+SELECT doc_id, CASE WHEN abs(x) < 1e9 THEN round(x + 1e-9, 6) ELSE x END AS x FROM (
+  SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '-?\d+\.?\d*'), '') AS DOUBLE) AS x FROM documents)""")
 def parse_number(t):
     return t.documents.select("doc_id", TX.parse_number("text").alias("x"))
 
