@@ -99,7 +99,8 @@ def format_rate(rate) -> Column:
     return (
         F.when(x.isNull(), F.lit("na"))
         .when(x == F.floor(x), F.floor(x).cast("string"))
-        .when((size < 1e-4) | (size >= 1e6), exponent)
+        # the limits 1e-4 and 1e6 hold for the rounded number
+        .when((size < 9.999995e-5) | (size >= 999999.5), exponent)
         .otherwise(plain)
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evalweave.functions.metrics import valid_counts
 from evalweave.functions.text import nonblank
 from evalweave.operators.ordering import running_total
+from evalweave.operators.sizes import measured
 
 
 def filter_role(turns: DataFrame, role: str, human: str) -> DataFrame:
@@ -46,8 +47,10 @@ def filter_values(df: DataFrame, column: str, wanted: Sequence[str]) -> DataFram
 
 
 def filter_subset(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose ``column`` is one of ``wanted.name``."""
-    return df.join(wanted.select(F.col("name").alias(column)), column, "left_semi")
+    """Rows whose ``column`` is one of ``wanted.name``. A short list is broadcast, so
+    that a subset with most of the rows stays where it is."""
+    names = measured(wanted.select(F.col("name").alias(column)).distinct())
+    return df.join(names, column, "left_semi")
 
 
 def unknown_names(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def unknown_names(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
 def filter_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Exact id set as a semi-join; the id table may be of any size."""
-    return df.join(ids.select(key), key, "left_semi")
+    return df.join(measured(ids.select(key)), key, "left_semi")
 
 
 def filter_valid_counts(df: DataFrame, accepted: str, proposed: str) -> DataFrame:

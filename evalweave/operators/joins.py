@@ -1,5 +1,5 @@
-"""Joins. None carries a broadcast hint: sizes are left to the optimizer, which
-checks them at run time and splits skewed partitions."""
+"""Joins. Sizes are left to the optimizer, which checks them at run time and splits
+skewed partitions; where one side is small by nature it is measured first."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evalweave import constants as C
 from evalweave.functions.cases import dataset_prefix
 from evalweave.operators.ordering import null_safe_join, running_total
+from evalweave.operators.sizes import measured
 
 
 def pending(problems: DataFrame, state: DataFrame, key: str) -> DataFrame:
@@ -46,10 +47,11 @@ def from_offset(records: DataFrame, offsets: DataFrame, path: str, pos: str) ->
     """Records at or after the stored offset of their file.
 
     ``offsets`` has (path, offset, size); a file now shorter than its offset was
-    truncated and counts from 0. A file without an offset is read whole.
+    truncated and counts from 0. A file without an offset is read whole. There is
+    one offset per file, so the records of a large log need not be shuffled.
     """
     start = F.when(F.col("size") >= F.col("offset"), F.col("offset")).otherwise(0)
-    starts = offsets.select(path, start.alias("__start"))
+    starts = measured(offsets.select(path, start.alias("__start")))
     return (
         records.join(starts, path, "left")
         .where(F.col(pos) >= F.coalesce("__start", F.lit(0)))

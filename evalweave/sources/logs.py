@@ -31,6 +31,7 @@ from evalweave.functions.metrics import log_counter
 SCHEMA = "path string, pos bigint, line string"
 RANGE_BYTES = 32 << 20
 TAIL_BYTES = 1 << 16
+RANK_LOG = C.LATEST_RANK_LOG
 
 
 @dataclass
@@ -57,7 +58,7 @@ def log_files(path: str, every: bool = False) -> dict[str, int]:
     scheme = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     info = fs.get_file_info(inner)
     if info.type == pafs.FileType.Directory:
-        pattern = f"{inner.rstrip('/')}/{'*' if every else C.LATEST_RANK_LOG}"
+        pattern = f"{inner.rstrip('/')}/{'*' if every else RANK_LOG}"
     else:
         pattern = inner
     folder = pattern.rpartition("/")[0] or "."
@@ -181,7 +182,7 @@ class ByteLog(DataSource):
         return ByteLogStream(self.options)
 
 
-# executors need not have the package installed to read a log
+# travels with the query, so that executors need not have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
