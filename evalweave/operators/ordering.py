@@ -169,23 +169,27 @@ def turn_requests(turns: DataFrame, human: str, mode: str) -> DataFrame:
     """
     if mode not in ("every", "last", "every_with_gt"):
         raise ValueError(f"unknown mode {mode!r}")
-    chars = F.when((F.lit(mode) == "every_with_gt") | (F.col("role") == human), F.length("text"))
-    narrow = turns.select("conv_id", "turn", F.coalesce(chars, F.lit(0)).alias("__chars"))
-    placed = running_totals(
-        narrow, "turn", {"seq": F.lit(1), "history_chars": F.col("__chars")}, "conv_id")
-    rows = turns.join(placed.select("conv_id", "turn", "seq", "history_chars"), ["conv_id", "turn"])
-    requests = rows.where(F.col("role") == human).select(
-        "conv_id", "turn", F.col("text").alias("prompt"),
-        F.col("seq").alias("history_turns"), "history_chars", "seq",
-    )
+    is_human = F.coalesce(F.col("role") == human, F.lit(False))
+    carried = F.lit(True) if mode == "every_with_gt" else is_human
+    # the one pass that measures texts leaves narrow rows, and so do the positions
+    narrow = materialize(turns.select(
+        "conv_id", "turn", is_human.alias("human"),
+        F.when(carried, F.coalesce(F.length("text"), F.lit(0))).otherwise(0).alias("chars")))
+    placed = materialize(running_totals(
+        narrow, "turn", {"seq": F.lit(1), "history_chars": F.col("chars")}, "conv_id"))
+    wanted = placed.where("human")
     if mode == "last":
-        last = requests.groupBy("conv_id").agg(F.max("turn").alias("turn"))
-        requests = requests.join(last, ["conv_id", "turn"], "left_semi")
-    if mode == "every_with_gt":
-        # the reply is the turn after the request, whoever speaks
-        gold = rows.select("conv_id", (F.col("seq") - 1).alias("seq"), F.col("text").alias("gold"))
-        requests = requests.join(gold, ["conv_id", "seq"], "left")
-    return requests.drop("seq")
+        last = wanted.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+        wanted = wanted.join(last, ["conv_id", "turn"], "left_semi")
+    texts = turns.select("conv_id", "turn", "text")
+    requests = texts.join(wanted.select("conv_id", "turn", "seq", "history_chars"), ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.col("text").alias("prompt"), F.col("seq").alias("history_turns"), "history_chars")
+    if mode != "every_with_gt":
+        return requests
+    # the reply is the turn after the request, whoever speaks
+    after = placed.select("conv_id", "turn", (F.col("seq") - 1).alias("history_turns"))
+    gold = texts.join(after, ["conv_id", "turn"]).select("conv_id", "history_turns", F.col("text").alias("gold"))
+    return requests.join(gold, ["conv_id", "history_turns"], "left")
 
 
 def expand_requests(chats: DataFrame, human: str, mode: str) -> DataFrame:
