@@ -32,5 +32,6 @@ def nested(docs: DataFrame) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z, nothing else. Texts without other upper-case letters take the fast way."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z to a-z, nothing else. ``lower`` does the same, and faster, where all is ASCII."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
+        F.translate(text, UPPER, LOWER))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evalweave.llm.common import table
-from evalweave.llm import quality
+from evalweave.llm import linededup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,3 +54,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM q_bad)) AS kept, source AS host FROM q_base""")
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents"))
+
+
+#: Kept text of every row of ``{docs}`` after line deduplication, as (doc_id, n_lines, n_dropped, kept).
+LINES_CTE = r"""
+l_lines AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM {docs}),
+l_keys AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l_lines),
+l_drop AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS dropped FROM l_keys),
+l_kept AS (SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '') AS kept
+    FROM l_drop GROUP BY doc_id)"""
+
+
+@query("op7_line_dedup", "WITH " + LINES_CTE.replace("{docs}", "documents") +
+       " SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM l_kept")
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.digest(table(spark, folder, "documents")).drop("keep")
