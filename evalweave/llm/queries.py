@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evalweave.llm.common import table
-from evalweave.llm import linededup, quality
+from evalweave.llm import linededup, nearjoin, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,8 @@ l_kept AS (SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dr
        " SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM l_kept")
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.digest(table(spark, folder, "documents")).drop("keep")
+
+
+@query("op6_ngram_jaccard_join")
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return nearjoin.join(table(spark, folder, "documents"))
