@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evalweave.llm.common import table
-from evalweave.llm import linededup, nearjoin, quality
+from evalweave.llm import decontam, linededup, nearjoin, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +77,8 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_ngram_jaccard_join")
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return nearjoin.join(table(spark, folder, "documents"))
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
