@@ -21,7 +21,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import BLANKS, ascii_lower, nested, pinned
-from evalweave.operators.sizes import BROADCAST_BYTES
 
 MIN_KEY_CHARS = 10
 HOT_SHARE = 1 / 1024
@@ -96,15 +95,14 @@ def kept_text(body: Column, keep: Column) -> Column:
 def with_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, body, n_dropped, keep): the row as a struct, its text, and its bitmap, null if whole.
 
-    The bitmaps are broadcast if they were measured to fit; otherwise both sides are
-    shuffled by document.
+    Bitmaps grow with the corpus, so they are never broadcast: both sides are shuffled
+    by document.
     """
     maps = pinned(keep_bitmaps(docs, doc_id, text), "bitmaps").select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n_dropped", "keep")
-    size = maps.agg(F.sum(F.size("keep") * 8 + 64)).first()[0] or 0
     rows = nested(docs).withColumn("body", F.coalesce(F.col("d")[text], F.lit("")))
     return rows.join(
-        F.broadcast(maps) if size <= BROADCAST_BYTES // 8 else maps,
+        maps.hint("merge"),
         F.col("d")[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64("body") == F.col("__hash")), "left",
     ).select("d", "body", "n_dropped", "keep")
 
