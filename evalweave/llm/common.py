@@ -35,3 +35,10 @@ def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, nothing else. ``lower`` does the same, and faster, where all is ASCII."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, LOWER))
+
+
+def small_batches(spark) -> None:
+    """Rows travel to Python in batches of at most 512, so that long texts fit in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > 512:
+        spark.conf.set(key, "512")

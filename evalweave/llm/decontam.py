@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import nested, pinned
+from evalweave.llm.common import nested, pinned, small_batches
 from evalweave.operators.sizes import measured
 
 NGRAM = 3
@@ -155,6 +155,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     first_word, span_words and matched_words of the best alignment. Item ids of equal
     texts all come out."""
     spark = docs.sparkSession
+    small_batches(spark)
     every = items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).where(
         "text is not null").distinct()
     texts = pinned(every.select("text").distinct().withColumn("item_key", F.sha2("text", 256)), "items")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import nested, pinned
+from evalweave.llm.common import nested, pinned, small_batches
 from evalweave.llm.components import components
 from evalweave.operators.sizes import measured
 
@@ -257,6 +257,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable
     by links, itself included) and class_id (the smallest id with the same set)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     classes = pinned(rows.mapInPandas(
         _classes(words), "doc_id bigint, sig binary, n bigint, sketch binary"), "classes")

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from evalweave.llm.common import table
-from evalweave.llm import decontam, linededup, nearjoin, quality
+from evalweave.llm import decontam, linededup, nearjoin, quality, tokenfile
+
+
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file; TOKENIZER_DIR names another folder."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +93,9 @@ def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_decontamination")
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_token_files")
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tokenfile.encode_and_read(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return rows.select("doc_id", "start", "n_tokens", rows["crc"].alias("ids_crc32"))
