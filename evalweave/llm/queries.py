@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evalweave.llm.common import table
-from evalweave.llm import decontam, linededup, nearjoin, quality, tokenfile
+from evalweave.llm import decontam, licenses, linededup, nearjoin, quality, tokenfile
 
 
 def tokenizer_path(name: str) -> str:
@@ -99,3 +99,8 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     rows = tokenfile.encode_and_read(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
     return rows.select("doc_id", "start", "n_tokens", rows["crc"].alias("ids_crc32"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
