@@ -6,9 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evalweave.llm.common import table
-from evalweave.llm import decontam, licenses, linededup, nearjoin, quality, tokenfile
+from evalweave.llm import decontam, licenses, linededup, nearjoin, quality, sharding, tokenfile
 
 
 def tokenizer_path(name: str) -> str:
@@ -104,3 +105,10 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op8_sharding")
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.assign(table(spark, folder, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
