@@ -7,11 +7,11 @@ document lengthens its prefix (picks its l) by what the sketch says its prefix
 would cost in candidates, and a pair is verified only if it shares as many
 prefix tokens as the larger l of the two.
 
-Documents with equal sets are one class and take part once. Token groups above
-``DENSE`` members arise where a prefix is made of frequent tokens, as in a large
-family of near copies. They emit no pairs: a star per group joins the family into a
-cluster, and clusters are compared block by block in numpy, which hands back a
-spanning forest of the links only.
+Documents with equal sets are one class and take part once. Tokens that the sketch puts
+at ``DENSE`` documents or more emit no pairs: a document lengthens its prefix until
+the others alone must match. Where that is impossible, as in a large family of near
+copies, a star per token joins such documents into a cluster, and clusters are compared
+block by block in numpy, which hands back a spanning forest of the links only.
 
 Shingles are 64-bit and classes 128-bit hashes. Nulls: a null or wordless text has no
 set and links with nothing; null ids take part, but never name a component that has
@@ -35,7 +35,9 @@ from evalweave.operators.sizes import measured
 
 #: Bins of the token sketch, a fixed size (one byte each once it is broadcast).
 SKETCH_BITS = 22
-MAX_MATCHES = 4
+#: Every prefix is long enough for three matches: three more tokens to index cost less than
+#: verifying what shares one by chance.
+MIN_MATCHES, MAX_MATCHES = 3, 8
 DENSE = 128
 #: Tokens in one block of a dense cluster, on average.
 BLOCK_TOKENS = 1 << 18
@@ -110,7 +112,10 @@ def levels(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(tokens: np.ndarray, level: np.ndarray, frequency: np.ndarray, percent: int):
-    """(tokens, tier of each, matches wanted, estimated frequency of each)."""
+    """(tokens, tier of each, matches l, dense or not, matches wanted of tokens that are not).
+
+    A partner shares l tokens of the l-prefix; those that are not dense are then at least
+    l less the dense ones in it."""
     n = len(tokens)
     least = -(-percent * n // 100)
     rank = level[_bins(tokens)]
@@ -119,9 +124,10 @@ def prefix(tokens: np.ndarray, level: np.ndarray, frequency: np.ndarray, percent
     base = n - least + 1
     each = frequency[rank[order]]
     cost = float((each[:base] - 1).sum())
-    matches = int(min(MAX_MATCHES, least, 1 + np.ceil(np.log2(1 + cost) / 2)))
+    matches = int(min(MAX_MATCHES, least, MIN_MATCHES + np.ceil(np.log2(1 + cost) / 2)))
     tier = np.maximum(1, np.arange(1, longest + 1) - base + 1)
-    return tokens[order], tier, matches, each
+    dense = each >= DENSE
+    return tokens[order], tier, matches, dense, max(0, matches - int(dense[:base + matches - 1].sum()))
 
 
 def _prefixes(words: int, percent: int, shared):
@@ -129,24 +135,28 @@ def _prefixes(words: int, percent: int, shared):
         level, frequency = levels_of(shared)
         seen = set()
         for batch in batches:
-            token, sig, n, tier, matches, dense = [], [], [], [], [], []
+            token, sig, n, tier, matches, dense, wanted = [], [], [], [], [], [], []
             for text in batch["text"]:
                 tokens = shingle_set(text, words)
                 if not len(tokens) or (name := signature(tokens)) in seen:
                     continue
                 seen.add(name)
-                kept, tiers, wanted, each = prefix(tokens, level, frequency, percent)
-                token.append(kept)
-                tier.append(tiers)
-                dense.append(each >= DENSE)
-                sig += [name] * len(kept)
-                n += [len(tokens)] * len(kept)
-                matches += [wanted] * len(kept)
+                kept, tiers, ell, frequent, least = prefix(tokens, level, frequency, percent)
+                # dense tokens matter only where they alone could make up the matches
+                use = ~frequent | (least == 0) & (tiers <= ell)
+                token.append(kept[use])
+                tier.append(tiers[use])
+                dense.append(frequent[use])
+                count = int(use.sum())
+                sig += [name] * count
+                n += [len(tokens)] * count
+                matches += [ell] * count
+                wanted += [least] * count
             if len(seen) > 1 << 20:
                 seen.clear()  # only a saving: later steps collapse copies anyway
             if sig:
                 yield pd.DataFrame({"token": np.concatenate(token), "sig": sig, "n": n, "tier": np.concatenate(tier),
-                                    "matches": matches, "dense": np.concatenate(dense)})
+                                    "matches": matches, "wanted": wanted, "dense": np.concatenate(dense)})
     return run
 
 
@@ -163,12 +173,11 @@ def _pairs(percent: int):
         def flush():
             # one row per class; more than DENSE of them make a star
             for i in range(1, len(rows)):
-                if rows[0] is None:
-                    break
                 for j in range(i):
                     a, b = rows[j], rows[i]
-                    wanted = max(a[3], b[3])
-                    if a[2] <= wanted and b[2] <= wanted and 100 * min(a[1], b[1]) >= percent * max(a[1], b[1]):
+                    # the one that wants more decides, by its own l
+                    ell, wanted = (a[3], a[4]) if a[4] >= b[4] else (b[3], b[4])
+                    if wanted and a[2] <= ell and b[2] <= ell and 100 * min(a[1], b[1]) >= percent * max(a[1], b[1]):
                         out.append((a[0], b[0], wanted))
         pivot = None
         for batch in batches:
@@ -184,7 +193,7 @@ def _pairs(percent: int):
             lone[0] &= not first_continues
             keep = np.flatnonzero(~lone)
             sub = batch.iloc[keep]
-            for t, s, n, tier, m in zip(sub["token"].to_numpy(), sub["sig"], sub["n"].to_numpy(), sub["tier"].to_numpy(), sub["matches"].to_numpy()):
+            for t, s, *about in zip(sub["token"].to_numpy(), sub["sig"], sub["n"].tolist(), sub["tier"].tolist(), sub["matches"].tolist(), sub["wanted"].tolist()):
                 if t != token:
                     if pivot is None:
                         flush()
@@ -193,7 +202,7 @@ def _pairs(percent: int):
                     if s != pivot:
                         out.append((pivot, s, 0))
                 elif not rows or rows[-1][0] != s:
-                    rows.append((s, int(n), int(tier), int(m)))
+                    rows.append((s, *about))
                     if len(rows) > DENSE:
                         pivot = rows[0][0]
                         out += [(pivot, r[0], 0) for r in rows[1:]]
@@ -202,7 +211,7 @@ def _pairs(percent: int):
                 if pivot is None:
                     flush()
                 last = batch.iloc[-1]
-                rows, token, pivot = [(last["sig"], int(last["n"]), int(last["tier"]), int(last["matches"]))], tokens[-1], None
+                rows, token, pivot = [(last["sig"], last["n"], last["tier"], last["matches"], last["wanted"])], tokens[-1], None
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["a", "b", "wanted"])
                 out = []
@@ -266,7 +275,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     shared = spark.sparkContext.broadcast(levels(np.frombuffer(zlib.decompress(total[0]), np.uint32)))
 
     index = pinned(rows.select("text").mapInPandas(
-        _prefixes(words, percent, shared), "token bigint, sig binary, n int, tier int, matches int, dense boolean"), "prefixes")
+        _prefixes(words, percent, shared), "token bigint, sig binary, n int, tier int, matches int, wanted int, dense boolean"), "prefixes")
     low = index.where("not dense").drop("dense").repartition("token").sortWithinPartitions("token", "sig")
     found = pinned(low.mapInPandas(_pairs(percent), "a binary, b binary, wanted int"), "pairs")
     wanted = pinned(found.where("wanted > 0").groupBy("a", "b").agg(
