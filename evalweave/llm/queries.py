@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import table
-from evalweave.llm import decontam, licenses, linededup, nearjoin, quality, sharding, tokenfile
+from evalweave.llm import decontam, licenses, linededup, nearjoin, pieces, quality, sharding, tokenfile
 
 
 def tokenizer_path(name: str) -> str:
@@ -112,3 +112,8 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.assign(table(spark, folder, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
