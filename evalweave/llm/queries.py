@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import table
-from evalweave.llm import decontam, licenses, linededup, nearjoin, pieces, quality, sharding, tokenfile
+from evalweave.llm import decontam, licenses, linededup, nearjoin, pieces, quality, sharding, tokenfile, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -117,3 +117,8 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
