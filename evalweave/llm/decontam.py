@@ -134,7 +134,7 @@ def align(passage: list[bytes], item: list[bytes]) -> tuple[float, int, int, int
 def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for doc, text, found in zip(batch["doc_id"], batch["text"], batch["found"]):
+        for doc, text_hash, text, found in zip(batch["doc_id"], batch["text_hash"], batch["text"], batch["found"]):
             words = words_of(text)
             best: dict[str, tuple] = {}
             for c in found:
@@ -144,16 +144,16 @@ def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if score >= MIN_SCORE and matched >= MIN_MATCHES:
                     key = c["item_key"]
                     best[key] = max(best.get(key, (0.0,)), (score, -(lo + first), span, matched))
-            out += [(doc, key, x[0], -x[1], x[2], x[3]) for key, x in best.items()]
+            out += [(doc, text_hash, key, x[0], -x[1], x[2], x[3]) for key, x in best.items()]
         if out:
-            yield pd.DataFrame(out, columns=["doc_id", "item_key", "score", "first_word", "span_words", "matched_words"])
+            yield pd.DataFrame(out, columns=["doc_id", "text_hash", "item_key", "score", "first_word", "span_words", "matched_words"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item it leaks: doc_id, item_id, score (0 to 1),
-    first_word, span_words and matched_words of the best alignment. Item ids of equal
-    texts all come out."""
+    first_word, span_words and matched_words of the best alignment; text_hash tells rows
+    of one id apart. Item ids of equal texts all come out."""
     spark = docs.sparkSession
     small_batches(spark)
     every = items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).where(
@@ -163,9 +163,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     bits = grams.select("gram").mapInPandas(_filters, "bits binary").coalesce(1).mapInPandas(_merge, "bits binary").first()
     shared = spark.sparkContext.broadcast(zlib.decompress(bits[0]) if bits else bytes(1 << FILTER_BITS - 3))
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn(
+    # ids travel as text: pandas would round large integers next to nulls
+    rows = docs.select(F.col(doc_id).cast("bigint").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn(
         "text_hash", F.xxhash64("text"))
-    hits = pinned(rows.mapInPandas(_hits(shared), "gram bigint, doc_id bigint, text_hash bigint, pos int"), "hits")
+    hits = pinned(rows.mapInPandas(_hits(shared), "gram bigint, doc_id string, text_hash bigint, pos int"), "hits")
 
     # the filter lets a few others pass; the join with the items drops them
     counts = hits.groupBy("gram").agg(F.count("*").alias("occurrences"))
@@ -188,17 +189,18 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         F.struct("item_key", "item_text", "lo", "hi")).alias("found")).select(
         F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "found"))
     passages = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["d"]) & (rows["text_hash"] == per_doc["h"]))
-    aligned = passages.select("doc_id", "text", "found").mapInPandas(
-        _align, "doc_id bigint, item_key string, score double, first_word long, span_words long, matched_words long")
+    aligned = passages.select("doc_id", "text_hash", "text", "found").mapInPandas(
+        _align, "doc_id string, text_hash bigint, item_key string, score double, first_word long, span_words long, matched_words long")
     ids = every.select("item_id", F.sha2("text", 256).alias("k"))
     return aligned.join(ids, aligned["item_key"] == ids["k"]).select(
-        "doc_id", "item_id", "score", "first_word", "span_words", "matched_words")
+        F.col("doc_id").cast("bigint").alias("doc_id"), "item_id", "score", "first_word", "span_words", "matched_words", "text_hash")
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that leak an item. Rows without an id are known by
-    their text."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lost = measured(leaks(named, items).select(F.col("doc_id").alias("__lost")).distinct())
-    kept = nested(docs).join(lost, F.col("d")[doc_id].eqNullSafe(F.col("__lost")), "left_anti")
-    return kept.select("d.*")
+    """``docs`` without the rows that leak an item."""
+    lost = leaks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), items)
+    lost = measured(lost.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    d = F.col("d")
+    return nested(docs).join(
+        lost, d[doc_id].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(d[text].cast("string")) == F.col("__hash")),
+        "left_anti").select("d.*")

@@ -268,8 +268,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    classes = pinned(rows.mapInPandas(
-        _classes(words), "doc_id bigint, sig binary, n bigint, sketch binary"), "classes")
+    # ids travel as text: pandas would round large integers next to nulls
+    classes = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        _classes(words), "doc_id string, sig binary, n bigint, sketch binary")
+    classes = pinned(classes.withColumn("doc_id", F.col("doc_id").cast("bigint")), "classes")
     total = classes.where("n < 0").select("sketch").repartition(8).mapInPandas(_sum_sketches, "sketch binary")
     total = total.coalesce(1).mapInPandas(_sum_sketches, "sketch binary").first()
     shared = spark.sparkContext.broadcast(levels(np.frombuffer(zlib.decompress(total[0]), np.uint32)))
@@ -325,7 +327,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
 def first_of_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
                    percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id. Rows
-    without an id stay only if no row of their component has one."""
+    without an id stay."""
     groups = join(docs, doc_id, text, words, percent)
     lost = measured(groups.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__lost")).distinct())
     return nested(docs).join(lost, F.col("d")[doc_id] == F.col("__lost"), "left_anti").select("d.*")

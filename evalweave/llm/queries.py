@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import table
-from evalweave.llm import decontam, licenses, linededup, nearjoin, pieces, quality, sharding, tokenfile, toxicity
+from evalweave.session import scratch_path
+from evalweave.llm import decontam, licenses, linededup, nearjoin, pieces, quality, rollups, sharding, tokenfile, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -93,7 +94,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op1_decontamination")
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
 @query("op9_token_files")
@@ -122,3 +123,30 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_token_rollups", r"""
+WITH w AS (SELECT d.source, d.lang, d.doc_id, l.quality,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+    octet_length(encode(coalesce(text, ''))) AS bytes
+    FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id))
+SELECT source, lang, tokenizer, sum(documents)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens FROM (
+    SELECT source, lang, 'words' AS tokenizer, 1 AS documents, words AS tokens FROM w WHERE quality IS DISTINCT FROM 0
+    UNION ALL SELECT source, lang, 'bytes', 1, bytes FROM w) GROUP BY ALL HAVING sum(documents) <> 0 OR sum(tokens) <> 0""")
+def op5_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """Four batches: all documents counted as bytes; all as words, first by an estimate;
+    the estimates revised to counts; documents of quality 0 deleted from the words. The
+    third is sent twice, as after a lost answer."""
+    docs = table(spark, folder, "documents")
+    poor = table(spark, folder, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 0")
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    estimate = (size / 6).cast("bigint")
+    words = rollups.word_count(F.col("text"))
+    store = rollups.Store(spark, scratch_path(spark, "rollups"))
+    store.commit(1, rollups.changes(docs, "insert", "bytes", size))
+    store.commit(2, rollups.changes(docs, "insert", "words", estimate))
+    for _ in range(2):
+        store.commit(3, rollups.changes(docs, "revise", "words", words, estimate))
+    gone = docs.join(poor.select("doc_id"), "doc_id", "left_semi")
+    store.commit(4, rollups.changes(gone, "delete", "words", F.lit(0), words))
+    return store.totals()
