@@ -314,13 +314,12 @@ def _matrices(path: str):
     return run
 
 
-def _combine(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("chunk")
+def _combine(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     total = None
-    for cells in group["cells"]:
+    for cells in group.sort_values("chunk")["cells"]:
         m = _to_dict(cells)
         total = m if total is None else product(total, m)
-    return pd.DataFrame({"row": [group["row"].iloc[0]], "chunk": [group["chunk"].iloc[0] // GROUP], "cells": [
+    return pd.DataFrame({"row": [key[0]], "chunk": [key[1]], "cells": [
         [{"a": e[0], "b": e[1], "c": x[0], "d": x[1], "w": w} for (e, x), w in total.items()]]})
 
 
@@ -355,7 +354,8 @@ def _trace(path: str):
     return run
 
 
-def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK,
+           group: int = GROUP) -> DataFrame:
     """One row per chunk of a document (most have one): doc_id, chunk, n_chunks, ids, and
     whether the ids decode to the text again."""
     small_batches(docs.sparkSession)
@@ -368,9 +368,9 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     chunks = pinned(chunks.repartition(F.col("row"), F.col("chunk")), "chunks")
     cells = pinned(chunks.mapInPandas(_matrices(model), f"row bigint, chunk int, cells {CELLS}"), "matrices")
     state = "row bigint, chunk int, a int, b int, c int, d int"
-    grouped = cells.groupBy("row", F.floor(F.col("chunk") / GROUP)).applyInPandas(_combine, f"row bigint, chunk int, cells {CELLS}")
+    grouped = cells.groupBy("row", F.floor(F.col("chunk") / group).cast("int")).applyInPandas(_combine, f"row bigint, chunk int, cells {CELLS}")
     top = grouped.groupBy("row").applyInPandas(_top, state).withColumnRenamed("chunk", "part")
-    inner = cells.withColumn("part", F.floor(F.col("chunk") / GROUP).cast("int")).join(top, ["row", "part"])
+    inner = cells.withColumn("part", F.floor(F.col("chunk") / group).cast("int")).join(top, ["row", "part"])
     states = inner.groupBy("row", "part").applyInPandas(_within, state)
     traced = chunks.withColumn("doc_id", F.col("doc_id").cast("string")).join(states, ["row", "chunk"]).mapInPandas(_trace(model), IDS)
     return small.unionByName(traced)
