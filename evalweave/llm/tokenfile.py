@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,37 +47,80 @@ CHECKSUM_FLAG = 0x80
 INDEX_MAGIC = 0x184D2A50
 FRAME_TOKENS = 1 << 16
 END_ID = 2
-#: Words an encoder remembers; when full it starts anew.
-REMEMBERED = 1 << 19
+#: Words an encoder remembers, twice: when full, the older half goes.
+REMEMBERED = 1 << 18
 MANIFEST = "part int, path string, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint, n_bytes bigint"
 
 
 class Encoder:
     """Ids of whole texts as bytes, with the tokenizers library.
 
-    The tokenizer's splitter never joins across blanks, so a text is the sequence of
-    its words, and words are remembered. ``tests/llm`` holds it against whole texts.
+    The tokenizer's splitter never joins across blanks, and parts a run of letters from
+    the punctuation behind it; so a text is the sequence of its words, and words and their
+    parts are remembered. ``tests/llm`` holds it against whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {"": b""}, {}
+        # letters that composing and lower-casing treat one by one, then marks that don't combine
+        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$#%&]*)").fullmatch
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words not met lately."""
+        parts, new, odd = {}, set(), []
+        for w in words:
+            ids = self.older.get(w)
+            if ids is not None:
+                self.known[w] = ids
+            elif m := self.plain(w):
+                parts[w] = (m[1].lower(), m[2])
+                new.update(x for x in parts[w] if x not in self.known)
+            else:
+                odd.append(w)
+        again = {x: self.older[x] for x in new if x in self.older}
+        learnt = again | self._encode(list(new - again.keys()), odd)
+        for w, (letters, marks) in parts.items():
+            learnt[w] = (learnt.get(letters) or self.known[letters]) + (learnt.get(marks) or self.known[marks])
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {"": b""}, self.known
+        self.known.update((w, x) for w, x in learnt.items() if len(w) <= 64)
+        return learnt
+
+    def _encode(self, plain: list[str], odd: list[str]) -> dict[str, bytes]:
+        """Plain parts are one word each to the tokenizer, so one call serves all of them."""
+        out = {}
+        if plain:
+            whole = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+            ids = np.array(whole.ids, "<u4")
+            word = np.array(whole.word_ids, np.int64)
+            ends = np.flatnonzero(np.diff(word, append=-1)) + 1
+            if len(ends) != len(plain):
+                raise ValueError("the tokenizer parts words elsewhere than expected")
+            data, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out = {w: data[a:b] for w, a, b in zip(plain, starts, starts[1:])}
+        if odd:
+            found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+            out |= {w: struct.pack(f"<{len(e)}I", *e.ids) for w, e in zip(odd, found)}
+        return out
 
     def __call__(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").split(" ")
-        ids = [self.known.get(w) for w in words]
+        ids = list(map(self.known.get, words))
         if None in ids:
-            new = list({w for w, x in zip(words, ids) if x is None})
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found)}
-            ids = [fresh[w] if x is None else x for w, x in zip(words, ids)]
-            if len(self.known) > REMEMBERED:
-                self.known = {"": b""}
-            self.known.update((w, x) for w, x in fresh.items() if len(w) <= 64)
+            kept = self.known
+            learnt = self._learn({w for w, x in zip(words, ids) if x is None})
+            ids = [x if x is not None else learnt[w] if w in learnt else kept[w] for w, x in zip(words, ids)]
         return b"".join(ids)
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One a worker, so that what it remembers outlives a task."""
+    return Encoder(path)
+
+
 class Writer:
     """Writes one file, holding one frame at a time."""
 
@@ -171,9 +216,9 @@ def filesystem(uri: str):
     return arrow_fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (arrow_fs.LocalFileSystem(), uri)
 
 
-def _write(folder: str, encoder: Callable[[], Callable[[str | None], bytes]], end_id: int):
+def _write(folder: str, open_encoder: Callable[[], Callable[[str | None], bytes]], end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end, writer = encoder(), struct.pack("<I", end_id), None
+        encode, end, writer = open_encoder(), struct.pack("<I", end_id), None
         store, root = filesystem(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.zst"
@@ -201,7 +246,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would round large nullable integers
-    return pinned(rows.mapInPandas(_write(folder, lambda: Encoder(tokenizer), end_id), MANIFEST), "manifest")
+    return pinned(rows.mapInPandas(_write(folder, lambda: encoder(tokenizer), end_id), MANIFEST), "manifest")
 
 
 def _read(wanted: Sequence[int] | None):
