@@ -21,7 +21,7 @@ HEADLINE = [
     "accuracy_scopes", "describe", "metric_stats", "acceptance_rate", "load_rollup", "wave_stats",
     "request_timing", "dedup_first", "limit_per_group_share", "order_problems",
     "turn_requests_every_with_gt", "build_tiled", "build_concat", "build_prefix", "prefix_audit",
-    "workload_matrix", "parse_case", "token_count", "reconcile_counts", "pack_next_fit",
+    "workload_matrix", "parse_case", "token_count", "reconcile_counts",
 ]
 
 

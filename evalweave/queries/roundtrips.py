@@ -4,6 +4,8 @@ Each query writes to a new folder under the shared one and reads back, so that
 the files go through the same code as in production.
 """
 
+import json
+
 from pyspark.sql import functions as F
 
 from evalweave import constants as C
@@ -17,7 +19,6 @@ from evalweave.plans import prompt_sets as P
 from evalweave.queries import accuracy, workload
 from evalweave.queries import fixtures as X
 from evalweave.queries.registry import query
-from evalweave.queries.texts import TOKS, tiled_sql
 from evalweave.session import scratch_path
 from evalweave.sinks import tables as TB
 from evalweave.sinks import writers as WR
@@ -25,7 +26,6 @@ from evalweave.sources import files as S
 from evalweave.sources import logs as L
 from evalweave.streaming import acceptance as SA
 from evalweave.streaming import state as ST
-from evalweave.tokenizers import count_with, fit_external
 
 
 @query("read_questions", "SELECT text AS question FROM benchmark")
@@ -205,6 +205,35 @@ def stream_acceptance(t):
     return TB.read_table(t.spark, target, SA.RESULT)
 
 
+@query("log_from_snapshot", f"""
+SELECT {workload.RATE} FROM ({X.COUNTS_SQL}) WHERE accepted <= proposed AND pos IN (SELECT event_id FROM events WHERE event_type <> 'view')""")
+def log_from_snapshot(t):
+    """What was logged before the snapshot does not count."""
+    lines, kinds = X.acceptance_lines(t), t.events.select(F.col("event_id").alias("pos"), "event_type")
+    path = scratch_path(t.spark, "log")
+    typed = lines.join(kinds, "pos")
+    typed.where("event_type = 'view'").select("line").write.text(path)
+    start = L.snapshot_offsets(f"{path}/part-*", every=True)
+    typed.where("event_type <> 'view'").select("line").write.mode("append").text(path)
+    return A.acceptance_rate(L.read_acceptance_log(t.spark, f"{path}/part-*", every="true", startingOffsets=start))
+
+
+@query("log_after_truncation", ACCEPTANCE_SQL)
+def log_after_truncation(t):
+    """Offsets beyond the files' sizes: all of them start over."""
+    pattern = f"{_log_folder(t)}/part-*"
+    sizes = json.loads(L.snapshot_offsets(pattern, every=True))
+    start = json.dumps({p: n + 1 for p, n in sizes.items()})
+    return A.acceptance_rate(L.read_acceptance_log(t.spark, pattern, every="true", startingOffsets=start))
+
+
+@query("drain_until", ACCEPTANCE_SQL)
+def drain_until(t):
+    pattern, target = f"{_log_folder(t)}/part-*", scratch_path(t.spark, "drained")
+    SA.drain_until(t.spark, L.stream_log(t.spark, pattern, every="true"), f"{target}-checkpoint", target)
+    return TB.read_table(t.spark, target, SA.RESULT)
+
+
 @query("stream_upserts", """
 SELECT CAST(doc_id AS VARCHAR) AS question_id, CASE WHEN toxic = 1 THEN 'rerun' ELSE 'first' END AS parsed_code FROM labels""")
 def stream_upserts(t):
@@ -231,6 +260,27 @@ def reset_state(t):
     return ST.read_run_state(t.spark, store, schema).select("question_id")
 
 
+@query("rerun_after_reset", f"""
+SELECT CAST(question_id AS VARCHAR) AS question_id, CASE WHEN {accuracy.SUCCEEDED} THEN 'first' ELSE 'rerun' END AS content
+FROM ({X.STATE_SQL})""")
+def rerun_after_reset(t):
+    """A run, a reset of what failed, then a new stream with a checkpoint of its own
+    for the rest: no record is lost."""
+    source, store = scratch_path(t.spark, "records"), scratch_path(t.spark, "state")
+    first = X.state(t).withColumns({"question_id": F.col("question_id").cast("string"), "content": F.lit("first"), "seq": F.lit(0)})
+
+    def run(rows, n):
+        rows.write.json(f"{source}/{n}")
+        records = t.spark.readStream.schema(ST.RUN_STATE + ", seq bigint").json(f"{source}/{n}")
+        ST.stream_upserts(records, store, f"{store}-checkpoint-{n}")
+
+    run(first, 1)
+    ST.reset_failed(t.spark, store)
+    done = ST.read_run_state(t.spark, store).select("question_id")
+    run(first.join(done, "question_id", "left_anti").withColumn("content", F.lit("rerun")), 2)
+    return ST.read_run_state(t.spark, store).select("question_id", "content")
+
+
 @query("replace_table", "SELECT doc_id, quality::BIGINT AS quality FROM labels WHERE toxic = 0")
 def replace_table(t):
     path = scratch_path(t.spark, "table")
@@ -285,16 +335,3 @@ UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, lang, text || '|' || source, source
 def expand_requests(t):
     requests = O.expand_requests(P.multiturn_chats(_nested(t), C.HUMAN), C.HUMAN, "every_with_gt")
     return requests.withColumn("history", F.array_join(F.transform("history", lambda h: h["value"]), "|"))
-
-
-@query("count_with_tokenizer", f"SELECT doc_id, len({TOKS('text')}) AS n_tokens FROM documents")
-def count_with_tokenizer(t):
-    return t.documents.select("doc_id", count_with("words")("text").alias("n_tokens"))
-
-
-@query("fit_external", f"""
-SELECT doc_id, {tiled_sql('toks', 64)} AS text, true AS exact FROM ({X.CORPUS_SQL})""")
-def fit(t):
-    none = F.lit(None).cast("array<string>")
-    fitted = X.corpus(t).select("doc_id", fit_external("words", 64)("text", none).alias("f"))
-    return fitted.select("doc_id", TX.truncate_tokens("f.text", 64).alias("text"), "f.exact")

@@ -16,7 +16,6 @@ from evalweave.queries import fixtures as X
 from evalweave.queries.registry import query
 from evalweave.sinks import writers as WR
 from evalweave.sources import files as S
-from evalweave.tokenizers import pack_next_fit
 
 TOKS = X.TOKENS_SQL.format
 
@@ -381,23 +380,3 @@ p AS (SELECT i.range AS i, count(DISTINCT toks[i.range + 1]) AS d FROM w, range(
 SELECT (SELECT count(*) FROM w) AS samples, (SELECT min(i) FROM p WHERE d > 1) AS shared""")
 def prefix_audit(t):
     return P.prefix_audit(P.build_prefix(t.documents, "doc_id", "text", 256, 85), "question")
-
-
-@query("pack_next_fit", f"""
-WITH RECURSIVE c AS (
-  SELECT doc_id, n, greatest(length(text) // 4, 1) AS a, row_number() OVER (ORDER BY doc_id) AS i FROM ({X.CORPUS_SQL})),
-w AS (
-  SELECT i, doc_id, n, 0::BIGINT AS sample, a AS got, 256::BIGINT AS need, n AS held FROM c WHERE i = 1
-  UNION ALL
-  SELECT c.i, c.doc_id, c.n,
-    CASE WHEN w.got >= w.need AND w.held >= 256 THEN w.sample + 1 ELSE w.sample END,
-    CASE WHEN w.got >= w.need THEN c.a ELSE w.got + c.a END,
-    CASE WHEN w.got >= w.need AND w.held >= 256 THEN 256 WHEN w.got >= w.need THEN 256 - w.held ELSE w.need END,
-    CASE WHEN w.got >= w.need AND w.held >= 256 THEN c.n ELSE w.held + c.n END
-  FROM w JOIN c ON c.i = w.i + 1)
-SELECT doc_id, 0::BIGINT AS shard, sample, n AS n_tokens,
-  sum(n) OVER (PARTITION BY sample) >= 256 AND (sample < max(sample) OVER () OR
-    (SELECT got >= need AND held >= 256 FROM w ORDER BY i DESC LIMIT 1)) AS complete
-FROM w""")
-def next_fit(t):
-    return pack_next_fit(t.documents, "doc_id", "text", 256)

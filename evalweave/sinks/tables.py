@@ -21,7 +21,9 @@ MANIFEST = "version bigint, written bigint, data string"
 def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

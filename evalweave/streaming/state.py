@@ -8,6 +8,9 @@ record per key over the compacted base and the deltas after it.
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +27,30 @@ RUN_STATE = (
 )
 
 
-def upsert_state(batch: DataFrame, batch_id: int, path: str, key: str = "question_id") -> None:
-    """Store a batch (``seq`` orders records of one key inside it)."""
-    last = dedup_last(batch, key, "seq").drop("seq")
-    last.write.mode("overwrite").parquet(f"{path}/deltas/batch={batch_id}")
+def upsert_state(
+    batch: DataFrame, batch_id: int, path: str, key: str = "question_id", stream: str = "", epoch: int | None = None,
+) -> None:
+    """Store a batch (``seq`` orders records of one key inside it).
+
+    A delta is named by the version of the base it comes after (its epoch), by its stream
+    and by its batch, so that streams with checkpoints of their own never overwrite
+    each other's.
+    """
+    epoch = current_version(batch.sparkSession, f"{path}/base")[0] if epoch is None else epoch
+    last = dedup_last(batch, key, "seq").drop("seq").withColumn("written", F.lit(time.time_ns()))
+    name = hashlib.sha256(stream.encode()).hexdigest()[:16]
+    last.write.mode("overwrite").parquet(f"{path}/deltas/epoch={epoch}/stream=s{name}/batch={batch_id}")
 
 
 def _deltas(spark: SparkSession, path: str, schema: str, since: int) -> DataFrame | None:
     try:
-        df = spark.read.schema(f"{schema}, batch bigint").parquet(f"{path}/deltas")
-    except AnalysisException:
+        df = spark.read.schema(f"{schema}, written bigint, epoch bigint, stream string, batch bigint").parquet(f"{path}/deltas")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return df.where(F.col("batch") >= since)
+    return df.where(F.col("epoch") >= since).withColumn("at", F.struct("epoch", "written", "batch")).drop(
+        "epoch", "stream", "written", "batch")
 
 
 def read_run_state(spark: SparkSession, path: str, schema: str = RUN_STATE, key: str = "question_id") -> DataFrame:
@@ -45,15 +60,9 @@ def read_run_state(spark: SparkSession, path: str, schema: str = RUN_STATE, key:
     deltas = _deltas(spark, path, schema, since)
     if deltas is None:
         return base
-    every = base.withColumn("batch", F.lit(-1).cast("bigint")).unionByName(deltas)
-    return dedup_last(every, key, "batch").drop("batch")
-
-
-def _next_batch(spark: SparkSession, path: str, schema: str) -> int:
-    since = current_version(spark, f"{path}/base")[0]
-    deltas = _deltas(spark, path, schema, since)
-    last = deltas.agg(F.max("batch")).first()[0] if deltas is not None else None
-    return since if last is None else last + 1
+    first = F.lit(-1).cast("bigint")
+    every = base.withColumn("at", F.struct(first.alias("epoch"), first.alias("written"), first.alias("batch"))).unionByName(deltas)
+    return dedup_last(every, key, "at").drop("at")
 
 
 def compact_state(spark: SparkSession, path: str, schema: str = RUN_STATE, keep=None) -> None:
@@ -61,9 +70,8 @@ def compact_state(spark: SparkSession, path: str, schema: str = RUN_STATE, keep=
 
     Not to be run while a stream is storing batches.
     """
-    following = _next_batch(spark, path, schema)
     state = read_run_state(spark, path, schema)
-    replace_table(state if keep is None else state.where(keep), f"{path}/base", following)
+    replace_table(state if keep is None else state.where(keep), f"{path}/base")
 
 
 def reset_failed(spark: SparkSession, path: str, schema: str = RUN_STATE) -> None:
@@ -73,8 +81,10 @@ def reset_failed(spark: SparkSession, path: str, schema: str = RUN_STATE) -> Non
 
 def stream_upserts(records: DataFrame, path: str, checkpoint: str):
     """Upsert every micro-batch of finished records; take what is there and stop."""
+    epoch = current_version(records.sparkSession, f"{path}/base")[0]
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        upsert_state(batch, batch_id, path)
+        upsert_state(batch, batch_id, path, stream=checkpoint, epoch=epoch)
 
     query = (records.writeStream.option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).foreachBatch(store).start())

@@ -49,6 +49,17 @@ def test_history_before_the_offset_is_skipped(spark, tmp_path, log):
     assert both(spark, tmp_path, log, startingOffsets=start) == (90.0, 1)
 
 
+def test_snapshot_within_an_unfinished_line(spark, tmp_path, log):
+    log.write_text(record(0, 100) * 3 + "speculative_accepted_tokens: 5")
+    start = logs.snapshot_offsets(str(log))
+    assert both(spark, tmp_path, log, startingOffsets=start) == (None, 0)
+    with log.open("a") as f:
+        f.write("0, speculative_proposed_tokens: 50\n" + record(3, 4))
+    # the rest of that line is no record of its own
+    assert batch(spark, log, startingOffsets=start) == (75.0, 1)
+    assert stream(spark, tmp_path, log, startingOffsets=start) == (75.0, 1)
+
+
 def test_invalid_records_do_not_count(spark, tmp_path, log):
     log.write_text("speculative_token_acceptance_rate: 0.9\n" + record(2, 1) + record(1, 2).rstrip("\n"))
     assert both(spark, tmp_path, log) == (None, 0)

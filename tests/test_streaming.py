@@ -48,6 +48,22 @@ def test_upserts_resume_and_reset(spark, tmp_path):
     assert run()["q2"] == ("again", None)
 
 
+def test_new_stream_after_reset_loses_nothing(spark, tmp_path):
+    store = str(tmp_path / "state")
+
+    def run(name, rows):
+        write(tmp_path / name, "r.json", rows)
+        records = spark.readStream.schema(S.RUN_STATE + ", seq bigint").json(str(tmp_path / name))
+        S.stream_upserts(records, store, str(tmp_path / f"cp-{name}"))
+        return {r.question_id: r.parsed_code for r in S.read_run_state(spark, store).collect()}
+
+    run("a", [rec("a", 1, request_failed=True, error="E: x"), rec("b", 1, parsed_code="b1")])
+    S.reset_failed(spark, store)
+    assert run("b", [rec("a", 1, parsed_code="a2")]) == {"a": "a2", "b": "b1"}
+    # another stream in the same epoch
+    assert run("c", [rec("b", 1, parsed_code="b3")]) == {"a": "a2", "b": "b3"}
+
+
 def test_repeated_batch_is_idempotent(spark, tmp_path):
     store = str(tmp_path / "state")
     rows = spark.createDataFrame([("q1", 1, "E: x")], "question_id string, seq bigint, error string")
