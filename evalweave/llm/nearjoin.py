@@ -313,12 +313,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     groups = classes.where("n >= 0").join(roots, classes["sig"] == roots["node"], "left").select(
         "doc_id", "n", "sig", F.coalesce("root", "sig").alias("root"))
     groups = pinned(groups, "groups")
-    # the smallest id of each class and component, pre-aggregated; most have one row
-    names = groups.where("sig is not null").groupBy("sig").agg(F.first("root").alias("root"), F.min("doc_id").alias("class_id"))
-    tops = names.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("classes"))
-    tops = pinned(tops.where("classes > 1").select(F.col("root").alias("r"), "component_id"), "tops")
-    names = names.join(tops, names["root"] == tops["r"], "left").select(
-        F.col("sig").alias("s"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    # the smallest id of each class and component, pre-aggregated; rows that are alone in
+    # both name themselves
+    names = groups.where("sig is not null").groupBy("sig").agg(
+        F.first("root").alias("root"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    heads = roots.select(F.col("root").alias("sig")).distinct().withColumn("heads", F.lit(True))
+    names = pinned(names.join(heads, "sig", "left").where("copies > 1 or root != sig or heads").drop("heads", "copies"), "names")
+    tops = names.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    # both sides of this join are read from files, so that adaptive execution may split a
+    # class that holds a large share of the rows
+    names = pinned(names.join(tops, "root").select(F.col("sig").alias("s"), "class_id", "component_id"), "class-names")
     out = groups.join(names, groups["sig"] == names["s"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
                       F.coalesce("class_id", "doc_id").alias("class_id"))
