@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from evalweave.llm.common import small_batches
 
 #: Bound of the training sample, for each label; the rows with the smallest hashes of their ids.
-SAMPLE = 12_000
+SAMPLE = 4_000
 #: Most telling features that enter the fit.
 FEATURES = 4096
 PREDICT_AT = 0.7
