@@ -147,6 +147,8 @@ def op5_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
     store.commit(2, rollups.changes(docs, "insert", "words", estimate))
     for _ in range(2):
         store.commit(3, rollups.changes(docs, "revise", "words", words, estimate))
-    gone = docs.join(poor.select("doc_id"), "doc_id", "left_semi")
-    store.commit(4, rollups.changes(gone, "delete", "words", F.lit(0), words))
+    # counted first, so that no text moves
+    counted = docs.select("doc_id", "source", "lang", words.alias("words"))
+    gone = counted.join(poor.select("doc_id"), "doc_id", "left_semi")
+    store.commit(4, rollups.changes(gone, "delete", "words", F.lit(0), F.col("words")))
     return store.totals()
