@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave import constants as C
-from evalweave.functions.text import col
+from evalweave.functions.text import col, strip
 
 
 def artifact_name(prefix, input_len, samples, pfx) -> Column:
@@ -35,7 +35,7 @@ def parse_cases(df: DataFrame, text: str, case: str = "case") -> DataFrame:
 
     The steps are separate projections, so that the text is split once per row.
     """
-    raw = F.trim(text)
+    raw = strip(text)
     kind = F.lower(F.substring_index(raw, ":", 1))
     named = (F.instr(raw, ":") > 0) & kind.isin(*C.DATASETS)
     df = df.withColumn("__kind", F.when(named, kind).otherwise(F.lit(C.DEFAULT_DATASET)))

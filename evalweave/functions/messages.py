@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalweave.functions.text import col
+from evalweave.functions.text import col, strip
 
 
 def flatten_turns(turns) -> Column:
@@ -40,9 +40,9 @@ def decode_chunk(line) -> Column:
     Lines that are not ``data:`` or hold broken JSON give nulls; an ended stream
     sets ``done``.
     """
-    text = F.trim(col(line))
+    text = strip(line)
     is_data = F.startswith(text, F.lit("data:"))
-    body = F.trim(F.substring(text, 6, 2**31 - 1))
+    body = strip(F.substring(text, 6, 2**31 - 1))
     done = is_data & (body == F.lit("[DONE]"))
     chunk = F.when(is_data & ~done, F.try_parse_json(body))
     piece = F.coalesce(

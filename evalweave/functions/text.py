@@ -14,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(text) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(col(text), r"^\s+|\s+$", "")
+
+
 def tokens(text) -> Column:
     """Whitespace words, the default tokenizer."""
     return F.array_remove(F.split(col(text), r"\s+"), "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalweave import constants as C
 from evalweave.functions.metrics import acceptance_percent, safe_ratio, seconds_between, tpot
-from evalweave.functions.text import error_category, nonblank
+from evalweave.functions.text import error_category, nonblank, parse_number
 from evalweave.operators.ordering import as_list, null_safe_join, number_sorted
 from evalweave.operators.quantiles import distribution
 
@@ -93,9 +93,16 @@ def summary_wide(metric_rows: DataFrame, common: DataFrame, case: str) -> DataFr
     """Named columns per case out of long metric rows and common metrics.
 
     ``metric_rows``: (case, param, average); the last row of a parameter counts
-    (``ord``). ``common``: (case, metric, value). All params are fixed names, so
-    plain conditional aggregates replace a pivot.
+    (``ord``). ``common``: (case, metric, value). Where a side has a ``stage``, only its
+    ``total`` counts; texts with units become numbers. All params are fixed names,
+    so plain conditional aggregates replace a pivot.
     """
+    def total(df: DataFrame, value: str) -> DataFrame:
+        df = df.where(F.col("stage") == "total") if "stage" in df.columns else df
+        return df.withColumn(value, parse_number(value)) if dict(df.dtypes)[value] == "string" else df
+
+    metric_rows, common = total(metric_rows, "average"), total(common, "value")
+
     def pick(key: str, name: str, value: str, by: str | None) -> Column:
         hit = F.col(key) == name
         if by is None:
@@ -213,15 +220,17 @@ def completeness(records: DataFrame, key: Column, malformed: Column) -> DataFram
     ).withColumn("duplicate_ids", F.col("rows") - F.col("unique"))
 
 
-def request_timing(chunks: DataFrame, key: str, order: str) -> DataFrame:
+def request_timing(chunks: DataFrame, key: str, order: str, started: str | None = None) -> DataFrame:
     """Time to first token, elapsed seconds, chunk count, last finish reason and
     usage per request; a response without a token is an error.
 
-    ``chunks``: key, ts, piece, finish_reason, usage and a unique ``order``.
+    ``chunks``: key, ts, piece, finish_reason, usage and a unique ``order``. ``started``
+    names the column with the time the request was sent (the earliest counts); without
+    it, times run from the first chunk and leave out the wait before it.
     """
     has_text = F.coalesce(F.col("piece"), F.lit("")) != ""
     timing = chunks.groupBy(key).agg(
-        F.min("ts").alias("__start"), F.min(F.when(has_text, F.col("ts"))).alias("__first"),
+        F.min(started or "ts").alias("__start"), F.min(F.when(has_text, F.col("ts"))).alias("__first"),
         F.max("ts").alias("__end"), _count_if(has_text).alias("chunks"),
         F.max_by("finish_reason", F.when(F.col("finish_reason").isNotNull(), F.col(order))).alias("finish_reason"),
         F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col(order))).alias("usage"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evalweave import constants as C
 from evalweave.functions.cases import dataset_prefix
-from evalweave.operators.ordering import null_safe_join, running_total
+from evalweave.operators.ordering import integer_ordered, null_safe_join, running_total
 from evalweave.operators.sizes import measured
 
 
@@ -22,20 +22,24 @@ def pending(problems: DataFrame, state: DataFrame, key: str) -> DataFrame:
 
 def attach_state(problems: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """Every problem with its parsed code, empty when there is none."""
-    joined = problems.join(state.select(key, "parsed_code"), key, "left")
+    one = state.groupBy(key).agg(F.max("parsed_code").alias("parsed_code"))  # repeated records multiply nothing
+    joined = problems.join(one, key, "left")
     return joined.withColumn("parsed_code", F.coalesce("parsed_code", F.lit("")))
 
 
 def attach_grade(problems: DataFrame, grades: DataFrame, key: str) -> DataFrame:
     """Every problem with its grade; an ungraded problem did not pass."""
-    joined = problems.join(grades.select(key, "passed"), key, "left")
+    one = grades.groupBy(key).agg(F.max("passed").alias("passed"))
+    joined = problems.join(one, key, "left")
     return joined.withColumn("passed", F.coalesce("passed", F.lit(False)))
 
 
 def attach_p99(summaries: DataFrame, percentiles: DataFrame) -> DataFrame:
-    """Run summaries with the 99% row of the same run directory."""
-    row = percentiles.where(F.col("percentile") == C.PERCENTILE_ROW)
-    return summaries.join(row.drop("percentile"), "run_dir", "left")
+    """Run summaries with the first 99% row of the same run directory."""
+    row = percentiles.where(F.col("percentile") == C.PERCENTILE_ROW).drop("percentile")
+    rest = [c for c in row.columns if c != "run_dir"]
+    one = row.groupBy("run_dir").agg(F.first(F.struct(*rest)).alias("__row")).select("run_dir", "__row.*")
+    return summaries.join(one, "run_dir", "left")
 
 
 def paired_runs(tables: DataFrame, documents: DataFrame, stem: str = "stem") -> DataFrame:
@@ -72,7 +76,8 @@ def cycle_assign(corpus: DataFrame, key: str, n_samples: int) -> DataFrame:
     Only keys are numbered and repeated; join the texts afterwards. A corpus at
     least as large as the sample count is not repeated at all.
     """
-    placed = running_total(corpus.select(key), key, start="__i", total="__n")
+    keys, by = integer_ordered(corpus.select(key), key)
+    placed = running_total(keys, by, start="__i", total="__n")
     used = placed.where(F.col("__i") < n_samples)
     last = F.floor((F.lit(n_samples) - 1 - F.col("__i")) / F.col("__n")).cast("bigint")
     # two steps, so that a tiny corpus does not build one array per repetition

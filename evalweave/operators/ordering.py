@@ -114,6 +114,14 @@ def number_sorted(df: DataFrame, order: Sequence[Column | str], name: str = "ran
     ).select(*df.columns, name)
 
 
+def integer_ordered(df: DataFrame, key: str, name: str = "__ord") -> tuple[DataFrame, str]:
+    """``df`` and a bigint column that sorts as ``key``, of whatever type: the key itself if
+    it is an integer, else its rank. Pass narrow rows."""
+    if dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint"):
+        return df.withColumn(name, F.col(key).cast("bigint")), name
+    return number_sorted(df, [key], name), name
+
+
 def dedup_first(df: DataFrame, key: str | Sequence[str], order: str) -> DataFrame:
     """First record per key. Duplicates collapse on the map side."""
     return _pick(df, as_list(key), order, F.min_by)
@@ -136,7 +144,8 @@ def limit_per_group(df: DataFrame, group: str, order: str, limit: int | float) -
         raise ValueError(f"limit must be 0, a whole number or a share in (0, 1]: {limit!r}")
     if limit == 0:
         return df
-    placed = running_total(df.select(group, order), order, group)
+    keys, by = integer_ordered(df.select(group, order), order)
+    placed = running_total(keys, by, group)
     wanted = F.ceil(F.col("total") * F.lit(limit)) if isinstance(limit, float) else F.lit(limit)
     kept = measured(placed.where(F.col("start") < wanted).select(
         F.col(group).alias("__g"), F.col(order).alias("__o")))
@@ -165,7 +174,9 @@ def turn_requests(turns: DataFrame, human: str, mode: str) -> DataFrame:
     one per human turn whose history carries the corpus replies, with the next
     turn as gold. The history is given by reference - the number of turns and
     characters before the request - so that a long chat is not copied once per
-    turn; joining on ``seq < history_turns`` yields its text.
+    turn. In the first two modes it holds the human turns only, for the model's own
+    replies come between them; numbering the carried turns of a chat from 0 as ``seq``
+    and joining on ``seq < history_turns`` yields its text.
     """
     if mode not in ("every", "last", "every_with_gt"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -176,7 +187,8 @@ def turn_requests(turns: DataFrame, human: str, mode: str) -> DataFrame:
         "conv_id", "turn", is_human.alias("human"),
         F.when(carried, F.coalesce(F.length("text"), F.lit(0))).otherwise(0).alias("chars")))
     placed = materialize(running_totals(
-        narrow, "turn", {"seq": F.lit(1), "history_chars": F.col("chars")}, "conv_id"))
+        narrow, "turn", {"seq": F.lit(1) if mode == "every_with_gt" else F.col("human").cast("int"),
+                         "history_chars": F.col("chars")}, "conv_id"))
     wanted = placed.where("human")
     if mode == "last":
         last = wanted.groupBy("conv_id").agg(F.max("turn").alias("turn"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evalweave.functions.text import nonblank, tile_tokens, token_count, tokens, truncate_tokens
 from evalweave.operators.filters import valid_multiturn
 from evalweave.operators.joins import cycle_assign
-from evalweave.operators.ordering import running_total
+from evalweave.operators.ordering import integer_ordered, running_total
 from evalweave.operators.sizes import bounded, measured
 from evalweave.session import materialize
 
@@ -52,7 +52,8 @@ def corpus_offsets(corpus: DataFrame, key: str, text: str) -> DataFrame:
     the texts are tokenized once, and the positions, on which packing builds.
     """
     counts = materialize(corpus.where(nonblank(text)).select(key, token_count(text).alias("n_tokens")))
-    return materialize(running_total(counts, key, weight=F.col("n_tokens")))
+    counts, by = integer_ordered(counts, key)
+    return materialize(running_total(counts, by, weight=F.col("n_tokens")).drop(by))
 
 
 def _copies(offsets: DataFrame, key: str, until: Column) -> DataFrame:
@@ -84,9 +85,14 @@ def pack_by_budget(offsets: DataFrame, key: str, length: int) -> DataFrame:
     ).select("bucket", key, "at", F.least(F.col("n_tokens"), end - F.col("at")).alias("take"))
 
 
-def _cut_and_join(members: DataFrame, corpus: DataFrame, key: str, text: str, by: list[str]) -> DataFrame:
-    """Member texts cut to ``take`` and joined in order: at most L tokens a group."""
-    parts = corpus.select(key, text).join(members, key).select(
+def _cut_and_join(
+    members: DataFrame, corpus: DataFrame, key: str, text: str, by: list[str], length: int,
+) -> DataFrame:
+    """Member texts cut to ``take`` and joined in order: at most L tokens a group.
+
+    No member takes more than ``length`` tokens, so texts are cut to that before they move.
+    """
+    parts = corpus.select(key, truncate_tokens(text, length).alias(text)).join(members, key).select(
         *by, "at", "take", truncate_tokens(text, "take").alias("part"))
     return parts.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("at", "part"))).alias("__parts"),
@@ -106,10 +112,10 @@ def _finish_concat(
         # one sample per bucket: numbered while the rows are still narrow
         numbers = running_total(buckets, "bucket", start="sample").select("bucket", "sample")
         members = members.join(numbers, "bucket").drop("bucket")
-        return _cut_and_join(members, corpus, key, text, ["sample"])
+        return _cut_and_join(members, corpus, key, text, ["sample"], length)
     numbers = cycle_assign(buckets, "bucket", n_samples)
     members = measured(members.join(numbers.select("bucket").distinct(), "bucket", "left_semi"))
-    built = _cut_and_join(members, corpus, key, text, ["bucket"])
+    built = _cut_and_join(members, corpus, key, text, ["bucket"], length)
     return built.join(numbers, "bucket").select("sample", "question", "n_tokens", "draws")
 
 
@@ -141,7 +147,7 @@ def build_prefix(
         key, "at", F.least(F.col("n_tokens"), F.lit(shared) - F.col("at")).alias("take"))
     # every member holds a token, so there are at most `shared` of them, and one row
     # of `shared` tokens comes out
-    prefix = _cut_and_join(bounded(head, shared), corpus, key, text, []).select("question").scalar()
+    prefix = _cut_and_join(bounded(head, shared), corpus, key, text, [], shared).select("question").scalar()
     behind = offsets.where(F.col("start") >= shared).agg(F.min("start")).scalar()
     turned = offsets.withColumn(
         "start", F.pmod(F.col("start") - F.coalesce(behind, F.lit(0)), F.col("total")))

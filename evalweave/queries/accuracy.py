@@ -12,7 +12,7 @@ from evalweave.queries import fixtures as X
 from evalweave.queries.registry import query
 from evalweave.sinks.writers import prediction_rows, subset_summary
 
-RATE = "round(coalesce(CAST(sum(passed::INT) AS DOUBLE) / nullif(count(*), 0), 0) + 1e-9, 6)"
+RATE = "round(coalesce(CAST(sum(passed::INT) AS DOUBLE) / nullif(count(*), 0), 0), 6)"
 SUMS = f"CAST(sum(passed::INT) AS BIGINT) AS passed, count(*) AS total, {RATE} AS pass_at_1"
 SCOPES_SQL = f"""
 WITH g AS ({X.GRADED_SQL})
@@ -43,8 +43,8 @@ def pass_at_1(t):
 
 @query("parse_rates", f"""
 SELECT CAST(sum(parsed::INT) AS BIGINT) AS parsed, CAST(sum(passed::INT) AS BIGINT) AS passed, count(*) AS total,
-       round(coalesce(sum(parsed::INT)::DOUBLE / nullif(count(*), 0), 0) + 1e-9, 6) AS parsed_success_rate,
-       round(coalesce(sum(passed::INT)::DOUBLE / nullif(sum(parsed::INT), 0), 0) + 1e-9, 6) AS pass_rate_among_parsed
+       round(coalesce(sum(parsed::INT)::DOUBLE / nullif(count(*), 0), 0), 6) AS parsed_success_rate,
+       round(coalesce(sum(passed::INT)::DOUBLE / nullif(sum(parsed::INT), 0), 0), 6) AS pass_rate_among_parsed
 FROM ({X.GRADED_SQL})""")
 def parse_rates(t):
     return A.parse_rates(X.graded(t))
@@ -65,7 +65,7 @@ def error_category_of(t):
 
 
 @query("micro_macro", f"""
-SELECT round(sum(num * score) / sum(num) + 1e-9, 6) AS score, round(avg(score) + 1e-9, 6) AS macro_score,
+SELECT round(sum(num * score) / sum(num), 6) AS score, round(avg(score), 6) AS macro_score,
        CAST(sum(num) AS BIGINT) AS num, count(*) AS subsets
 FROM (SELECT platform, count(*) AS num, avg(passed::INT) AS score FROM ({X.GRADED_SQL}) GROUP BY platform)""")
 def micro_macro(t):
@@ -225,8 +225,8 @@ def write_summaries(t):
 
 
 @query("safe_ratio", """
-SELECT doc_id, round(n_words / nullif(hits, 0)::DOUBLE + 1e-9, 6) AS ratio_null,
-       round(coalesce(n_words / nullif(hits, 0)::DOUBLE, 0) + 1e-9, 6) AS ratio_zero
+SELECT doc_id, round(n_words / nullif(hits, 0)::DOUBLE, 6) AS ratio_null,
+       round(coalesce(n_words / nullif(hits, 0)::DOUBLE, 0), 6) AS ratio_zero
 FROM (SELECT doc_id, n_chars AS n_words, n_chars % 3 AS hits FROM documents)""")
 def ratios(t):
     hits = F.col("n_chars") % 3

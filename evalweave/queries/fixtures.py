@@ -63,6 +63,7 @@ def chunks(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     return t.events.select(
         F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), "ts",
+        F.timestamp_add("SECOND", -k().cast("int"), "ts").alias("started"),
         F.when(kind == "signup", F.lit("")).otherwise(kind).alias("piece"),
         F.when(kind == "purchase", F.lit("stop")).alias("finish_reason"),
         F.when(kind == "view", F.col("props")).alias("usage"))
@@ -113,7 +114,7 @@ SELECT event_id AS request_id, user_id AS case_id, ts AS start, event_type <> 'e
             THEN 'E' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) || ': detail' END AS error
 FROM events"""
 CHUNKS_SQL = """
-SELECT user_id AS request_id, event_id AS seq, ts,
+SELECT user_id AS request_id, event_id AS seq, ts, ts - to_seconds(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS started,
        CASE WHEN event_type = 'signup' THEN '' ELSE event_type END AS piece,
        CASE WHEN event_type = 'purchase' THEN 'stop' END AS finish_reason,
        CASE WHEN event_type = 'view' THEN props END AS usage

@@ -28,10 +28,7 @@ def uniform(df: DataFrame) -> DataFrame:
         if kind in ("int", "smallint", "tinyint"):
             return F.col(name).cast("bigint").alias(name)
         if kind == "double":
-            # the nudge keeps ties in the seventh place from hanging on the order
-            # in which a float sum was taken; the SQL does the same
-            x = F.col(name)
-            return F.when(F.abs(x) < 1e9, F.round(x + 1e-9, 6)).otherwise(x).alias(name)
+            return F.round(name, 6).alias(name)
         return F.col(name)
 
     return df.select(*[one(n, k) for n, k in df.dtypes])

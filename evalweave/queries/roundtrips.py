@@ -19,6 +19,7 @@ from evalweave.plans import prompt_sets as P
 from evalweave.queries import accuracy, workload
 from evalweave.queries import fixtures as X
 from evalweave.queries.registry import query
+from evalweave.queries.texts import BUILT, OFFSETS_SQL, TOKS, cycle_sql, offsets_sql, packed_sql, tiled_sql
 from evalweave.session import scratch_path
 from evalweave.sinks import tables as TB
 from evalweave.sinks import writers as WR
@@ -32,14 +33,46 @@ from evalweave.streaming import state as ST
 def read_questions(t):
     path = scratch_path(t.spark, "questions")
     WR.write_prompt_set(t.benchmark, "text", path)
+    return S.read_questions(t.spark, path).select("question")
+
+
+def _question_file(t):
+    """The benchmark as one prompt file, in order of its ids."""
+    path = scratch_path(t.spark, "questions")
+    WR.write_prompt_set(t.benchmark.coalesce(1).sortWithinPartitions("item_id"), "text", path)
     return S.read_questions(t.spark, path)
 
 
+@query("questions_to_prompt_set", f"""
+SELECT sample, {tiled_sql('toks', 200)} AS question
+FROM ({cycle_sql(f"SELECT item_id, {TOKS('text')} AS toks FROM benchmark WHERE len({TOKS('text')}) > 0", "item_id", 300, ", c.toks")})""")
+def questions_to_prompt_set(t):
+    """File written, read, and built, on the reader's own key."""
+    return P.build_tiled(_question_file(t), "ord", "question", 200, 300).select("sample", "question")
+
+
+@query("questions_to_concat", f"""
+WITH {packed_sql(64, offsets_sql(f"SELECT item_id AS doc_id, toks, len(toks) AS n FROM (SELECT item_id, {TOKS('text')} AS toks FROM benchmark) WHERE len(toks) > 0"))}, {BUILT}
+SELECT sample, question, n_tokens, draws FROM n""")
+def questions_to_concat(t):
+    return P.build_concat(_question_file(t), "ord", "question", 64)
+
+
 @query("read_issues", "SELECT text FROM documents WHERE regexp_matches(text, '\\S')")
 def read_issues(t):
     path = scratch_path(t.spark, "issues")
     t.documents.select("doc_id", F.col("text").alias("problem_statement")).write.parquet(f"{path}/data")
-    return S.read_issues(t.spark, path)
+    return S.read_issues(t.spark, path).select("text")
+
+
+@query("issues_to_prompt_set", f"""
+WITH {packed_sql(256, OFFSETS_SQL)}, {BUILT}
+SELECT sample, question, n_tokens, draws FROM n""")
+def issues_to_prompt_set(t):
+    path = scratch_path(t.spark, "issues")
+    issues = t.documents.select("doc_id", F.col("text").alias("problem_statement"))
+    issues.coalesce(1).sortWithinPartitions("doc_id").write.parquet(f"{path}/data")
+    return P.build_concat(S.read_issues(t.spark, path), "ord", "text", 256)
 
 
 def _bank(t):
@@ -84,8 +117,8 @@ def load_problems(t):
 
 
 @query("read_metric_rows", """
-SELECT event_type AS param, CAST(user_id AS VARCHAR) AS stage, round(min(value) + 1e-9, 6) AS min,
-       round(max(value) + 1e-9, 6) AS max, round(quantile_cont(value, 0.5) + 1e-9, 6) AS median, count(*)::DOUBLE AS n
+SELECT event_type AS param, CAST(user_id AS VARCHAR) AS stage, round(min(value), 6) AS min,
+       round(max(value), 6) AS max, round(quantile_cont(value, 0.5), 6) AS median, count(*)::DOUBLE AS n
 FROM events GROUP BY ALL""")
 def read_metric_rows(t):
     rows = t.events.select(F.col("event_type").alias("param"), F.col("user_id").cast("string").alias("stage"), "value")
@@ -99,13 +132,19 @@ def read_metric_rows(t):
 
 @query("read_common_metrics", """
 SELECT user_id, 'Total Requests' AS metric, 'total' AS stage, CAST(count(*) AS VARCHAR) AS value FROM events GROUP BY user_id
-UNION ALL SELECT user_id, 'Last Event', 'steady', CAST(max(event_id) AS VARCHAR) FROM events GROUP BY user_id""")
+UNION ALL SELECT user_id, 'Total Requests', 'other', CAST(max(event_id) AS VARCHAR) FROM events GROUP BY user_id
+UNION ALL SELECT user_id, 'Last Event', 'steady', CAST(max(event_id) AS VARCHAR) FROM events GROUP BY user_id
+UNION ALL SELECT user_id, 'Last Event', 'a', CAST(count(*) AS VARCHAR) FROM events GROUP BY user_id""")
 def read_common_metrics(t):
     last = F.max("event_id")
     documents = t.events.groupBy("user_id").agg(F.to_json(F.struct(
         F.struct(F.count("*").alias("total"), last.alias("other")).alias("Total Requests"),
         F.struct(last.alias("steady"), F.count("*").alias("a")).alias("Last Event"))).alias("doc"))
-    return documents.select("user_id", F.explode(S.common_entries("doc")).alias("e")).select("user_id", "e.*")
+    path = scratch_path(t.spark, "common")
+    documents.withColumn("case", F.col("user_id")).select("case", "doc").write.partitionBy("case").text(path)
+    read = S.read_common_metrics(t.spark, f"{path}/*")
+    run = F.regexp_extract("run_dir", "case=([0-9]+)$", 1).cast("bigint").alias("user_id")
+    return read.select(run, "metric", "stage", "value")
 
 
 @query("read_run_summaries", f"""
@@ -152,7 +191,7 @@ def _reports(t):
 
 
 @query("read_eval_reports", """
-SELECT source, round(avg(n_chars) + 1e-9, 6) AS score, round(avg(n_chars) + 1e-9, 6) AS macro_score,
+SELECT source, round(avg(n_chars), 6) AS score, round(avg(n_chars), 6) AS macro_score,
        CASE WHEN ascii(right(source, 1)) % 2 = 0 THEN count(*) FILTER (lang IN ('de', 'es', 'fr')) ELSE count(*) END AS num
 FROM documents GROUP BY source""")
 def read_eval_reports(t):
@@ -161,9 +200,9 @@ def read_eval_reports(t):
 
 @query("subset_rows", """
 SELECT source, l.x AS name, count(*) FILTER (lang = l.x) AS num,
-       round(coalesce(avg(n_chars) FILTER (lang = l.x), 0) + 1e-9, 6) AS score
+       round(coalesce(avg(n_chars) FILTER (lang = l.x), 0), 6) AS score
 FROM documents, (VALUES ('de'), ('es'), ('fr')) l(x) WHERE ascii(right(source, 1)) % 2 = 0 GROUP BY ALL
-UNION ALL SELECT source, 'all/langs', count(*), round(avg(n_chars) + 1e-9, 6) FROM documents
+UNION ALL SELECT source, 'all/langs', count(*), round(avg(n_chars), 6) FROM documents
 WHERE ascii(right(source, 1)) % 2 = 1 GROUP BY source""")
 def subset_rows(t):
     return S.subset_rows(_reports(t), "source")

@@ -57,7 +57,7 @@ def approx_tokens(t):
 
 
 @query("parse_number", r"""
-SELECT doc_id, CASE WHEN abs(x) < 1e9 THEN round(x + 1e-9, 6) ELSE x END AS x FROM (
+SELECT doc_id, CASE WHEN abs(x) < 1e9 THEN round(x, 6) ELSE x END AS x FROM (
   SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '-?\d+\.?\d*'), '') AS DOUBLE) AS x FROM documents)""")
 def parse_number(t):
     return t.documents.select("doc_id", TX.parse_number("text").alias("x"))
@@ -111,7 +111,7 @@ def flatten_messages(t):
 
 
 @query("score_value", """
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN round(n_chars / 8.0 + 1e-9, 6) WHEN 1 THEN n_chars::DOUBLE ELSE 0.0 END AS score
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN round(n_chars / 8.0, 6) WHEN 1 THEN n_chars::DOUBLE ELSE 0.0 END AS score
 FROM documents""")
 def score_value(t):
     n = F.col("n_chars")
@@ -184,9 +184,10 @@ def read_prompts(t):
 
 
 def _requests_sql(mode: str) -> str:
+    turns = "row_number()" if mode == "every_with_gt" else "count(*) FILTER (role = 'user')"
     chars = "length(text)" if mode == "every_with_gt" else "CASE WHEN role = 'user' THEN length(text) ELSE 0 END"
     return f"""
-WITH t AS (SELECT *, row_number() OVER w - 1 AS history_turns,
+WITH t AS (SELECT *, {turns} OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS history_turns,
        CAST(coalesce(sum({chars}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS history_chars,
        lead(text) OVER w AS gold, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last_turn
      FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -313,8 +314,12 @@ r AS (SELECT doc_id, n, toks, start + c.range * total AS pos, total FROM o, rang
 m AS (SELECT k, doc_id, pos, s0, least(n, s0 + {length} - pos) AS take, toks FROM s JOIN r ON pos >= s0 AND pos < s0 + {length})"""
 
 
-OFFSETS_SQL = f"""SELECT doc_id, toks, n, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-  CAST(sum(n) OVER () AS BIGINT) AS total FROM ({X.CORPUS_SQL})"""
+def offsets_sql(corpus: str) -> str:
+    return f"""SELECT doc_id, toks, n, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+  CAST(sum(n) OVER () AS BIGINT) AS total FROM ({corpus})"""
+
+
+OFFSETS_SQL = offsets_sql(X.CORPUS_SQL)
 
 
 @query("corpus_offsets", f"SELECT doc_id, n AS n_tokens, start, total FROM ({OFFSETS_SQL})")

@@ -22,7 +22,7 @@ def _acceptance(t):
         M.log_counter("line", "speculative_proposed_tokens").alias("proposed"))
 
 
-RATE = "round(sum(accepted) * 100.0 / nullif(sum(proposed), 0) + 1e-9, 6) AS rate, count(*) AS n"
+RATE = "round(sum(accepted) * 100.0 / nullif(sum(proposed), 0), 6) AS rate, count(*) AS n"
 
 
 @query("log_counter", X.COUNTS_SQL)
@@ -42,7 +42,7 @@ def acceptance_rate(t):
 
 @query("acceptance_by_case", f"""
 SELECT path, round(sum(accepted) FILTER (accepted <= proposed) * 100.0
-                   / nullif(sum(proposed) FILTER (accepted <= proposed), 0) + 1e-9, 6) AS rate,
+                   / nullif(sum(proposed) FILTER (accepted <= proposed), 0), 6) AS rate,
        count(*) FILTER (accepted <= proposed) AS n
 FROM ({X.COUNTS_SQL}) GROUP BY path""")
 def acceptance_by_case(t):
@@ -81,11 +81,16 @@ def _q(column, name):
             f"round(quantile_cont({column}, 0.99) + 1e-9, 6) AS p99, round(max({column}) + 1e-9, 6) AS max")
 
 
+def _settled(df):
+    """Ties in the seventh place, which engines break differently, go up on both sides."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c, kind in df.dtypes if kind == "double"})
+
+
 @query("describe", " UNION ALL ".join(
     f"SELECT '{c}' AS metric, {_q(f'CAST({c} AS DOUBLE)', c)} FROM lineitem"
     for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 def describe(t):
-    return Q.describe(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return _settled(Q.describe(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 
 
 @query("describe_requests", " UNION ALL ".join(
@@ -95,13 +100,13 @@ def describe(t):
     for i, c in enumerate(["completion_tokens", "ttft_seconds", "tpot_seconds", "elapsed_seconds"])))
 def describe_requests(t):
     rows = X.requests(t).withColumn("tpot_seconds", M.tpot("elapsed_seconds", "ttft_seconds", "completion_tokens"))
-    return Q.describe(rows, ["completion_tokens", "ttft_seconds", "tpot_seconds", "elapsed_seconds"], "case_id")
+    return _settled(Q.describe(rows, ["completion_tokens", "ttft_seconds", "tpot_seconds", "elapsed_seconds"], "case_id"))
 
 
 @query("metric_stats", """
-SELECT event_type AS param, 'total' AS stage, round(avg(value) + 1e-9, 6) AS average, min(value) AS min, max(value) AS max,
-       round(quantile_cont(value, 0.5) + 1e-9, 6) AS median, round(quantile_cont(value, 0.75) + 1e-9, 6) AS p75,
-       round(quantile_cont(value, 0.9) + 1e-9, 6) AS p90, round(quantile_cont(value, 0.99) + 1e-9, 6) AS p99, count(*) AS n
+SELECT event_type AS param, 'total' AS stage, round(avg(value), 6) AS average, min(value) AS min, max(value) AS max,
+       round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS p75,
+       round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n
 FROM events GROUP BY event_type""")
 def metric_stats(t):
     rows = t.events.select(F.col("event_type").alias("param"), F.lit("total").alias("stage"), "value")
@@ -114,7 +119,7 @@ PARAM_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
 
 @query("summary_wide", f"""
 WITH m AS (SELECT user_id, {PARAM_CASE} AS param, value, event_id FROM events),
-     c AS (SELECT user_id, round(sum(value) + 1e-9, 6) AS a, round(avg(value) + 1e-9, 6) AS b, count(*)::DOUBLE AS d FROM events GROUP BY 1)
+     c AS (SELECT user_id, round(sum(value), 6) AS a, round(avg(value), 6) AS b, count(*)::DOUBLE AS d FROM events GROUP BY 1)
 SELECT m.user_id, {", ".join(
     f"arg_max(value, event_id) FILTER (param = '{p}') AS {c}" for c, p in A.C.SUMMARY_PARAMS.items())},
   any_value(a) AS total_tokens_per_s, any_value(b) AS requests_per_s, any_value(d) AS total_requests
@@ -122,12 +127,14 @@ FROM m JOIN c ON m.user_id = c.user_id GROUP BY m.user_id""")
 def summary_wide(t):
     kinds = F.create_map(*[F.lit(x) for kv in PARAMS.items() for x in kv])
     rows = t.events.select("user_id", F.element_at(kinds, F.col("event_type")).alias("param"),
-                           F.col("value").alias("average"), F.col("event_id").alias("ord"))
+                           F.format_string("%.12f ms", F.col("value")).alias("average"), F.col("event_id").alias("ord"),
+                           F.lit("total").alias("stage"))
+    other = rows.withColumns({"stage": F.lit("stable"), "average": F.lit("0 ms"), "ord": F.col("ord") + 10**9})
     common = t.events.groupBy("user_id").agg(
         F.sum("value").alias("Total Token Throughput"), F.avg("value").alias("Request Throughput"),
         F.count("*").cast("double").alias("Total Requests")).unpivot(
         ["user_id"], ["Total Token Throughput", "Request Throughput", "Total Requests"], "metric", "value")
-    return A.summary_wide(rows, common, "user_id")
+    return A.summary_wide(rows.unionByName(other), common, "user_id")
 
 
 ROLL_SQL = f"""
@@ -147,11 +154,11 @@ WITH r AS (SELECT *, 1 << CAST(case_id % 4 AS INT) AS concurrency, completion_to
          quantile_cont(tpot, 0.99) FILTER (ok) AS pp
        FROM r GROUP BY concurrency)
 SELECT CAST(concurrency AS BIGINT) AS concurrency, requests, succeed, failed,
-  round(succeed / span + 1e-9, 6) AS request_throughput, round(o / span + 1e-9, 6) AS output_token_throughput,
-  round((o + i) / span + 1e-9, 6) AS total_token_throughput, round(l + 1e-9, 6) AS avg_latency_s, round(tt + 1e-9, 6) AS avg_ttft_s,
-  round(tp + 1e-9, 6) AS avg_tpot_s, round(gap_s / gaps + 1e-9, 6) AS avg_itl_s, round(ai + 1e-9, 6) AS avg_input_tokens,
-  round(ao + 1e-9, 6) AS avg_output_tokens, round(pl + 1e-9, 6) AS p99_latency_s, round(pt + 1e-9, 6) AS p99_ttft_s,
-  round(pp + 1e-9, 6) AS p99_tpot_s
+  round(succeed / span, 6) AS request_throughput, round(o / span, 6) AS output_token_throughput,
+  round((o + i) / span, 6) AS total_token_throughput, round(l, 6) AS avg_latency_s, round(tt, 6) AS avg_ttft_s,
+  round(tp, 6) AS avg_tpot_s, round(gap_s / gaps, 6) AS avg_itl_s, round(ai, 6) AS avg_input_tokens,
+  round(ao, 6) AS avg_output_tokens, round(pl, 6) AS p99_latency_s, round(pt, 6) AS p99_ttft_s,
+  round(pp, 6) AS p99_tpot_s
 FROM s"""
 
 
@@ -172,8 +179,8 @@ SELECT *, (row_number() OVER (PARTITION BY case_id ORDER BY request_id) - 1) //
 FROM ({X.REQUESTS_SQL})"""
 WAVE_STATS_SQL = f"""
 SELECT case_id, wave, count(*) FILTER (ok) AS ok, count(*) AS total,
-       round(avg(elapsed_seconds) FILTER (ok) + 1e-9, 6) AS avg_seconds,
-       round(coalesce(avg(ttft_seconds) FILTER (ok), 0) + 1e-9, 6) AS avg_ttft,
+       round(avg(elapsed_seconds) FILTER (ok), 6) AS avg_seconds,
+       round(coalesce(avg(ttft_seconds) FILTER (ok), 0), 6) AS avg_ttft,
        count(*) FILTER (NOT ok) AS failed, arg_max(error, request_id) FILTER (NOT ok) AS last_error
 FROM ({WAVES_SQL}) GROUP BY case_id, wave"""
 
@@ -196,9 +203,9 @@ def wave_stats(t):
 
 
 @query("cold_warm_ratio", f"""
-WITH w AS ({WAVE_STATS_SQL.replace("round(avg(elapsed_seconds) FILTER (ok) + 1e-9, 6)", "avg(elapsed_seconds) FILTER (ok)")})
-SELECT case_id, round(f + 1e-9, 6) AS first_avg, round(l + 1e-9, 6) AS last_avg, g AS good_waves,
-       CASE WHEN g >= 2 AND l > 0 AND f >= 0.1 THEN round(f / l + 1e-9, 6) END AS ratio
+WITH w AS ({WAVE_STATS_SQL.replace("round(avg(elapsed_seconds) FILTER (ok), 6)", "avg(elapsed_seconds) FILTER (ok)")})
+SELECT case_id, round(f, 6) AS first_avg, round(l, 6) AS last_avg, g AS good_waves,
+       CASE WHEN g >= 2 AND l > 0 AND f >= 0.1 THEN round(f / l, 6) END AS ratio
 FROM (SELECT case_id, arg_min(avg_seconds, wave) FILTER (ok > 0) AS f, arg_max(avg_seconds, wave) FILTER (ok > 0) AS l,
              count(*) FILTER (ok > 0) AS g FROM w GROUP BY case_id)""")
 def cold_warm_ratio(t):
@@ -207,15 +214,15 @@ def cold_warm_ratio(t):
 
 @query("request_timing", f"""
 SELECT request_id,
-  round(date_diff('microsecond', min(ts), min(ts) FILTER (piece <> '')) / 1e6 + 1e-9, 6) AS ttft_seconds,
-  round(date_diff('microsecond', min(ts), max(ts)) / 1e6 + 1e-9, 6) AS elapsed_seconds,
+  round(date_diff('microsecond', min(started), min(ts) FILTER (piece <> '')) / 1e6, 6) AS ttft_seconds,
+  round(date_diff('microsecond', min(started), max(ts)) / 1e6, 6) AS elapsed_seconds,
   count(*) FILTER (piece <> '') AS chunks,
   arg_max(finish_reason, seq) FILTER (finish_reason IS NOT NULL) AS finish_reason,
   arg_max(usage, seq) FILTER (usage IS NOT NULL) AS usage,
   CASE WHEN count(*) FILTER (piece <> '') = 0 THEN 'empty_response' END AS error
 FROM ({X.CHUNKS_SQL}) GROUP BY request_id""")
 def request_timing(t):
-    return A.request_timing(X.chunks(t), "request_id", "seq")
+    return A.request_timing(X.chunks(t), "request_id", "seq", "started")
 
 
 @query("read_chunk_log", f"""
@@ -262,15 +269,17 @@ def validate_rows(t):
 
 
 @query("tpot", f"""
-SELECT request_id, round(CASE WHEN completion_tokens > 1
-       THEN (elapsed_seconds - ttft_seconds) / (completion_tokens - 1) END + 1e-9, 6) AS tpot FROM ({X.REQUESTS_SQL})""")
+SELECT request_id, floor(1e6 * CASE WHEN completion_tokens > 1
+       THEN (elapsed_seconds - ttft_seconds) / (completion_tokens - 1) END) / 1e6 AS tpot FROM ({X.REQUESTS_SQL})""")
 def tpot(t):
-    return X.requests(t).select("request_id", M.tpot("elapsed_seconds", "ttft_seconds", "completion_tokens").alias("tpot"))
+    # cut, not rounded: engines break ties in the seventh place differently
+    cut = F.floor(M.tpot("elapsed_seconds", "ttft_seconds", "completion_tokens") * F.lit(1e6)) / F.lit(1e6)
+    return X.requests(t).select("request_id", cut.alias("tpot"))
 
 
 @query("retry_delay", """
-SELECT event_id, round(least(2.0 * pow(2, a - 1), 60.0) + 1e-9, 6) AS delay,
-       round(coalesce(list_sum(list_transform(range(1, a), lambda i: least(2.0 * pow(2, i - 1), 60.0))), 0) + 1e-9, 6) AS waited
+SELECT event_id, round(least(2.0 * pow(2, a - 1), 60.0), 6) AS delay,
+       round(coalesce(list_sum(list_transform(range(1, a), lambda i: least(2.0 * pow(2, i - 1), 60.0))), 0), 6) AS waited
 FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 9 + 1 AS a FROM events)""")
 def retry_delay(t):
     a = X.k() % 9 + 1

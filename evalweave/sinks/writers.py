@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from evalweave import constants as C
 
 
+GROUP_FILES, GROUP_RECORDS = 4, 1_000_000
+
+
 def prompt_rows(prompts: DataFrame, column: str) -> DataFrame:
     return prompts.select(F.col(column).alias("question"), F.lit(C.NO_ANSWER).alias("answer"))
 
@@ -66,11 +69,14 @@ def write_result_groups(cases: DataFrame, details: DataFrame, path: str) -> None
     """Case summaries and details by (dataset_type, input_len, pfx).
 
     A failed case keeps its row, with null metrics. Files follow the groups, so a
-    reader of one group prunes the others.
+    reader of one group prunes the others. A group is dealt to at most ``GROUP_FILES``
+    tasks, which bounds both the number of small files and what one task writes of a
+    large group.
     """
     keys = ["dataset_type", "input_len", "pfx"]
     for name, df in (("summary", cases), ("detail", details)):
-        df.write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/{name}")
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(GROUP_FILES))
+        df.repartition(*keys, salt).write.option("maxRecordsPerFile", GROUP_RECORDS).mode("overwrite").partitionBy(*keys).parquet(f"{path}/{name}")
 
 
 def write_chat_subset(chats: DataFrame, path: str) -> None:

@@ -26,8 +26,17 @@ def _stem() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), r"\.[^./]*$", "")
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Add ``ord``: file, block and line, a unique key that sorts as the rows lie in their
+    files. It costs no shuffle; what needs a dense number makes one of it."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                     F.monotonically_increasing_id().alias("line"))
+    return rows.select(place.alias("ord"), "*")
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("question string").json(path)
+    """(ord, question)."""
+    return in_file_order(spark.read.schema("question string").json(path))
 
 
 def read_nested_chats(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -56,10 +65,11 @@ def read_chats(spark: SparkSession, path: str, role: str = "human", multi_line:
 
 
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
-    """``problem_statement`` if there is one, else the first column, of every file."""
+    """(ord, text): ``problem_statement`` if there is one, else the first column, of every file."""
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
     name = "problem_statement" if "problem_statement" in df.columns else df.columns[0]
-    texts = filter_nonblank(df.select(F.col(name).cast("string").alias("text")), "text")
+    texts = in_file_order(df).select("ord", F.col(name).cast("string").alias("text"))
+    texts = filter_nonblank(texts, "text")
     if texts.isEmpty():
         raise ValueError(f"no text in column {name} of {path}")
     return texts
@@ -88,15 +98,17 @@ def read_metric_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def common_entries(text: str) -> Column:
-    """{metric: {stage: value}} -> array of (metric, stage, value), first stage only."""
+    """{metric: {stage: value}} -> array of (metric, stage, value), every stage; a metric
+    without one has null for both."""
     metrics = F.from_json(F.col(text), "map<string,map<string,string>>")
 
-    def entry(e: Column) -> Column:
-        return F.struct(
-            e["key"].alias("metric"), F.get(F.map_keys(e["value"]), F.lit(0)).alias("stage"),
-            F.get(F.map_values(e["value"]), F.lit(0)).alias("value"))
+    def entries(e: Column) -> Column:
+        none = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+        stages = F.map_entries(e["value"])
+        stages = F.when(F.coalesce(F.size(stages), F.lit(0)) > 0, stages).otherwise(none)
+        return F.transform(stages, lambda s: F.struct(e["key"].alias("metric"), s["key"].alias("stage"), s["value"].alias("value")))
 
-    return F.transform(F.map_entries(metrics), entry)
+    return F.flatten(F.transform(F.map_entries(metrics), entries))
 
 
 def read_common_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -173,18 +185,18 @@ def subset_rows(reports: DataFrame, key: str = "report") -> DataFrame:
 
 
 def read_prompts(spark: SparkSession, path: str, n: int = 0) -> DataFrame:
-    """Prompts of a JSON-lines file (question, else prompt) or of a chat file (the
-    first human turn of each chat); the first ``n``, 0 for all."""
+    """(ord, prompt) of a JSON-lines file (question, else prompt) or of a chat file (the
+    first human turn of each chat); the first ``n`` in file order, 0 for all."""
     if path.endswith(".jsonl"):
-        rows = spark.read.schema("question string, prompt string").json(path)
-        rows = rows.select(F.coalesce(
+        rows = in_file_order(spark.read.schema("question string, prompt string").json(path))
+        rows = rows.select("ord", F.coalesce(
             F.nullif("question", F.lit("")), F.nullif("prompt", F.lit(""))).alias("prompt")
         ).where("prompt is not null")
     else:
-        chats = read_nested_chats(spark, path)
+        chats = in_file_order(read_nested_chats(spark, path))
         first = F.get(F.filter("conversations", lambda t: t["from"] == C.HUMAN), F.lit(0))
-        rows = chats.select(first["value"].alias("prompt")).where("prompt <> ''")
-    return rows.limit(n) if n > 0 else rows
+        rows = chats.select("ord", first["value"].alias("prompt")).where("prompt <> ''")
+    return rows.orderBy("ord").limit(n) if n > 0 else rows
 
 
 def prompts_of(turns: DataFrame, human: str) -> DataFrame:
