@@ -23,7 +23,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections import ChainMap
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -65,22 +66,25 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {"": b""}, {}
         # letters that composing and lower-casing treat one by one, then marks that don't combine
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$#%&]*)").fullmatch
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words not met lately."""
-        parts, new, odd = {}, set(), []
+        parts, new, odd, kept = {}, set(), [], {}
         for w in words:
             ids = self.older.get(w)
             if ids is not None:
-                self.known[w] = ids
+                kept[w] = ids
             elif m := self.plain(w):
                 parts[w] = (m[1].lower(), m[2])
                 new.update(x for x in parts[w] if x not in self.known)
             else:
                 odd.append(w)
         again = {x: self.older[x] for x in new if x in self.older}
-        learnt = again | self._encode(list(new - again.keys()), odd)
+        learnt = kept | again | self._encode(list(new - again.keys()), odd)
         for w, (letters, marks) in parts.items():
             learnt[w] = (learnt.get(letters) or self.known[letters]) + (learnt.get(marks) or self.known[marks])
         if len(self.known) > REMEMBERED:
@@ -89,13 +93,13 @@ class Encoder:
         return learnt
 
     def _encode(self, plain: list[str], odd: list[str]) -> dict[str, bytes]:
-        """Plain parts are one word each to the tokenizer, so one call serves all of them."""
+        """Plain parts are one word each to the tokenizer, so one call serves all of them;
+        a word's last token is marked as such."""
         out = {}
         if plain:
-            whole = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+            whole = self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0]
             ids = np.array(whole.ids, "<u4")
-            word = np.array(whole.word_ids, np.int64)
-            ends = np.flatnonzero(np.diff(word, append=-1)) + 1
+            ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(plain):
                 raise ValueError("the tokenizer parts words elsewhere than expected")
             data, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
@@ -105,14 +109,21 @@ class Encoder:
             out |= {w: struct.pack(f"<{len(e)}I", *e.ids) for w, e in zip(odd, found)}
         return out
 
+    def many(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of each text; what is new to all of them is learnt at once."""
+        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*words).difference(self.known)
+        if not new:
+            return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        here = self.known
+        learnt = self._learn(new)
+        if here is self.known and new <= here.keys():
+            return [b"".join(map(here.__getitem__, w)) for w in words]
+        both = ChainMap(learnt, here)
+        return [b"".join(map(both.__getitem__, w)) for w in words]
+
     def __call__(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            kept = self.known
-            learnt = self._learn({w for w, x in zip(words, ids) if x is None})
-            ids = [x if x is not None else learnt[w] if w in learnt else kept[w] for w, x in zip(words, ids)]
-        return b"".join(ids)
+        return self.many([text])[0]
 
 
 @lru_cache(2)
@@ -216,18 +227,20 @@ def filesystem(uri: str):
     return arrow_fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (arrow_fs.LocalFileSystem(), uri)
 
 
-def _write(folder: str, open_encoder: Callable[[], Callable[[str | None], bytes]], end_id: int):
+def _write(folder: str, open_encoder: Callable[[], Callable[[Iterable[str | None]], list[bytes]]], end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end, writer = open_encoder(), struct.pack("<I", end_id), None
         store, root = filesystem(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.zst"
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                if writer is None:
-                    store.create_dir(root, recursive=True)
-                    writer = Writer(store.open_output_stream(f"{root}/{name}", compression=None))
-                writer.add(None if pd.isna(doc_id) else int(doc_id), encode(text) + end)
+            for lo in range(0, len(batch), 64):
+                some = batch.iloc[lo:lo + 64]
+                for doc_id, ids in zip(some["doc_id"], encode(some["text"])):
+                    if writer is None:
+                        store.create_dir(root, recursive=True)
+                        writer = Writer(store.open_output_stream(f"{root}/{name}", compression=None))
+                    writer.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
         if writer is not None:
             writer.close()
             writer.out.close()
@@ -246,7 +259,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would round large nullable integers
-    return pinned(rows.mapInPandas(_write(folder, lambda: encoder(tokenizer), end_id), MANIFEST), "manifest")
+    return pinned(rows.mapInPandas(_write(folder, lambda: encoder(tokenizer).many, end_id), MANIFEST), "manifest")
 
 
 def _read(wanted: Sequence[int] | None):
