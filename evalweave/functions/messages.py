@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from evalweave.functions.text import col, strip
 
 
-def flatten_turns(turns) -> Column:
-    """array<struct<.., text>> already in order -> one text, blank line between."""
-    return F.array_join(F.transform(col(turns), lambda t: t["text"]), "\n\n")
-
-
 def flatten_messages(raw) -> Column:
     """A prompt as plain text, which stays as it is, or as a JSON array of messages
     whose content is a string or a list of parts. Messages are joined by a blank

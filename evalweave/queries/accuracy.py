@@ -8,9 +8,13 @@ from evalweave.operators import aggregates as A
 from evalweave.operators import filters as FL
 from evalweave.operators import joins as J
 from evalweave.operators import ordering as O
+from evalweave.plans import evaluation as E
 from evalweave.queries import fixtures as X
 from evalweave.queries.registry import query
-from evalweave.sinks.writers import prediction_rows, subset_summary
+from evalweave.session import scratch_path
+from evalweave.sinks.writers import subset_summary
+from evalweave.sinks.writers import write_predictions as write_predictions_to
+from evalweave.streaming import state as ST
 
 RATE = "round(coalesce(CAST(sum(passed::INT) AS DOUBLE) / nullif(count(*), 0), 0), 6)"
 SUMS = f"CAST(sum(passed::INT) AS BIGINT) AS passed, count(*) AS total, {RATE} AS pass_at_1"
@@ -110,8 +114,10 @@ SELECT p.question_id, '["' || coalesce(s.parsed_code, '') || '"]' AS code_list
 FROM ({X.PROBLEMS_SQL}) p LEFT JOIN ({X.STATE_SQL}) s ON p.question_id = s.question_id""")
 def write_predictions(t):
     attached = J.attach_state(X.problems(t).select("question_id"), X.state(t), "question_id")
-    return prediction_rows(attached, "question_id").select(
-        "question_id", F.to_json("code_list").alias("code_list"))
+    path = scratch_path(t.spark, "predictions")
+    write_predictions_to(attached, "question_id", path)
+    written = t.spark.read.schema("question_id bigint, code_list array<string>").json(f"{path}/predictions")
+    return written.select("question_id", F.to_json("code_list").alias("code_list"))
 
 
 SUCCEEDED = """(completed AND CASE WHEN request_failed IS NULL
@@ -238,8 +244,10 @@ def ratios(t):
 @query("reset_failed", f"""
 SELECT question_id, coalesce(error, '') AS error FROM ({X.STATE_SQL}) WHERE {SUCCEEDED}""")
 def reset_failed(t):
-    ok = FL.request_succeeded("completed", "request_failed", "error")
-    return X.state(t).where(ok).select("question_id", F.coalesce("error", F.lit("")).alias("error"))
+    store, schema = scratch_path(t.spark, "state"), "question_id bigint, completed boolean, request_failed boolean, error string"
+    ST.upsert_state(X.state(t).select("question_id", "completed", "request_failed", "error", F.lit(0).alias("seq")), 0, store)
+    ST.reset_failed(t.spark, store, schema)
+    return ST.read_run_state(t.spark, store, schema).select("question_id", F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query("upsert_state", f"""
@@ -247,8 +255,22 @@ SELECT question_id, error FROM ({X.STATE_SQL}) WHERE NOT {SUCCEEDED} IS TRUE AND
 UNION ALL SELECT question_id, 'rerun' FROM ({X.STATE_SQL}) WHERE NOT {SUCCEEDED} IS TRUE AND question_id % 2 = 0
 UNION ALL SELECT question_id, error FROM ({X.STATE_SQL}) WHERE {SUCCEEDED}""")
 def upsert_state(t):
-    stored = X.state(t).select("question_id", "error", F.lit(0).alias("batch"),
+    store = scratch_path(t.spark, "state")
+    stored = X.state(t).select("question_id", "error", F.lit(0).alias("seq"),
                                FL.request_succeeded("completed", "request_failed", "error").alias("ok"))
-    rerun = stored.where(~F.col("ok") & (F.col("question_id") % 2 == 0)).select(
-        "question_id", F.lit("rerun").alias("error"), F.lit(1).alias("batch"), "ok")
-    return O.dedup_last(stored.union(rerun), "question_id", "batch").select("question_id", "error")
+    rerun = stored.where(~F.col("ok") & (F.col("question_id") % 2 == 0)).withColumn("error", F.lit("rerun"))
+    for batch, rows in enumerate((stored, rerun)):
+        ST.upsert_state(rows.drop("ok"), batch, store)
+    return ST.read_run_state(t.spark, store, "question_id bigint, error string")
+
+
+@query("evaluation_summary", f"""
+SELECT scope AS part, name, m.x AS metric, round(CASE m.x WHEN 'passed' THEN passed WHEN 'total' THEN total ELSE pass_at_1 END, 6) AS value
+FROM ({SCOPES_SQL}), (VALUES ('passed'), ('total'), ('pass_at_1')) m(x)
+UNION ALL SELECT 'errors', split_part(error, ':', 1), 'n', count(*)::DOUBLE FROM ({X.REQUESTS_SQL}) WHERE error <> '' GROUP BY 2
+UNION ALL SELECT 'timing', 'completion_tokens', m.x, round(CASE m.x WHEN 'count' THEN count(completion_tokens) WHEN 'mean' THEN avg(completion_tokens)
+  WHEN 'p50' THEN quantile_cont(completion_tokens::DOUBLE, 0.5) WHEN 'p95' THEN quantile_cont(completion_tokens::DOUBLE, 0.95)
+  WHEN 'p99' THEN quantile_cont(completion_tokens::DOUBLE, 0.99) ELSE max(completion_tokens) END, 6)
+FROM ({X.REQUESTS_SQL}), (VALUES ('count'), ('mean'), ('p50'), ('p95'), ('p99'), ('max')) m(x) GROUP BY m.x""")
+def evaluation_summary(t):
+    return E.evaluation_summary(X.graded(t), X.requests(t), timings=["completion_tokens"])

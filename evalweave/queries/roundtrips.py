@@ -15,6 +15,7 @@ from evalweave.operators import filters as FL
 from evalweave.operators import joins as J
 from evalweave.operators import ordering as O
 from evalweave.operators import quantiles as Q
+from evalweave.plans import evaluation as E
 from evalweave.plans import prompt_sets as P
 from evalweave.queries import accuracy, workload
 from evalweave.queries import fixtures as X
@@ -111,9 +112,13 @@ def check_parseable(t):
 SELECT CAST(doc_id AS VARCHAR) AS question_id, row_number() OVER (ORDER BY doc_id % 90, CAST(doc_id AS VARCHAR)) AS rank
 FROM documents WHERE n_chars >= 200 AND doc_id % 7 <> 0 AND lang IN ('en', 'de')""")
 def load_problems(t):
-    first = O.dedup_first(_bank(t).where("not malformed"), "question_id", "src_ord")
-    wanted = FL.filter_values(first, "difficulty", ["EN", "de"])
-    return A.order_problems(wanted, "contest_date", "question_id").drop("contest_date")
+    return E.load_problems(_bank(t), ["EN", "de"])[0].drop("contest_date")
+
+
+@query("load_problems_counters", f"""
+SELECT count(*) AS rows, count(*) FILTER (malformed) AS malformed, 0::BIGINT AS duplicates FROM ({BANK_SQL})""")
+def load_problems_counters(t):
+    return E.load_problems(_bank(t), limit=5)[1]
 
 
 @query("read_metric_rows", """

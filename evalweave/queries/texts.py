@@ -14,6 +14,7 @@ from evalweave.plans import prompt_sets as P
 from evalweave.plans import warmup as WU
 from evalweave.queries import fixtures as X
 from evalweave.queries.registry import query
+from evalweave.session import scratch_path
 from evalweave.sinks import writers as WR
 from evalweave.sources import files as S
 
@@ -145,10 +146,22 @@ def filter_role(t):
     return FL.filter_role(t.conversations, "human", X.HUMAN).select("conv_id", "turn")
 
 
+def _chat_file(t, path: str) -> str:
+    """The chats as JSON lines, turns in order."""
+    turn = F.struct("turn", F.when(F.col("role") == X.HUMAN, C.HUMAN).otherwise(F.col("role")).alias("from"), F.col("text").alias("value"))
+    nested = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    nested.select(F.col("conv_id").cast("string").alias("id"), F.transform(
+        "turns", lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value"))).alias("conversations")).write.json(path)
+    return path
+
+
 @query("read_chats", """
-SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND regexp_matches(text, '\\S')""")
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, i AS turn, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+WHERE role = 'user' AND regexp_matches(text, '\\S')""")
 def read_chats(t):
-    return S.corpus_turns(t.conversations, "human", X.HUMAN).select("conv_id", "turn", "text")
+    path = _chat_file(t, scratch_path(t.spark, "chats"))
+    return S.read_chats(t.spark, path, multi_line=False).select("conv_id", "turn", "text")
 
 
 VALID_SQL = """
@@ -176,13 +189,26 @@ def first_user_turn(t):
     return O.first_user_turn(t.conversations, X.HUMAN)
 
 
-@query("read_prompts", """
+@query("prompts_of", """
 SELECT conv_id, arg_min(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id
 HAVING prompt <> ''""")
-def read_prompts(t):
+def prompts_of(t):
     return S.prompts_of(t.conversations, X.HUMAN)
 
 
+@query("read_prompts", """
+SELECT prompt FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text ELSE 'p' || text END AS prompt FROM benchmark
+WHERE item_id % 5 <> 4) ORDER BY item_id LIMIT 20""")
+def read_prompts(t):
+    """The first twenty of a file in which a question, a prompt or neither is set."""
+    path, kind = scratch_path(t.spark, "prompts") + ".jsonl", F.col("item_id") % 3
+    rows = t.benchmark.coalesce(1).sortWithinPartitions("item_id").select(
+        F.when(F.col("item_id") % 5 == 4, "").when(kind == 0, F.col("text")).otherwise("").alias("question"),
+        F.when(F.col("item_id") % 5 == 4, "").when(kind != 0, F.concat(F.lit("p"), "text")).alias("prompt"))
+    rows.write.json(path)
+    return S.read_prompts(t.spark, path, 20).select("prompt")
+
+
 def _requests_sql(mode: str) -> str:
     turns = "row_number()" if mode == "every_with_gt" else "count(*) FILTER (role = 'user')"
     chars = "length(text)" if mode == "every_with_gt" else "CASE WHEN role = 'user' THEN length(text) ELSE 0 END"
@@ -265,7 +291,9 @@ FROM ({cycle_sql(f"SELECT item_id, {TOKS('text')} AS toks FROM benchmark WHERE l
 
 @query("write_prompt_set", f"SELECT question, 'none' AS answer FROM ({SAMPLES_SQL})")
 def write_prompt_set(t):
-    return WR.prompt_rows(_samples(t), "question")
+    path = scratch_path(t.spark, "prompts")
+    WR.write_prompt_set(_samples(t), "question", path)
+    return t.spark.read.schema("question string, answer string").json(path)
 
 
 @query("vqa_rows", f"""
