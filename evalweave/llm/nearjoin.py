@@ -274,7 +274,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     classes = pinned(classes.withColumn("doc_id", F.col("doc_id").cast("bigint")), "classes")
     total = classes.where("n < 0").select("sketch").repartition(8).mapInPandas(_sum_sketches, "sketch binary")
     total = total.coalesce(1).mapInPandas(_sum_sketches, "sketch binary").first()
-    shared = spark.sparkContext.broadcast(levels(np.frombuffer(zlib.decompress(total[0]), np.uint32)))
+    sketch = np.frombuffer(zlib.decompress(total[0]), np.uint32) if total else np.zeros(1 << SKETCH_BITS, np.uint32)
+    shared = spark.sparkContext.broadcast(levels(sketch))
 
     index = pinned(rows.select("text").mapInPandas(
         _prefixes(words, percent, shared), "token bigint, sig binary, n int, tier int, matches int, wanted int, dense boolean"), "prefixes")

@@ -294,7 +294,8 @@ def read(manifest: DataFrame, wanted: Sequence[int] | None = None) -> DataFrame:
     if wanted is not None:
         hits = [(F.col("first_id") <= w) & (F.col("last_id") >= w) for w in wanted]
         placed = placed.where(F.array_contains(F.array(*hits), True)) if hits else placed.limit(0)
-    files = placed.select("part", "path", "start").repartition(F.col("path"))
+    # a task for each file: the rows are tiny, so adaptive execution would merge them all
+    files = placed.select("part", "path", "start").repartitionByRange(max(1, placed.count()), "part")
     return files.mapInPandas(_read(wanted), "part int, doc_id bigint, start bigint, n_tokens bigint, ids binary, crc bigint")
 
 
