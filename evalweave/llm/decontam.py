@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Items become hashed word n-grams; a bitmap of fixed size filters the corpus, so only
    n-grams that (almost surely) occur in an item leave their document.
-2. The document frequency of those decides which are rare: from every stretch of an
-   item the rarest n-gram becomes a seed. No absolute limit is used, so a passage that
-   a third of all documents share still has seeds.
-3. Seeds join passages to items; two seeds of an item near one diagonal (one, if the
-   item has fewer than four) make a candidate.
-4. The passage is aligned to the item word by word; the score is the local alignment
-   score over what a full match would give.
+2. Every n-gram of an item is a seed, and one seed makes a candidate: which copies are
+   found doesn't depend on what else the corpus holds. Seeds are aggregated per document,
+   item and group of near diagonals before they are shuffled.
+3. A window around the seeds, as wide as an alignment through them can reach, is aligned to
+   the item word by word, if it holds enough of the item's words; the score is the local
+   alignment score over what a full match would give.
+
+A copy that keeps no three words of an item in a row has no seed and is not found.
 
 Nulls: null texts and items have no words; null ids are carried. Items under
 ``MIN_ITEM_WORDS`` words can't be told from chance and are not searched. Repeated items
@@ -17,29 +18,29 @@ count once, repeated documents each. Empty tables give an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import nested, pinned, small_batches
 from evalweave.operators.sizes import measured
 
 NGRAM = 3
-STRETCH = 4
 MIN_ITEM_WORDS = 5
 MIN_SCORE = 0.5
 MIN_MATCHES = 5
 MISMATCH = GAP = 0.5
 #: Bits of the filter; its 8 MB don't grow with the benchmark.
 FILTER_BITS = 26
-#: Seeds of one copy lie within this many words of a diagonal.
-DRIFT = 16
+#: Seeds within this many diagonals are aligned together; windows are joined up to so many words.
+DIAGONALS, WINDOW = 32, 4096
 PUNCTUATION = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -111,11 +112,11 @@ def align(passage: list[bytes], item: list[bytes]) -> tuple[float, int, int, int
     names = {w: k for k, w in enumerate(dict.fromkeys(item))}
     a = np.array([names.get(w, -1) for w in passage])
     b = np.array([names[w] for w in item])
-    steps = np.arange(len(a) + 1) * GAP
-    table = np.zeros((len(b) + 1, len(a) + 1))
+    steps = np.arange(len(a) + 1, dtype=np.float32) * np.float32(GAP)
+    table = np.zeros((len(b) + 1, len(a) + 1), np.float32)  # halves below 2^23 are exact
     for i, w in enumerate(b, 1):
         row = np.maximum(0, table[i - 1] - GAP)
-        row[1:] = np.maximum(row[1:], table[i - 1, :-1] + np.where(a == w, 1.0, -MISMATCH))
+        row[1:] = np.maximum(row[1:], table[i - 1, :-1] + np.where(a == w, np.float32(1), np.float32(-MISMATCH)))
         table[i] = np.maximum.accumulate(row + steps) - steps
     i, j = np.unravel_index(np.argmax(table), table.shape)
     best, end, matched = table[i, j], j, 0
@@ -131,20 +132,42 @@ def align(passage: list[bytes], item: list[bytes]) -> tuple[float, int, int, int
     return float(best) / len(item), int(j), int(end - j), matched
 
 
+def windows(places: list[tuple[int, int]], n: int) -> Iterator[tuple[int, int]]:
+    """Word ranges that hold every alignment through the seeds: one that scores half of a
+    full match has at most ``n`` gaps."""
+    start = end = None
+    for lo, hi in sorted(places):
+        a, b = max(0, lo - n), hi + 2 * n
+        if start is not None and a <= end and max(end, b) - start <= max(WINDOW, end - start):
+            end = max(end, b)
+            continue
+        if start is not None:
+            yield start, end
+        start, end = a, b
+    if start is not None:
+        yield start, end
+
+
 def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for doc, text_hash, text, found in zip(batch["doc_id"], batch["text_hash"], batch["text"], batch["found"]):
             words = words_of(text)
-            best: dict[str, tuple] = {}
             for c in found:
-                item = words_of(c["item_text"])
-                lo = max(0, c["lo"] - DRIFT)
-                score, first, span, matched = align(words[lo:c["hi"] + len(item) + DRIFT], item)
-                if score >= MIN_SCORE and matched >= MIN_MATCHES:
-                    key = c["item_key"]
-                    best[key] = max(best.get(key, (0.0,)), (score, -(lo + first), span, matched))
-            out += [(doc, text_hash, key, x[0], -x[1], x[2], x[3]) for key, x in best.items()]
+                item, best = words_of(c["item_text"]), None
+                wanted = Counter(item)
+                for lo, hi in windows([(p["lo"], p["hi"]) for p in c["places"]], len(item)):
+                    passage = words[lo:hi]
+                    # no alignment matches more words than the two have in common
+                    common = Counter(w for w in passage if w in wanted)
+                    if sum((common & wanted).values()) < max(MIN_MATCHES, MIN_SCORE * len(item)):
+                        continue
+                    score, first, span, matched = align(passage, item)
+                    if score >= MIN_SCORE and matched >= MIN_MATCHES:
+                        best = max(best or (0.0,), (score, -(lo + first), span, matched))
+                if best:
+                    key = hashlib.sha256(c["item_text"].encode("utf-8", "surrogatepass")).hexdigest()
+                    out.append((doc, text_hash, key, best[0], -best[1], best[2], best[3]))
         if out:
             yield pd.DataFrame(out, columns=["doc_id", "text_hash", "item_key", "score", "first_word", "span_words", "matched_words"])
 
@@ -168,25 +191,17 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         "text_hash", F.xxhash64("text"))
     hits = pinned(rows.mapInPandas(_hits(shared), "gram bigint, doc_id string, text_hash bigint, pos int"), "hits")
 
-    # the filter lets a few others pass; the join with the items drops them
-    counts = hits.groupBy("gram").agg(F.count("*").alias("occurrences"))
-    by_item = W.partitionBy("item_key", F.floor(F.col("at") / STRETCH)).orderBy("occurrences", "at")
-    seeds = grams.join(counts, "gram").withColumn("rank", F.row_number().over(by_item)).where("rank = 1")
-    per_item = seeds.groupBy("item_key").agg(F.count("*").alias("seeds"))
-    seeds = measured(seeds.join(per_item, "item_key").select("gram", "item_key", "at", "seeds"))
-
-    matched = hits.join(seeds, "gram").withColumn("diagonal", F.col("pos") - F.col("at"))
-    # two overlapping grids of diagonals, so that no pair of near ones falls apart
-    matched = matched.withColumn("grid", F.explode(F.array(F.lit(0), F.lit(DRIFT)))).withColumn(
-        "cell", F.floor((F.col("diagonal") + F.col("grid")) / (2 * DRIFT)))
-    found = matched.groupBy("doc_id", "text_hash", "item_key", "grid", "cell").agg(
-        F.count_distinct("at").alias("shared"), F.max("seeds").alias("seeds"),
-        F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"))
-    found = found.where("shared >= if(seeds < 4, 1, 2)").select("doc_id", "text_hash", "item_key", "lo", "hi").distinct()
+    # the filter lets a few others pass; the join with the items drops them. An n-gram that an
+    # item repeats stands for all its places
+    seeds = measured(grams.groupBy("gram", "item_key").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at")))
+    cell = F.floor((F.col("pos") - F.col("first_at")) / DIAGONALS)
+    found = hits.join(seeds, "gram").groupBy("doc_id", "text_hash", "item_key", cell.alias("cell")).agg(
+        F.min(F.col("pos") - F.col("last_at")).alias("lo"), F.max(F.col("pos") - F.col("first_at")).alias("hi"))
+    found = found.groupBy("doc_id", "text_hash", "item_key").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
     found = found.join(texts.select("item_key", F.col("text").alias("item_text")), "item_key")
     # all candidates of one document: as many as its own text holds
     per_doc = measured(found.groupBy("doc_id", "text_hash").agg(F.collect_list(
-        F.struct("item_key", "item_text", "lo", "hi")).alias("found")).select(
+        F.struct("item_text", "places")).alias("found")).select(
         F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "found"))
     passages = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["d"]) & (rows["text_hash"] == per_doc["h"]))
     aligned = passages.select("doc_id", "text_hash", "text", "found").mapInPandas(

@@ -201,6 +201,32 @@ def test_leaks(spark):
     assert decontam.clean(docs, i).columns == docs.columns
 
 
+def test_leaks_of_edited_copies(spark):
+    """Exact copies must not displace edited ones: all pairs against alignment of whole texts."""
+    rng = random.Random(11)
+    noise = lambda n: [f"n{rng.randrange(5000)}" for _ in range(n)]
+    items = [(k, noise(n)) for k, n in enumerate([6, 18, 18, 36, 36, 90])]
+    texts = []
+    for _, item in items:
+        texts += [item, noise(50) + item + noise(50), item + noise(300) + item]
+        texts.append(noise(9) + [w if k % 6 != 5 else "edit" for k, w in enumerate(item)] + noise(9))
+        texts.append(noise(9) + [w if k != 2 else "edit" for k, w in enumerate(item)] + noise(9))
+        half = len(item) // 2
+        texts.append(noise(9) + item[:half] + noise(half) + item[half:] + noise(9))
+        for rate in (0.1, 0.2):
+            texts += [noise(20) + [w if rng.random() > rate else "edit" for w in item] + noise(20) for _ in range(8)]
+        texts.append(item[:3] + noise(40))
+    want = []
+    for d, words in enumerate(texts):
+        for k, item in items:
+            found = decontam.align([w.encode() for w in words], [w.encode() for w in item])
+            if found[0] >= decontam.MIN_SCORE and found[3] >= decontam.MIN_MATCHES:
+                want.append((d, k, *found))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id bigint, text string")
+    got = decontam.leaks(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string"))
+    assert len(want) > 120 and order(map(tuple, got.drop("text_hash").collect())) == order(want)
+
+
 def test_alignment():
     item = [b"a", b"b", b"c", b"d", b"e", b"f"]
     assert decontam.align([b"x", *item, b"y"], item) == (1.0, 1, 6, 6)
