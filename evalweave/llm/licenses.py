@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from evalweave.llm.common import small_batches
 
 NOTICES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: The phrases that op10 is asked for; ``NOTICES`` is the looser default of ``scan``.
+ASKED = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 CHARS_PER_EDIT = 10
 #: A-Z become a-z; ASCII that is neither letter nor digit becomes a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))

@@ -105,7 +105,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan(table(spark, folder, "documents"))
+    return licenses.scan(table(spark, folder, "documents"), notices=licenses.ASKED)
 
 
 @query("op8_sharding")

@@ -169,6 +169,18 @@ def test_licences(spark):
     assert licenses.scan(empty(spark)).count() == 0 and licenses.scan(clashing(spark)).count() == len(awkward_rows())
 
 
+def test_licence_query_searches_the_asked_phrases(spark, tmp_path):
+    """Places counted by hand: the first phrase begins with 'under'."""
+    want = {1: ("released under the MIT License ok", 1, 1, 1, "mit", "mit", 1.0), 2: ("see the mit license ok", 0, None, None, "", "", 0.0),
+            3: ("the mit license or Under The-MIT license, under the apache license version 2", 2, 4, 10, "apache-2,mit", "apache-2,mit", 1.0),
+            4: ("a under teh mit license b", 0, None, None, "", "mit", 1 - 2 / 21), 5: ("licensed under cc by nc 4", 1, 2, 2, "cc-by-nc", "cc-by-nc", 1.0)}
+    spark.createDataFrame([(k, v[0]) for k, v in want.items()], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in QUERIES["op10_license_scan"](spark, str(tmp_path)).collect():
+        got = (r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"])
+        assert got == want[r["doc_id"]][1:], r
+        assert [s["first_word"] for s in r["spans"]] == {1: [1], 2: [], 3: [4, 10], 4: [1], 5: [2]}[r["doc_id"]]
+
+
 def test_pigeonhole_finds_all_edits():
     """Every text within the bound, against a plain edit distance over all windows."""
     notice = licenses.Notice("apache license version 2", "x")
