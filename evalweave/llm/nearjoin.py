@@ -175,9 +175,13 @@ def _pairs(percent: int):
             for i in range(1, len(rows)):
                 for j in range(i):
                     a, b = rows[j], rows[i]
-                    # the one that wants more decides, by its own l
-                    ell, wanted = (a[3], a[4]) if a[4] >= b[4] else (b[3], b[4])
-                    if wanted and a[2] <= ell and b[2] <= ell and 100 * min(a[1], b[1]) >= percent * max(a[1], b[1]):
+                    # the one that wants more decides, by its own l. Where dense tokens may make
+                    # up all matches of both, they share a star or one token that is not dense
+                    if a[4] or b[4]:
+                        ell, wanted = (a[3], a[4]) if a[4] >= b[4] else (b[3], b[4])
+                    else:
+                        ell, wanted = min(a[3], b[3]), 1
+                    if a[2] <= ell and b[2] <= ell and 100 * min(a[1], b[1]) >= percent * max(a[1], b[1]):
                         out.append((a[0], b[0], wanted))
         pivot = None
         for batch in batches:
@@ -281,13 +285,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
         _prefixes(words, percent, shared), "token bigint, sig binary, n int, tier int, matches int, wanted int, dense boolean"), "prefixes")
     low = index.where("not dense").drop("dense").repartition("token").sortWithinPartitions("token", "sig")
     found = pinned(low.mapInPandas(_pairs(percent), "a binary, b binary, wanted int"), "pairs")
-    wanted = pinned(found.where("wanted > 0").groupBy("a", "b").agg(
-        F.count("*").alias("shared"), F.max("wanted").alias("wanted")).where("shared >= wanted").select("a", "b"), "candidates")
+    wanted = found.where("wanted > 0").groupBy("a", "b").agg(
+        F.count("*").alias("shared"), F.max("wanted").alias("wanted")).where("shared >= wanted").select("a", "b")
     # frequent tokens by the sketch: the star's centre is a pre-aggregated minimum
     hot = index.where("dense").select("token", "sig").distinct()
     star = hot.join(hot.groupBy("token").agg(F.min("sig").alias("a")), "token").select("a", F.col("sig").alias("b"))
     stars = found.where("wanted = 0").select("a", "b").unionByName(star)
     clusters = components(stars)
+    # a cluster compares all its members, so that pairs inside one need not be
+    for end in ("a", "b"):
+        wanted = wanted.join(clusters.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    wanted = pinned(wanted.where("a_root is null or b_root is null or a_root != b_root").select("a", "b"), "candidates")
 
     involved = wanted.select(F.col("a").alias("sig")).unionByName(wanted.select(F.col("b").alias("sig"))).unionByName(
         clusters.select(F.col("node").alias("sig"))).distinct()

@@ -171,6 +171,22 @@ def test_near_family_of_many(spark):
     assert order(tuple(r)[:3] for r in got.collect()) == order(brute_components(rows, 3, 90))
 
 
+def test_near_pair_that_shares_rare_tokens_only(spark):
+    """Two documents whose dense prefix tokens could make up all matches, but differ: they
+    share rare prefix tokens and, past the prefix, a passage of yet more documents."""
+    passage = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rare, x, y, z = passage("r", 36), passage("x", 16), passage("y", 16), passage("z", 352)
+    rows = [(0, f"{rare} {x} {z}"), (1, f"{rare} {y} {z}")]
+    rows += [(1000 + k, f"{p} {passage(f'own{k}p', 30)}") for k, p in enumerate([x, y] * 200)]
+    rows += [(2000 + k, f"{z} {passage(f'own{k}z', 100)}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    level, frequency = nearjoin.levels(sketch_of(rows))
+    for _, t in rows[:2]:
+        assert nearjoin.prefix(nearjoin.shingle_set(t, 3), level, frequency, 90)[4] == 0
+    got = [tuple(r)[:3] for r in nearjoin.join(docs).collect()]
+    assert (1, 384 + 18, 0) in got and order(got) == order(brute_components(rows, 3, 90))
+
+
 def test_near_stage(spark):
     docs = clashing(spark)
     out = nearjoin.first_of_group(docs)
