@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalweave.session import scratch_path
@@ -38,7 +41,18 @@ def ascii_lower(text: Column) -> Column:
 
 
 def small_batches(spark) -> None:
-    """Rows travel to Python in batches of at most 512, so that long texts fit in memory."""
+    """Rows travel to Python in batches of at most 512 and about 16 MB, so that long texts fit
+    in memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > 512:
         spark.conf.set(key, "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], row: str, top: int) -> DataFrame:
+    """The first ``top`` rows of each group, with their ``rank``. A group is cut in 64 by
+    ``row`` first, so that no task ranks more than a 64th of it."""
+    lane = F.pmod(F.xxhash64(row), F.lit(64))
+    some = df.withColumn("__lane", lane).withColumn("rank", F.row_number().over(W.partitionBy(*group, "__lane").orderBy(*order)))
+    some = some.where(F.col("rank") <= top).drop("rank", "__lane")
+    return some.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= top)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.common import table
 from evalweave.session import scratch_path
-from evalweave.llm import decontam, licenses, linededup, nearjoin, pieces, quality, rollups, sharding, tokenfile, toxicity
+from evalweave.llm import (
+    decontam, exacttop, lexical, licenses, linededup, nearjoin, periodic, pieces, quality, rollups, sharding, tokenfile, toxicity)
 
 
 def tokenizer_path(name: str) -> str:
@@ -152,3 +153,44 @@ def op5_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
     gone = counted.join(poor.select("doc_id"), "doc_id", "left_semi")
     store.commit(4, rollups.changes(gone, "delete", "words", F.lit(0), F.col("words")))
     return store.totals()
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digest(periodic.find(periodic.planted(table(spark, folder, "documents"))))
+
+
+def terms_sql(text: str) -> str:
+    return (f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+@query("op12_lexical_search", f"""
+WITH q AS (SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest({terms_sql("text")}) AS term FROM benchmark) GROUP BY ALL),
+words AS (SELECT doc_id, {terms_sql("text")} AS w FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT doc_id, len(w) AS n FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+held AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words)
+    WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM held, totals GROUP BY term, n_docs),
+shares AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS share
+    FROM held JOIN docs USING (doc_id) JOIN weights USING (term), totals),
+scores AS (SELECT item_id, doc_id, sum(times * share)::BIGINT AS score FROM q JOIN shares USING (term) GROUP BY ALL),
+places AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0)
+SELECT item_id, place::INT AS rank, doc_id, score FROM places WHERE place <= 20""")
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
+@query("op13_exact_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1),
+        lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+    FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+places AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM pairs)
+SELECT query_id, place::INT AS rank, vec_id, score FROM places WHERE place <= 10""")
+def op13_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return exacttop.search(table(spark, folder, "embeddings")).drop("query_hash")

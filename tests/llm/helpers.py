@@ -63,3 +63,10 @@ def brute_components(rows, k, percent):
         ids = [rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None]
         out.append((d, len(s), min(ids, default=None)))
     return out
+
+
+def folder_of(tmp_path, **tables):
+    """A folder of Parquet tables, as the registered queries read."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
