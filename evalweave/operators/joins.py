@@ -67,14 +67,36 @@ def missing_artifacts(planned: DataFrame, manifest: DataFrame, name: str = "arti
     return planned.join(manifest.select(name), name, "left_anti")
 
 
+#: Rows of one key that a join leaves to one task.
+SLICE = 1 << 16
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: str, row: str) -> DataFrame:
+    """Inner join on ``on`` where a few keys may carry most rows of ``many``.
+
+    A key with more than ``SLICE`` rows is cut into slices by a hash of ``row``, and its rows of
+    ``few`` are copied once a slice. ``many`` is read twice: pass computed, narrow rows.
+    """
+    slices = F.ceil(F.count("*") / SLICE).cast("int")
+    heavy = measured(many.groupBy(on).agg(slices.alias("__slices")).where("__slices > 1"))
+    if heavy.isEmpty():
+        return many.join(few, on)
+    cut = many.join(heavy, on, "left").withColumn(
+        "__slice", F.pmod(F.xxhash64(row), F.coalesce("__slices", F.lit(1)))).drop("__slices")
+    copies = few.join(heavy, on, "left").withColumn("__slice", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.coalesce("__slices", F.lit(1)).cast("bigint") - 1))).drop("__slices")
+    return cut.join(copies, [on, "__slice"]).drop("__slice")
+
+
 CYCLE_BLOCK = 4096
 
 
-def cycle_assign(corpus: DataFrame, key: str, n_samples: int) -> DataFrame:
+def cycle_assign(corpus: DataFrame, key: str, n_samples: int, spread: bool = False) -> DataFrame:
     """(sample, key): sample i uses corpus item ``i mod n`` in key order.
 
     Only keys are numbered and repeated; join the texts afterwards. A corpus at
-    least as large as the sample count is not repeated at all.
+    least as large as the sample count is not repeated at all. Where a few items make many
+    samples, ``spread`` deals the blocks of repetitions out before they are written out.
     """
     keys, by = integer_ordered(corpus.select(key), key)
     placed = running_total(keys, by, start="__i", total="__n")
@@ -83,6 +105,7 @@ def cycle_assign(corpus: DataFrame, key: str, n_samples: int) -> DataFrame:
     # two steps, so that a tiny corpus does not build one array per repetition
     blocks = used.select("*", last.alias("__last"), F.explode(
         F.sequence(F.lit(0).cast("bigint"), last, F.lit(CYCLE_BLOCK).cast("bigint"))).alias("__block"))
+    blocks = blocks.repartition("__i", "__block") if spread else blocks
     cycles = blocks.select(key, "__i", "__n", F.explode(F.sequence(
         F.col("__block"), F.least(F.col("__block") + CYCLE_BLOCK - 1, F.col("__last")))).alias("__cycle"))
     return cycles.select((F.col("__cycle") * F.col("__n") + F.col("__i")).alias("sample"), key)
@@ -113,5 +136,5 @@ def reconcile_counts(expected: DataFrame, observed: DataFrame, on: str | Sequenc
 __all__ = [
     "attach_grade", "attach_p99", "attach_state", "cycle_assign", "dataset_info",
     "from_offset", "missing_artifacts", "null_safe_join", "paired_runs", "pending",
-    "reconcile_counts", "unknown_datasets",
+    "reconcile_counts", "spread_join", "unknown_datasets",
 ]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.text import nonblank, tile_tokens, token_count, tokens, truncate_tokens
 from evalweave.operators.filters import valid_multiturn
-from evalweave.operators.joins import cycle_assign
+from evalweave.operators.joins import cycle_assign, spread_join
 from evalweave.operators.ordering import integer_ordered, running_total
 from evalweave.operators.sizes import bounded, measured
 from evalweave.session import materialize
@@ -28,8 +28,11 @@ def _seeded(corpus: DataFrame, key: str, text: str, n_samples: int) -> DataFrame
     """(sample, key, text) with the corpus cycled over ``n_samples`` samples."""
     usable = corpus.where(nonblank(text))
     # the filter reads the texts, the numbering then only the keys
-    assigned = cycle_assign(materialize(usable.select(key)), key, n_samples)
-    return usable.select(key, text).join(bounded(assigned, n_samples), key)
+    keys = materialize(usable.select(key))
+    if keys.count() >= n_samples:
+        return usable.select(key, text).join(bounded(cycle_assign(keys, key, n_samples), n_samples), key)
+    assigned = materialize(cycle_assign(keys, key, n_samples, spread=True))
+    return spread_join(assigned, usable.select(key, text), key, "sample")
 
 
 def build_tiled(corpus: DataFrame, key: str, text: str, length: int, n_samples: int) -> DataFrame:
@@ -45,18 +48,20 @@ def build_single(corpus: DataFrame, key: str, text: str, length: int, n_samples:
         "sample", key, fitted.alias("question"), exact.alias("exact"))
 
 
-def corpus_offsets(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_tokens, start, total): token position of each text in the corpus.
+def corpus_offsets(corpus: DataFrame, key: str, text: str, weight: Column | None = None) -> DataFrame:
+    """(key, n_tokens, start, total): token position of each text in the corpus, counted
+    by words or by another ``weight``.
 
     Both steps leave narrow rows that are read several times: the counts, so that
     the texts are tokenized once, and the positions, on which packing builds.
     """
-    counts = materialize(corpus.where(nonblank(text)).select(key, token_count(text).alias("n_tokens")))
+    counts = materialize(corpus.where(nonblank(text)).select(
+        key, (token_count(text) if weight is None else weight).alias("n_tokens")))
     counts, by = integer_ordered(counts, key)
     return materialize(running_total(counts, by, weight=F.col("n_tokens")).drop(by))
 
 
-def _copies(offsets: DataFrame, key: str, until: Column) -> DataFrame:
+def repeated(offsets: DataFrame, key: str, until: Column) -> DataFrame:
     """Positions of each text when the corpus repeats up to token ``until``."""
     last = F.floor((until - 1 - F.col("start")) / F.col("total")).cast("bigint")
     first = F.lit(0).cast("bigint")
@@ -77,7 +82,7 @@ def pack_by_budget(offsets: DataFrame, key: str, length: int) -> DataFrame:
     bucket = F.floor(F.col("start") / length).cast("bigint")
     seeds = offsets.groupBy(bucket.alias("bucket")).agg(F.min("start").alias("first"))
     own = F.floor(F.col("at") / length).cast("bigint")
-    candidates = _copies(offsets, key, F.col("total") + length).select(
+    candidates = repeated(offsets, key, F.col("total") + length).select(
         "*", F.explode(F.array(own - 1, own)).alias("bucket"))
     end = F.col("first") + length
     return candidates.join(seeds, "bucket").where(
@@ -85,7 +90,7 @@ def pack_by_budget(offsets: DataFrame, key: str, length: int) -> DataFrame:
     ).select("bucket", key, "at", F.least(F.col("n_tokens"), end - F.col("at")).alias("take"))
 
 
-def _cut_and_join(
+def cut_and_join(
     members: DataFrame, corpus: DataFrame, key: str, text: str, by: list[str], length: int,
 ) -> DataFrame:
     """Member texts cut to ``take`` and joined in order: at most L tokens a group.
@@ -112,10 +117,10 @@ def _finish_concat(
         # one sample per bucket: numbered while the rows are still narrow
         numbers = running_total(buckets, "bucket", start="sample").select("bucket", "sample")
         members = members.join(numbers, "bucket").drop("bucket")
-        return _cut_and_join(members, corpus, key, text, ["sample"], length)
+        return cut_and_join(members, corpus, key, text, ["sample"], length)
     numbers = cycle_assign(buckets, "bucket", n_samples)
     members = measured(members.join(numbers.select("bucket").distinct(), "bucket", "left_semi"))
-    built = _cut_and_join(members, corpus, key, text, ["bucket"], length)
+    built = cut_and_join(members, corpus, key, text, ["bucket"], length)
     return built.join(numbers, "bucket").select("sample", "question", "n_tokens", "draws")
 
 
@@ -143,11 +148,11 @@ def build_prefix(
     if not 0 < shared < length:
         raise ValueError(f"a prefix share of {percent}% leaves no prefix or no suffix")
     offsets = corpus_offsets(corpus, key, text)
-    head = _copies(offsets, key, F.lit(shared)).select(
+    head = repeated(offsets, key, F.lit(shared)).select(
         key, "at", F.least(F.col("n_tokens"), F.lit(shared) - F.col("at")).alias("take"))
     # every member holds a token, so there are at most `shared` of them, and one row
     # of `shared` tokens comes out
-    prefix = _cut_and_join(bounded(head, shared), corpus, key, text, [], shared).select("question").scalar()
+    prefix = cut_and_join(bounded(head, shared), corpus, key, text, [], shared).select("question").scalar()
     behind = offsets.where(F.col("start") >= shared).agg(F.min("start")).scalar()
     turned = offsets.withColumn(
         "start", F.pmod(F.col("start") - F.coalesce(behind, F.lit(0)), F.col("total")))

@@ -10,6 +10,7 @@ from evalweave.operators import aggregates as A
 from evalweave.operators import filters as FL
 from evalweave.operators import joins as J
 from evalweave.operators import ordering as O
+from evalweave.plans import next_fit as NF
 from evalweave.plans import prompt_sets as P
 from evalweave.plans import warmup as WU
 from evalweave.queries import fixtures as X
@@ -390,6 +391,47 @@ def length_audit(t):
     return A.length_audit(measured, 256, X.corpus(t))
 
 
+def walk_sql(texts: str, budget: int, laps: int = 1, samples: str = "") -> str:
+    """Brute force: a sample begins at the first text behind the budget of the one before."""
+    return f"""
+o AS MATERIALIZED (SELECT doc_id, toks, w, CAST(sum(w) OVER (ORDER BY doc_id) - w AS BIGINT) AS start,
+    CAST(sum(w) OVER () AS BIGINT) AS total FROM ({texts})),
+r AS MATERIALIZED (SELECT doc_id, toks, w, start + c.range * total AS pos FROM o, range({laps}) c),
+walk AS (SELECT 0::BIGINT AS sample, 0::BIGINT AS node, (SELECT min(pos) FROM r WHERE pos >= {budget}) AS next
+    UNION ALL SELECT any_value(s.sample) + 1, any_value(s.next), min(r.pos) FILTER (r.pos >= s.next + {budget})
+    FROM walk s JOIN r ON r.pos >= s.next {samples} GROUP BY s.sample),
+m AS (SELECT sample, doc_id, pos - node AS "offset", w AS n_tokens, toks FROM walk JOIN r
+    ON r.pos >= node AND (next IS NULL OR r.pos < next))"""
+
+
+APPROX_SQL = "SELECT doc_id, toks, greatest(length(text) // 4, 1) AS w FROM ({0})".format(X.CORPUS_SQL)
+WORDS_SQL = f"SELECT doc_id, toks, n AS w FROM ({X.CORPUS_SQL})"
+
+
+@query("pack_next_fit", f"""
+WITH RECURSIVE {walk_sql(APPROX_SQL, 512)} SELECT sample, doc_id, "offset", n_tokens FROM m""")
+def pack_next_fit(t):
+    offsets = P.corpus_offsets(t.documents, "doc_id", "text", TX.approx_tokens("text"))
+    return NF.pack_next_fit(offsets, "doc_id", 512)
+
+
+@query("pack_next_fit_cycled", f"""
+WITH RECURSIVE {walk_sql(APPROX_SQL, 1024, 40, "AND s.sample + 1 < (SELECT count(*) FROM documents)")}
+SELECT sample, doc_id, "offset", n_tokens FROM m""")
+def pack_next_fit_cycled(t):
+    """As many samples as documents, so that the corpus is used several times."""
+    offsets = P.corpus_offsets(t.documents, "doc_id", "text", TX.approx_tokens("text"))
+    return NF.pack_next_fit(offsets, "doc_id", 1024, t.documents.count())
+
+
+@query("build_next_fit", f"""
+WITH RECURSIVE {walk_sql(WORDS_SQL, 256)}
+SELECT sample, string_agg(array_to_string(toks[1:256 - "offset"], ' '), chr(10) || chr(10) ORDER BY "offset") AS question,
+    CAST(sum(least(n_tokens, 256 - "offset")) AS BIGINT) AS n_tokens, count(*) AS draws FROM m GROUP BY sample""")
+def build_next_fit(t):
+    return NF.build_next_fit(t.documents, "doc_id", "text", 256)
+
+
 SHARED, REST = 217, 39
 TURNED_SQL = f"""
 SELECT doc_id, toks, n, total, ((start - coalesce((SELECT min(start) FROM base WHERE start >= {SHARED}), 0)) % total + total) % total AS start FROM base"""
