@@ -25,6 +25,7 @@ from evalweave.session import scratch_path
 from evalweave.sinks import tables as TB
 from evalweave.sinks import writers as WR
 from evalweave.sources import files as S
+from evalweave.sources import json_arrays as JA
 from evalweave.sources import logs as L
 from evalweave.streaming import acceptance as SA
 from evalweave.streaming import state as ST
@@ -373,6 +374,17 @@ def write_chat_subset(t):
     return S.chat_turns(S.read_nested_chats(t.spark, path, multi_line=False))
 
 
+@query("read_json_arrays", """
+SELECT CAST(doc_id AS VARCHAR) AS conv_id, i.x AS turn, CASE WHEN i.x % 2 = 0 THEN 'human' ELSE 'gpt' END AS role,
+       CASE i.x WHEN 0 THEN text WHEN 2 THEN lang ELSE source END AS text
+FROM documents, (VALUES (0::BIGINT), (1), (2), (3)) i(x) WHERE i.x <= doc_id % 4""")
+def read_json_arrays(t):
+    """Chats written as JSON arrays and read in runs of 64 KB, across whose ends many chats lie."""
+    path = scratch_path(t.spark, "chat-arrays")
+    WR.write_chat_subset(_nested(t).repartitionByRange("id"), path, array=True)
+    return S.chat_turns(JA.read_json_arrays(t.spark, path, S.CHATS, 1 << 16))
+
+
 @query("expand_requests", """
 SELECT CAST(doc_id AS VARCHAR) AS id, 0::BIGINT AS pos, text AS prompt, '' AS history, source AS gold FROM documents WHERE doc_id % 2 = 1
 UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, lang, text || '|' || source, source FROM documents WHERE doc_id % 4 = 3""")

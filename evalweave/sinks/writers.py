@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,9 +80,30 @@ def write_result_groups(cases: DataFrame, details: DataFrame, path: str) -> None
         df.repartition(*keys, salt).write.option("maxRecordsPerFile", GROUP_RECORDS).mode("overwrite").partitionBy(*keys).parquet(f"{path}/{name}")
 
 
-def write_chat_subset(chats: DataFrame, path: str) -> None:
-    """Nested chats as JSON lines; each chat is a row already, nothing is grouped."""
-    chats.write.mode("overwrite").json(path)
+def write_chat_subset(chats: DataFrame, path: str, array: bool = False) -> None:
+    """Nested chats as JSON lines, or each file as one array; each chat is a row already,
+    nothing is grouped. The readers' ``ord`` is left out."""
+    chats = chats.drop("ord")
+    if array:
+        write_json_arrays(chats, path)
+    else:
+        chats.write.mode("overwrite").json(path)
+
+
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mark = "["
+    for batch in batches:
+        lines = []
+        for row in batch.column(0).to_pylist():
+            lines += [mark, row]
+            mark = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["]"] if mark == "," else ["[]"])], ["value"])
+
+
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """One file a partition, each a JSON array of its rows."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_bracketed, "value string").write.mode("overwrite").text(path)
 
 
 def prediction_rows(attached: DataFrame, key: str) -> DataFrame:

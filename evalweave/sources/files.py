@@ -12,6 +12,7 @@ from evalweave.functions.messages import decode_chunk, score_value
 from evalweave.functions.text import join_name_path, nonblank
 from evalweave.operators.filters import filter_nonblank, filter_role
 from evalweave.operators.ordering import first_user_turn
+from evalweave.sources.json_arrays import read_json_arrays
 
 CHATS = "id string, conversations array<struct<from: string, value: string>>"
 PROBLEM = "question_id string, question_title string, platform string, difficulty string, contest_date timestamp"
@@ -40,8 +41,11 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_nested_chats(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One row per chat. A JSON array file is one task; JSON lines are split."""
-    return spark.read.schema(CHATS).json(path, multiLine=multi_line)
+    """(ord, id, conversations): one row per chat of JSON array files, or of JSON lines.
+    Both are shared by tasks, whatever the size of a file."""
+    if multi_line:
+        return read_json_arrays(spark, path, CHATS)
+    return in_file_order(spark.read.schema(CHATS).json(path))
 
 
 def chat_turns(chats: DataFrame) -> DataFrame:
@@ -193,7 +197,7 @@ def read_prompts(spark: SparkSession, path: str, n: int = 0) -> DataFrame:
             F.nullif("question", F.lit("")), F.nullif("prompt", F.lit(""))).alias("prompt")
         ).where("prompt is not null")
     else:
-        chats = in_file_order(read_nested_chats(spark, path))
+        chats = read_nested_chats(spark, path)
         first = F.get(F.filter("conversations", lambda t: t["from"] == C.HUMAN), F.lit(0))
         rows = chats.select("ord", first["value"].alias("prompt")).where("prompt <> ''")
     return rows.orderBy("ord").limit(n) if n > 0 else rows
