@@ -28,6 +28,7 @@ others can't clash.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ TOP = 20
 #: Distinct terms of items in a block, about; one item may exceed it.
 BLOCK_TERMS = 1 << 20
 #: A shard ends at so many documents or list entries.
-SHARD_DOCS, SHARD_ENTRIES = 8192, 1 << 20
+SHARD_DOCS, SHARD_ENTRIES = 4096, 1 << 18
 #: Very long texts are cut into words in pieces of so many bytes.
 PIECE = 1 << 20
 #: A-Z become a-z; ASCII that is neither letter nor digit separates terms.
@@ -83,23 +84,23 @@ class Shard:
     """Inverted lists of some documents."""
 
     def __init__(self):
-        self.ids, self.lengths, self.terms, self.docs, self.counts = [], [], [], [], []
+        self.ids, self.lengths, self.terms, self.docs, self.counts = [], [], array("i"), array("i"), array("q")
 
-    def add(self, doc_id: int | None, n_terms: int, held: list[tuple[int, int]]) -> None:
-        self.docs += [len(self.ids)] * len(held)
-        self.terms += [t for t, _ in held]
-        self.counts += [c for _, c in held]
+    def add(self, doc_id: int | None, n_terms: int, terms: list[int], counts: list[int]) -> None:
+        self.docs.extend([len(self.ids)] * len(terms))
+        self.terms.extend(terms)
+        self.counts.extend(counts)
         self.ids.append(doc_id)
         self.lengths.append(n_terms)
 
     def packed(self) -> pa.RecordBatch:
-        terms = np.array(self.terms, np.int32)
+        terms, docs, counts = (np.frombuffer(x, x.typecode) for x in (self.terms, self.docs, self.counts))
         order = np.argsort(terms, kind="stable")  # documents stay in order within a term
         names, holders = np.unique(terms, return_counts=True)
         row = [len(self.ids), sum(self.lengths), names.tolist(), holders.tolist(),
                np.array([d or 0 for d in self.ids], np.int64).tobytes(),
                np.array([d is not None for d in self.ids], np.uint8).tobytes(), np.array(self.lengths, np.int64).tobytes(),
-               np.array(self.docs, np.int32)[order].tobytes(), np.array(self.counts, np.int64)[order].tobytes()]
+               docs[order].tobytes(), counts[order].tobytes()]
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.binary()] * 5]
         names = ["n_docs", "n_terms", "terms", "holders", "ids", "known", "lengths", "docs", "counts"]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
@@ -113,8 +114,8 @@ def _shards(shared):
                 counts = term_counts(text.as_py())
                 if not counts:
                     continue
-                held = [(vocabulary[w], counts[w]) for w in counts.keys() & vocabulary.keys()]
-                shard.add(doc_id, counts.total(), held)
+                held = counts.keys() & vocabulary.keys()
+                shard.add(doc_id, counts.total(), [vocabulary[w] for w in held], [counts[w] for w in held])
                 if len(shard.ids) >= SHARD_DOCS or len(shard.docs) >= SHARD_ENTRIES:
                     yield shard.packed()
                     shard = Shard()
@@ -163,13 +164,16 @@ def _search(shared, top: int):
         items, n_docs, n_terms = shared.value
         best: dict[str, tuple[np.ndarray, ...]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], np.uint8) > 0
-                docs, counts = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["counts"], np.int64)
-                norms = lengths_to_norms(np.frombuffer(row["lengths"], np.int64), n_docs, n_terms)
+            for k in range(batch.num_rows):
+                # one shard at a time, and its numbers where they lie
+                cell = {name: batch.column(name)[k] for name in batch.schema.names}
+                known = np.frombuffer(cell["known"].as_buffer(), np.uint8) > 0
+                docs = np.frombuffer(cell["docs"].as_buffer(), np.int32)
+                ids, lengths, counts = (np.frombuffer(cell[x].as_buffer(), np.int64) for x in ("ids", "lengths", "counts"))
+                norms = lengths_to_norms(lengths, n_docs, n_terms)
                 shares = 1_000_000_000 * counts // (1000 * counts + 12 * norms[docs])
-                ends = np.cumsum(row["holders"]).tolist()
-                spans = dict(zip(row["terms"], zip([0, *ends], ends)))
+                ends = np.cumsum(np.asarray(cell["holders"].values)).tolist()
+                spans = dict(zip(cell["terms"].values.to_pylist(), zip([0, *ends], ends)))
                 for key, terms in items.items():
                     lists = []
                     for term, weight in terms:
