@@ -7,6 +7,9 @@ still needs before it is grouped, so that no group exceeds the sample length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +64,63 @@ def corpus_offsets(corpus: DataFrame, key: str, text: str, weight: Column | None
     return materialize(running_total(counts, by, weight=F.col("n_tokens")).drop(by))
 
 
+def key_range(corpus: DataFrame, key: str) -> tuple[int, int, int] | None:
+    """(smallest key, largest key, rows) from the footers of the Parquet files that ``corpus``
+    is read from, without reading a column; None where there are none, or ``key`` is
+    not one of their whole-number columns. A hint: filters of ``corpus`` don't count."""
+    files = corpus.inputFiles()
+    if not files or dict(corpus.dtypes).get(key) not in ("bigint", "int"):
+        return None
+    # a session of its own, so that the settings stay here: this reader answers from footers
+    session = corpus.sparkSession.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    session.conf.set("spark.sql.files.ignoreMissingFiles", "true")
+    try:
+        rows = session.read.parquet(*files)
+        if dict(rows.dtypes).get(key) not in ("bigint", "int"):
+            return None
+        low, high, count = rows.agg(F.min(key), F.max(key), F.count("*")).first()
+    except (AnalysisException, PySparkException):
+        return None
+    return (low, high, count) if low is not None else None
+
+
+#: Tokens a text is taken to have before any is counted; how much further each step reads.
+FIRST_GUESS, STEP = 64, 4
+
+
+def corpus_head(
+    corpus: DataFrame, key: str, text: str, n_tokens: int, enough: Callable[[DataFrame], bool],
+) -> tuple[DataFrame, DataFrame]:
+    """(texts, offsets) of the beginning of the corpus in key order: as much as ``enough``
+    asks for, about ``n_tokens`` tokens.
+
+    The key range of the files tells about which key that is; texts up to it are counted,
+    and more are read as long as they don't suffice. The filter on the key reaches the
+    scan, which skips row groups behind it. What is read follows ``n_tokens``, not the corpus,
+    where files are laid out by key; elsewhere, and for other keys, all of it.
+    """
+    known = key_range(corpus, key)
+    if known is not None:
+        low, high, rows = known
+        upto = low + max(1, (high - low + 1) * n_tokens // (FIRST_GUESS * max(rows, 1)))
+        while upto < high:
+            head = corpus.where(F.col(key) <= upto)
+            offsets = corpus_offsets(head, key, text)
+            if enough(offsets):
+                return head, offsets
+            upto = low + STEP * (upto - low)
+    return corpus, corpus_offsets(corpus, key, text)
+
+
+def _full_buckets(offsets: DataFrame, length: int, n_samples: int, end: Column | None = None) -> bool:
+    """Whether the first ``n_samples`` samples lie before ``end`` with all their texts."""
+    bucket = F.floor(F.col("start") / length)
+    end = F.col("total") if end is None else end
+    return offsets.where((bucket + 2) * length <= end).agg(F.countDistinct(bucket)).first()[0] >= n_samples
+
+
 def repeated(offsets: DataFrame, key: str, until: Column) -> DataFrame:
     """Positions of each text when the corpus repeats up to token ``until``."""
     last = F.floor((until - 1 - F.col("start")) / F.col("total")).cast("bigint")
@@ -129,9 +189,14 @@ def build_concat(
 ) -> DataFrame:
     """Samples that each pack different texts to exactly ``length`` tokens.
 
-    Without ``n_samples`` the corpus is used once; beyond its end samples repeat.
+    Without ``n_samples`` the corpus is used once; beyond its end samples repeat. For a
+    few samples only the beginning of the corpus is read (``corpus_head``).
     """
-    offsets = corpus_offsets(corpus, key, text)
+    if n_samples is None:
+        offsets = corpus_offsets(corpus, key, text)
+    else:
+        corpus, offsets = corpus_head(corpus, key, text, length * (n_samples + 2),
+                                      lambda head: _full_buckets(head, length, n_samples))
     members = pack_by_budget(offsets, key, length)
     return _finish_concat(members, corpus, key, text, offsets, length, n_samples)
 
@@ -147,7 +212,18 @@ def build_prefix(
     shared = length * percent // 100
     if not 0 < shared < length:
         raise ValueError(f"a prefix share of {percent}% leaves no prefix or no suffix")
-    offsets = corpus_offsets(corpus, key, text)
+    rest = length - shared
+
+    def enough(head: DataFrame) -> bool:
+        behind = head.where(F.col("start") >= shared)
+        first = behind.agg(F.min("start")).first()[0]
+        return first is not None and _full_buckets(
+            behind.withColumn("start", F.col("start") - first), rest, n_samples, F.col("total") - first)
+
+    if n_samples is None:
+        offsets = corpus_offsets(corpus, key, text)
+    else:
+        corpus, offsets = corpus_head(corpus, key, text, shared + rest * (n_samples + 2), enough)
     head = repeated(offsets, key, F.lit(shared)).select(
         key, "at", F.least(F.col("n_tokens"), F.lit(shared) - F.col("at")).alias("take"))
     # every member holds a token, so there are at most `shared` of them, and one row
@@ -156,7 +232,6 @@ def build_prefix(
     behind = offsets.where(F.col("start") >= shared).agg(F.min("start")).scalar()
     turned = offsets.withColumn(
         "start", F.pmod(F.col("start") - F.coalesce(behind, F.lit(0)), F.col("total")))
-    rest = length - shared
     members = pack_by_budget(turned, key, rest)
     suffixes = _finish_concat(members, corpus, key, text, turned, rest, n_samples)
     return suffixes.select(

@@ -237,6 +237,38 @@ def turn_requests_every_with_gt(t):
     return O.turn_requests(t.conversations, X.HUMAN, "every_with_gt")
 
 
+def _history_sql(mode: str) -> str:
+    carried = "true" if mode == "every_with_gt" else "role = 'user'"
+    return f"""
+SELECT conv_id, turn, role, coalesce(string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) FILTER ({carried}) OVER (
+    PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history FROM conversations"""
+
+
+@query("history_text_every", f"SELECT conv_id, turn, md5(history) AS history_md5 FROM ({_history_sql('every')}) WHERE role = 'user'")
+def history_text_every(t):
+    return _history(t, "every")
+
+
+@query("history_text_every_with_gt", f"""
+SELECT conv_id, turn, md5(history) AS history_md5 FROM ({_history_sql('every_with_gt')}) WHERE role = 'user'""")
+def history_text_every_with_gt(t):
+    return _history(t, "every_with_gt")
+
+
+def _history(t, mode):
+    requests = O.turn_requests(t.conversations, X.HUMAN, mode)
+    segments = O.history_segments(t.conversations, X.HUMAN, mode, 500)
+    return O.history_text(requests, segments, 500).select("conv_id", "turn", F.md5("history").alias("history_md5"))
+
+
+@query("history_segments", """
+SELECT conv_id, s.range AS segment, substring(h, s.range * 500 + 1, 500) AS text FROM (
+  SELECT conv_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS h FROM conversations GROUP BY conv_id),
+  range(1000) s WHERE s.range * 500 < length(h)""")
+def history_segments(t):
+    return O.history_segments(t.conversations, X.HUMAN, "every_with_gt", 500)
+
+
 # ---- numbering, cycling, warm-up ----
 
 @query("number_rows", """
@@ -381,6 +413,14 @@ def build_concat_cycled(t):
     return P.build_concat(t.documents, "doc_id", "text", 2048, 400)
 
 
+@query("build_concat_first", f"""
+WITH {packed_sql(256, OFFSETS_SQL)}, {BUILT}
+SELECT sample, question, n_tokens, draws FROM n WHERE sample < (SELECT count(*) // 50 FROM documents)""")
+def build_concat_first(t):
+    """A sample for every fifty documents, read from the beginning of the corpus."""
+    return P.build_concat(t.documents, "doc_id", "text", 256, t.documents.count() // 50)
+
+
 @query("length_audit", f"""
 WITH {packed_sql(256, OFFSETS_SQL)}, {BUILT}
 SELECT count(*) AS samples, count(*) FILTER (n_tokens = 256) AS exact, CAST(sum(draws) AS BIGINT) AS draws,
@@ -448,6 +488,14 @@ def build_prefix(t):
     return P.build_prefix(t.documents, "doc_id", "text", 256, 85)
 
 
+@query("build_prefix_first", f"""
+WITH {PREFIX_SQL}, {packed_sql(REST, TURNED_SQL)}, {BUILT}
+SELECT sample, prefix || chr(10) || chr(10) || question AS question, n_tokens + {SHARED} AS n_tokens, draws FROM n, px
+WHERE sample < (SELECT count(*) // 50 FROM documents)""")
+def build_prefix_first(t):
+    return P.build_prefix(t.documents, "doc_id", "text", 256, 85, t.documents.count() // 50)
+
+
 @query("prefix_audit", f"""
 WITH {PREFIX_SQL}, {packed_sql(REST, TURNED_SQL)}, {BUILT},
 w AS (SELECT {TOKS("prefix || ' ' || question")} AS toks FROM n, px),

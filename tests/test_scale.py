@@ -131,3 +131,61 @@ def test_large_sides_are_not_broadcast(spark, monkeypatch):
             assert "SortMergeJoin" in plan_of(joined) and joined.count() == 10
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+# ---- records that stay are joined last ----
+
+@pytest.mark.parametrize("name", ["dedup_first", "dedup_last", "first_user_turn", "prompts_of"])
+def test_no_texts_are_sorted_to_pick_records(spark, name):
+    assert "SortAggregate" not in plan_of(QUERIES[name](spark, SMALL))
+
+
+def test_ties_of_the_order_are_settled_by_the_record(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 2, "z"), (None, 5, "n"), (None, 5, "n"), ("b", None, "q"), ("c", 3, None)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "k string, o int, t string").repartition(parts)
+        first = sorted(map(repr, map(tuple, O.dedup_first(df, "k", "o").collect())))
+        assert len(first) == 4 and repr((None, 5, "n")) in first and repr(("b", None, "q")) in first
+        assert first == sorted(map(repr, map(tuple, O.dedup_first(df.repartition(3), "k", "o").collect())))
+        assert repr(("a", 2, "z")) in map(repr, map(tuple, O.dedup_last(df, "k", "o").collect()))
+    two = spark.createDataFrame([(None, "x", 1), ("x", None, 2)], "a string, b string, o int")
+    assert O.dedup_first(two, ["a", "b"], "o").count() == 2  # nulls tell keys apart
+
+
+# ---- thresholds instead of numbers ----
+
+@pytest.mark.parametrize("spread,limit", [(1, 5), (1, 0.34), (1 << 30, 150), (1 << 50, 0.34), (1 << 50, 10**6), (1 << 14, 0.0001)])
+def test_limit_by_threshold(spark, spread, limit):
+    rows, df = keyed(spark, spread=spread)
+    want = []
+    for g in {x[0] for x in rows}:
+        keys = sorted(x[1] for x in rows if x[0] == g)
+        want += [(g, k) for k in keys[:limit if isinstance(limit, int) else -int(-len(keys) * limit // 1)]]
+    got = [(r.g, r.k) for r in O.limit_per_group(df, "g", "k", limit).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_limit_numbers_no_row(spark):
+    """No window over the rows of a group, only over its few buckets."""
+    _, df = keyed(spark)
+    assert "Window" not in plan_of(O.limit_per_group(df, "g", "k", 0.5))
+    assert O.limit_per_group(df.limit(0), "g", "k", 5).count() == 0
+    texts = df.withColumn("t", F.lpad(F.col("k").cast("string"), 9, "0")).where("g is not null")
+    assert O.limit_per_group(texts, "g", "t", 3).groupBy("g").count().where("count != 3").count() == 0
+
+
+# ---- history of flat chats ----
+
+def test_history_is_stored_once(spark):
+    rows = [("c", t, "human" if t % 2 == 0 else "gpt", f"turn {t} é " + "x" * (t % 50)) for t in range(600)]
+    rows += [("d", 0, "gpt", None), ("d", 1, "human", "hi"), ("d", 2, "human", "")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string")
+    for mode in ("every", "every_with_gt"):
+        segments = O.history_segments(turns, "human", mode, 100)
+        kept = [r for r in rows if mode == "every_with_gt" or r[2] == "human"]
+        size = sum(len(r[3] or "") + 1 for r in kept)
+        assert sum(len(r.text) for r in segments.collect()) == size and max(len(r.text) for r in segments.collect()) == 100
+        got = O.history_text(O.turn_requests(turns, "human", mode), segments, 100).collect()
+        for r in got:
+            assert r.history == "".join((x[3] or "") + "\n" for x in kept if x[0] == r.conv_id and x[1] < r.turn)
+        assert len(got) == 302
