@@ -2,14 +2,19 @@
 
 1. Items become hashed word n-grams; a bitmap of fixed size filters the corpus, so only
    n-grams that (almost surely) occur in an item leave their document.
-2. Every n-gram of an item is a seed, and one seed makes a candidate: which copies are
-   found doesn't depend on what else the corpus holds. Seeds are aggregated per document,
-   item and group of near diagonals before they are shuffled.
-3. A window around the seeds, as wide as an alignment through them can reach, is aligned to
-   the item word by word, if it holds enough of the item's words; the score is the local
-   alignment score over what a full match would give.
-
-A copy that keeps no three words of an item in a row has no seed and is not found.
+2. An n-gram is a seed if few items hold it (``FEW_ITEMS``) or few different texts do
+   (``FEW_TEXTS``); what is common to many of both joins nothing. All such n-grams are seeds,
+   not only the rarest of an item, so that copies of an item can't displace what an edited
+   copy of it has kept. A candidate has two seeds, or one that few texts hold. Seeds are
+   aggregated per document, item and group of near diagonals before they are shuffled.
+3. A window around the seeds, as wide as an alignment through them can reach, is cut out of
+   the document, and aligned to the item word by word, if it holds enough of the item's
+   words; the score is the local alignment score over what a full match would give. Tables of
+   the alignment are kept a row at a time.
+
+A copy that keeps no three words of an item in a row, or only such that are common to many
+items and texts, has no seed and is not found. Of equal scores the first place in the
+document counts. Very long texts and items cost time by their product, but memory by their sum.
 
 Nulls: null texts and items have no words; null ids are carried. Items under
 ``MIN_ITEM_WORDS`` words can't be told from chance and are not searched. Repeated items
@@ -37,6 +42,8 @@ MIN_ITEM_WORDS = 5
 MIN_SCORE = 0.5
 MIN_MATCHES = 5
 MISMATCH = GAP = 0.5
+#: Seeds are n-grams in at most so many items, or in at most so many different texts.
+FEW_ITEMS, FEW_TEXTS = 8, 64
 #: Bits of the filter; its 8 MB don't grow with the benchmark.
 FILTER_BITS = 26
 #: Seeds within this many diagonals are aligned together; windows are joined up to so many words.
@@ -108,28 +115,38 @@ def _hits(shared):
 
 
 def align(passage: list[bytes], item: list[bytes]) -> tuple[float, int, int, int]:
-    """Smith-Waterman: (score over a full match, first word, words spanned, words matched)."""
+    """Smith-Waterman: (score over a full match, first word, words spanned, words matched).
+
+    A row of the table at a time, in halves of a point; where a cell's path began and how many
+    words it matched travel with it.
+    """
     names = {w: k for k, w in enumerate(dict.fromkeys(item))}
-    a = np.array([names.get(w, -1) for w in passage])
-    b = np.array([names[w] for w in item])
-    steps = np.arange(len(a) + 1, dtype=np.float32) * np.float32(GAP)
-    table = np.zeros((len(b) + 1, len(a) + 1), np.float32)  # halves below 2^23 are exact
-    for i, w in enumerate(b, 1):
-        row = np.maximum(0, table[i - 1] - GAP)
-        row[1:] = np.maximum(row[1:], table[i - 1, :-1] + np.where(a == w, np.float32(1), np.float32(-MISMATCH)))
-        table[i] = np.maximum.accumulate(row + steps) - steps
-    i, j = np.unravel_index(np.argmax(table), table.shape)
-    best, end, matched = table[i, j], j, 0
-    while i and j and table[i, j] > 0:
-        same = a[j - 1] == b[i - 1]
-        if np.isclose(table[i, j], table[i - 1, j - 1] + (1.0 if same else -MISMATCH)):
-            matched += bool(same)
-            i, j = i - 1, j - 1
-        elif np.isclose(table[i, j], table[i - 1, j] - GAP):
-            i -= 1
-        else:
-            j -= 1
-    return float(best) / len(item), int(j), int(end - j), matched
+    a = np.array([names.get(w, -1) for w in passage], np.int64)
+    n = len(a) + 1
+    here = np.arange(n)
+    gap, mismatch = round(2 * GAP), round(2 * MISMATCH)
+    score, begin, matched = np.zeros(n, np.int64), here.copy(), np.zeros(n, np.int64)
+    best, found = 0, (0, 0, 0)
+    for w in item:
+        same = a == names[w]
+        # one word of each, or a word of the item left out
+        row, row_begin, row_matched = score - gap, begin.copy(), matched.copy()
+        step = score[:-1] + np.where(same, 2, -mismatch)
+        both = step >= row[1:]
+        row[1:] = np.where(both, step, row[1:])
+        row_begin[1:] = np.where(both, begin[:-1], row_begin[1:])
+        row_matched[1:] = np.where(both, matched[:-1] + same, row_matched[1:])
+        new = row <= 0
+        row[new], row_begin[new], row_matched[new] = 0, here[new], 0
+        # or words of the passage left out, as many as it takes
+        reach = row + gap * here
+        most = np.maximum.accumulate(reach)
+        source = np.maximum.accumulate(np.where(reach == most, here, 0))
+        score, begin, matched = most - gap * here, row_begin[source], row_matched[source]
+        top = int(np.argmax(score))
+        if score[top] > best:
+            best, found = int(score[top]), (int(begin[top]), top - int(begin[top]), int(matched[top]))
+    return best / 2 / len(item), *found
 
 
 def windows(places: list[tuple[int, int]], n: int) -> Iterator[tuple[int, int]]:
@@ -148,28 +165,44 @@ def windows(places: list[tuple[int, int]], n: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The windows of each candidate, cut out of their document."""
     for batch in batches:
         out = []
-        for doc, text_hash, text, found in zip(batch["doc_id"], batch["text_hash"], batch["text"], batch["found"]):
+        for row, doc, text_hash, text, found in zip(*(batch[c] for c in ["row", "doc_id", "text_hash", "text", "found"])):
             words = words_of(text)
             for c in found:
-                item, best = words_of(c["item_text"]), None
-                wanted = Counter(item)
-                for lo, hi in windows([(p["lo"], p["hi"]) for p in c["places"]], len(item)):
-                    passage = words[lo:hi]
-                    # no alignment matches more words than the two have in common
-                    common = Counter(w for w in passage if w in wanted)
-                    if sum((common & wanted).values()) < max(MIN_MATCHES, MIN_SCORE * len(item)):
-                        continue
-                    score, first, span, matched = align(passage, item)
-                    if score >= MIN_SCORE and matched >= MIN_MATCHES:
-                        best = max(best or (0.0,), (score, -(lo + first), span, matched))
-                if best:
-                    key = hashlib.sha256(c["item_text"].encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((doc, text_hash, key, best[0], -best[1], best[2], best[3]))
+                for lo, hi in windows([(p["lo"], p["hi"]) for p in c["places"]], c["item_words"]):
+                    out.append((row, doc, text_hash, c["item_key"], lo, b" ".join(words[lo:hi])))
+                    if len(out) >= 256:
+                        yield pd.DataFrame(out, columns=PASSAGE)
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=PASSAGE)
+
+
+PASSAGE = ["row", "doc_id", "text_hash", "item_key", "lo", "passage"]
+PLACE = "row long, doc_id string, text_hash bigint, item_key string"
+
+
+def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out, items = [], {}
+        for row, doc, text_hash, key, lo, passage, text in zip(*(batch[c] for c in [*PASSAGE, "item_text"])):
+            if key not in items:
+                item = words_of(text)
+                items[key] = item, Counter(item)
+            item, wanted = items[key]
+            passage = passage.split()
+            # no alignment matches more words than the two have in common
+            common = Counter(w for w in passage if w in wanted)
+            if sum((common & wanted).values()) < max(MIN_MATCHES, MIN_SCORE * len(item)):
+                continue
+            score, first, span, matched = align(passage, item)
+            if score >= MIN_SCORE and matched >= MIN_MATCHES:
+                out.append((row, doc, text_hash, key, score, lo + first, span, matched))
         if out:
-            yield pd.DataFrame(out, columns=["doc_id", "text_hash", "item_key", "score", "first_word", "span_words", "matched_words"])
+            yield pd.DataFrame(out, columns=[*PASSAGE[:4], "score", "first_word", "span_words", "matched_words"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -193,19 +226,34 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     # the filter lets a few others pass; the join with the items drops them. An n-gram that an
     # item repeats stands for all its places
-    seeds = measured(grams.groupBy("gram", "item_key").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at")))
+    places = grams.groupBy("gram", "item_key").agg(
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.first("item_words").alias("item_words"))
+    held = places.groupBy("gram").agg(F.count("*").alias("items"))
+    texts_with = hits.select("gram", "text_hash").distinct().groupBy("gram").agg(F.count("*").alias("texts"))
+    common = held.join(texts_with, "gram").withColumn("rare", F.col("texts") <= FEW_TEXTS).where(
+        (F.col("items") <= FEW_ITEMS) | F.col("rare")).select("gram", "rare")
+    seeds = measured(places.join(common, "gram"))
     cell = F.floor((F.col("pos") - F.col("first_at")) / DIAGONALS)
     found = hits.join(seeds, "gram").groupBy("doc_id", "text_hash", "item_key", cell.alias("cell")).agg(
-        F.min(F.col("pos") - F.col("last_at")).alias("lo"), F.max(F.col("pos") - F.col("first_at")).alias("hi"))
-    found = found.groupBy("doc_id", "text_hash", "item_key").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
-    found = found.join(texts.select("item_key", F.col("text").alias("item_text")), "item_key")
+        F.min(F.col("pos") - F.col("last_at")).alias("lo"), F.max(F.col("pos") - F.col("first_at")).alias("hi"),
+        F.max("rare").alias("rare"), F.min("first_at").alias("low"), F.max("first_at").alias("high"), F.first("item_words").alias("item_words"))
+    found = found.groupBy("doc_id", "text_hash", "item_key").agg(
+        F.collect_list(F.struct("lo", "hi")).alias("places"), F.max("rare").alias("rare"), F.min("low").alias("low"),
+        F.max("high").alias("high"), F.first("item_words").alias("item_words")).where("rare or low < high")
     # all candidates of one document: as many as its own text holds
     per_doc = measured(found.groupBy("doc_id", "text_hash").agg(F.collect_list(
-        F.struct("item_text", "places")).alias("found")).select(
+        F.struct("item_key", "item_words", "places")).alias("found")).select(
         F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "found"))
-    passages = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["d"]) & (rows["text_hash"] == per_doc["h"]))
-    aligned = passages.select("doc_id", "text_hash", "text", "found").mapInPandas(
-        _align, "doc_id string, text_hash bigint, item_key string, score double, first_word long, span_words long, matched_words long")
+    holders = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["d"]) & (rows["text_hash"] == per_doc["h"]))
+    # repeated rows are told apart, as each counts
+    passages = holders.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "text", "found").mapInPandas(
+        _passages, f"{PLACE}, lo long, passage binary")
+    named = measured(texts.select(F.col("item_key").alias("k"), F.col("text").alias("item_text")))
+    aligned = passages.join(named, passages["item_key"] == named["k"]).drop("k").mapInPandas(
+        _align, f"{PLACE}, score double, first_word long, span_words long, matched_words long")
+    best = F.max(F.struct("score", (-F.col("first_word")).alias("back"), "span_words", "matched_words"))
+    aligned = aligned.groupBy(*PASSAGE[:4]).agg(best.alias("b")).select(
+        "doc_id", "text_hash", "item_key", "b.score", (-F.col("b.back")).alias("first_word"), "b.span_words", "b.matched_words")
     ids = every.select("item_id", F.sha2("text", 256).alias("k"))
     return aligned.join(ids, aligned["item_key"] == ids["k"]).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "item_id", "score", "first_word", "span_words", "matched_words", "text_hash")

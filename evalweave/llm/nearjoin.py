@@ -265,10 +265,9 @@ def _block_links(percent: int):
     return run
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3,
-         percent: int = 90) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable
-    by links, itself included) and class_id (the smallest id with the same set)."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Per row of ``docs``: doc_id, n (set size), sig (its class) and root (of its component, a
+    class); and the components of classes that have links."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -321,7 +320,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     roots = components(links.unionByName(dense_links))
     groups = classes.where("n >= 0").join(roots, classes["sig"] == roots["node"], "left").select(
         "doc_id", "n", "sig", F.coalesce("root", "sig").alias("root"))
-    groups = pinned(groups, "groups")
+    return pinned(groups, "groups"), roots
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3,
+         percent: int = 90) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable
+    by links, itself included) and class_id (the smallest id with the same set)."""
+    groups, roots = _grouped(docs, doc_id, text, words, percent)
     # the smallest id of each class and component, pre-aggregated; rows that are alone in
     # both name themselves
     names = groups.where("sig is not null").groupBy("sig").agg(
@@ -337,10 +343,42 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
                       F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _sigs(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "sig": [signature(s) if len(s) else None for s in sets]})
+    return run
+
+
 def first_of_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
                    percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id. Rows
-    without an id stay."""
-    groups = join(docs, doc_id, text, words, percent)
-    lost = measured(groups.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__lost")).distinct())
-    return nested(docs).join(lost, F.col("d")[doc_id] == F.col("__lost"), "left_anti").select("d.*")
+    """``docs`` with one row of each component: that of the smallest id, null ids last; of
+    several such rows the one with the smallest hash of its text, then of all its columns. Rows
+    without words are in no component and stay."""
+    groups, _ = _grouped(docs, doc_id, text, words, percent)
+    # components with more than one row; only their rows need their texts' hashes
+    many = groups.where("sig is not null").groupBy("root").agg(F.count("*").alias("rows")).where("rows > 1")
+    classes = groups.where("sig is not null").select("sig", "root").distinct().join(many.select("root"), "root")
+    rows = docs.select(F.col(doc_id).cast("bigint").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    ids = measured(groups.join(classes, "sig", "left_semi").select(F.col("doc_id").alias("__i")).distinct())
+    rows = rows.join(ids, rows["doc_id"].cast("bigint").eqNullSafe(ids["__i"]), "left_semi")
+    named = rows.mapInPandas(_sigs(words), "doc_id string, text_hash bigint, sig binary").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    # copies of one id and text first, which a large group may have many of
+    named = named.groupBy("sig", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    members = pinned(named.join(classes, "sig").select("root", "doc_id", "text_hash", "copies"), "members")
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
+    judged = members.join(first, "root").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "copies",
+        (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash"))).alias("stays"))
+    judged = pinned(judged, "judged")
+    d = F.col("d")
+    here = nested(docs).withColumns({"__d": d[doc_id].cast("bigint"), "__h": F.xxhash64(d[text].cast("string"))})
+    same = [F.col("__d").eqNullSafe(F.col("__id")), F.col("__h") == F.col("__hash")]
+    kept = here.join(measured(judged.where("not stays").select("__id", "__hash").distinct()), same, "left_anti")
+    again = measured(judged.where("stays and copies > 1").select("__id", "__hash"))
+    if again.isEmpty():
+        return kept.select("d.*")
+    one = kept.join(again, same, "left_semi").groupBy("__d", "__h").agg(F.min_by("d", F.xxhash64(F.to_json("d"))).alias("d"))
+    return kept.join(again, same, "left_anti").select("d.*").unionByName(one.select("d.*"))
