@@ -5,14 +5,17 @@ that, at least one piece must occur exactly (pigeonhole), so plain substring sea
 locate candidates, and the regex library's bounded-error matching verifies each within
 its window and yields its span.
 
-Nulls: a null text has no words and no labels; null ids are carried. Repeated rows
-count each; an empty table gives an empty result.
+Nulls: a null text has no words and no labels; null ids are carried. Very long texts take time
+in proportion to their length. Notices that lie at the same place count each; the one with the
+fewest edits makes the score. Repeated rows count each; an empty table gives an empty result.
+Columns but id and text are not read, so that their names can't clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -20,9 +23,7 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.common import small_batches
 
-NOTICES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: The phrases that op10 is asked for; ``NOTICES`` is the looser default of ``scan``.
-ASKED = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+NOTICES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 CHARS_PER_EDIT = 10
 #: A-Z become a-z; ASCII that is neither letter nor digit becomes a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -67,18 +68,28 @@ def spans(padded: bytes, notice: Notice) -> list[tuple[int, int, int]]:
 def scan_text(text: str | None, notices: list[Notice]) -> tuple:
     words = (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
     padded = b" " + b" ".join(words) + b" "
-    base, labels, out, best = [], set(), [], 0.0
+    found = []
     for notice in notices:
         exact = list(places(padded, notice.exact))
+        near = spans(padded, notice) if notice.edits else [(x + 1, x + 1 + len(notice.text), 0) for x in exact]
+        if exact or near:
+            found.append((notice, exact, near))
+    if not found:
+        return len(words), 0, None, None, "", "", 0.0, []
+    # the blank before each word, so that a place's word is a search and not a count
+    blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
+    word_at = lambda x: int(np.searchsorted(blanks, x))
+    base, labels, out, best = [], set(), [], 0.0
+    for notice, exact, near in found:
         base += exact
         if exact:
             labels.add(notice.label)
             best = 1.0
-        for a, b, edits in spans(padded, notice) if notice.edits else [(x + 1, x + 1 + len(notice.text), 0) for x in exact]:
-            first = padded.count(b" ", 0, a) - 1
-            out.append((notice.label, first, padded.count(b" ", a, b) + 1, edits))
+        for a, b, edits in near:
+            first = word_at(a) - 1
+            out.append((notice.label, first, word_at(b) - first, edits))
             best = max(best, 1 - edits / len(notice.text))
-    starts = [padded.count(b" ", 0, x + 1) - 1 for x in base]
+    starts = [word_at(x) for x in base]
     return (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
             ",".join(sorted(labels | {x[0] for x in out})), best, out)
 
