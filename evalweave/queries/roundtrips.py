@@ -22,6 +22,7 @@ from evalweave.queries import fixtures as X
 from evalweave.queries.registry import query
 from evalweave.queries.texts import BUILT, OFFSETS_SQL, TOKS, cycle_sql, offsets_sql, packed_sql, tiled_sql
 from evalweave.session import scratch_path
+from evalweave.sinks import commits as CM
 from evalweave.sinks import tables as TB
 from evalweave.sinks import writers as WR
 from evalweave.sources import files as S
@@ -326,6 +327,52 @@ def rerun_after_reset(t):
     return ST.read_run_state(t.spark, store).select("question_id", "content")
 
 
+@query("compact_beside_stream", """
+SELECT CAST(doc_id AS VARCHAR) AS question_id, CASE WHEN toxic = 1 THEN 'rerun' ELSE 'first' END AS parsed_code FROM labels
+UNION ALL SELECT 'new ' || doc_id, 'rerun' FROM labels WHERE toxic = 1""")
+def compact_beside_stream(t):
+    """The state is folded, the stream stores a further micro-batch, and only then the fold is
+    put in force, between two micro-batches: nothing is lost."""
+    source, store = scratch_path(t.spark, "records"), scratch_path(t.spark, "state")
+    first = t.labels.select(
+        F.col("doc_id").cast("string").alias("question_id"), F.lit("first").alias("parsed_code"), F.lit(0).alias("seq"), "toxic")
+    rerun = first.where("toxic = 1").withColumn("parsed_code", F.lit("rerun"))
+
+    def run(rows):
+        rows.drop("toxic").write.mode("append").json(source)
+        records = t.spark.readStream.schema(ST.RUN_STATE + ", seq bigint").json(source)
+        ST.stream_upserts(records, store, f"{store}-checkpoint")
+
+    run(first)
+    fold = ST.fold_state(t.spark, store)
+    run(rerun)
+    ST.commit_fold(t.spark, fold)
+    run(rerun.withColumn("question_id", F.concat(F.lit("new "), "question_id")))
+    ST.remove_folded(t.spark, store, 0)
+    return ST.read_run_state(t.spark, store).select("question_id", "parsed_code")
+
+
+@query("replace_table_beside_writer", "SELECT doc_id, quality::BIGINT AS quality FROM labels")
+def replace_table_beside_writer(t):
+    """Two writers add half of the rows each to the table they read; the slower one finds its
+    version taken and builds anew."""
+    path, schema = scratch_path(t.spark, "table"), "doc_id bigint, quality int"
+    halves = [t.labels.where(F.col("doc_id") % 2 == k).select("doc_id", "quality") for k in (0, 1)]
+
+    def extended(half, version):
+        return TB.read_table(t.spark, path, schema).unionByName(half) if version else half
+
+    seen = TB.current_version(t.spark, path)[0]
+    slower = extended(halves[1], seen)
+    TB.replace_table(extended(halves[0], seen), path, after=seen)
+    try:
+        TB.replace_table(slower, path, after=seen)
+    except CM.Conflict:
+        seen = TB.current_version(t.spark, path)[0]
+        TB.replace_table(extended(halves[1], seen), path, after=seen)
+    return TB.read_table(t.spark, path, schema)
+
+
 @query("replace_table", "SELECT doc_id, quality::BIGINT AS quality FROM labels WHERE toxic = 0")
 def replace_table(t):
     path = scratch_path(t.spark, "table")

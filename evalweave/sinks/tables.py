@@ -1,55 +1,48 @@
 """All-or-nothing table replacement on plain files.
 
-A version is written to a directory of its own; only after its commit is one row
-added to a manifest. Readers take the newest manifest row, so that they see the
-old or the new table and never a part of one. Old versions stay for readers that
-already planned on them.
+A version is written to a folder of its own; it becomes the table when its commit is in
+the log. Readers take the newest commit, so that they see the old or the new table and never
+a part of one. Two writers of one version can't both win: the log has each number once.
+Old versions stay for readers that already planned on them, until ``remove_old``.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-MANIFEST = "version bigint, written bigint, data string"
-
 
-def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+from evalweave.sinks.commits import Conflict, commit, entries, new_data, remove
 
 
 def current_version(spark: SparkSession, path: str) -> tuple[int, str | None]:
-    manifest = _manifest(spark, path)
-    if manifest is None:
-        return 0, None
-    row = manifest.agg(F.max(F.struct("version", "written", "data")).alias("m")).first()
-    return (row.m.version, row.m.data) if row.m else (0, None)
+    found = entries(spark, path)
+    return (found[-1].number, found[-1].data) if found else (0, None)
 
 
-def replace_table(df: DataFrame, path: str, version: int | None = None) -> int:
-    """Write ``df`` as the next version, or as ``version`` if that is not older.
+def replace_table(df: DataFrame, path: str, after: int | None = None) -> int:
+    """Write ``df`` as the next version, and return its number.
 
-    A repeated version replaces the earlier attempt: the later row wins.
+    A table that was built from the one before names that version as ``after``: if another
+    writer has replaced it meanwhile, nothing changes and Conflict is raised, so that the
+    caller builds anew. Without ``after`` the table follows whatever there is.
     """
-    spark = df.sparkSession
-    version = current_version(spark, path)[0] + 1 if version is None else version
-    data = f"{path}/data/v{version}-{uuid.uuid4().hex}"
+    spark, data = df.sparkSession, new_data(path)
     df.write.parquet(data)
-    row = (version, time.time_ns(), data)
-    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    version = (current_version(spark, path)[0] if after is None else after) + 1
+    while not commit(spark, path, version, "table", data):
+        if after is not None:
+            raise Conflict(f"version {version} of {path} was written by another")
+        version += 1
     return version
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The current version, or no rows when nothing was written yet."""
-    data = current_version(spark, path)[1]
-    return spark.createDataFrame([], schema) if data is None else spark.read.schema(schema).parquet(data)
+def read_table(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
+    """The current version, or the one of that number; no rows when nothing was written yet."""
+    found = {e.number: e.data for e in entries(spark, path)}
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(found[max(found) if version is None else version])
+
+
+def remove_old(spark: SparkSession, path: str, keep: int = 2, older_than: float = 86_400.0) -> None:
+    """Delete all versions but the newest ``keep``, and what writers left unfinished a day ago."""
+    remove(spark, path, entries(spark, path)[:-max(keep, 1)], older_than)

@@ -1,23 +1,25 @@
 """Run state that survives restarts.
 
-A finished record replaces the stored one of its key. Each micro-batch adds one
-delta directory, so writing costs what the batch holds and not what the state
-holds; a repeated batch overwrites its own directory. Reading resolves the last
-record per key over the compacted base and the deltas after it.
+A finished record replaces the stored one of its key. Each micro-batch adds one delta,
+so writing costs what the batch holds and not what the state holds. Deltas have their order
+from the commit log, not from a clock, and a repeated batch finds its first commit there.
+Reading resolves the last record per key over the compacted base and the deltas after it.
+
+A base is a fold of all commits up to its *cut*. Streams may go on while it is
+made: their deltas come after the cut, wherever the base itself is in the log.
 """
 
 from __future__ import annotations
 
-import hashlib
-import time
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.operators.filters import request_succeeded
 from evalweave.operators.ordering import dedup_last
-from evalweave.sinks.tables import current_version, read_table, replace_table
+from evalweave.sinks.commits import Conflict, Entry, commit, entries, new_data, remove
 
 RUN_STATE = (
     "question_id string, question_title string, platform string, difficulty string, contest_date string,"
@@ -27,51 +29,106 @@ RUN_STATE = (
 )
 
 
-def upsert_state(
-    batch: DataFrame, batch_id: int, path: str, key: str = "question_id", stream: str = "", epoch: int | None = None,
-) -> None:
-    """Store a batch (``seq`` orders records of one key inside it).
+def _base(log: Sequence[Entry]) -> Entry | None:
+    return max((e for e in log if e.kind == "base"), key=lambda e: (e.more["cut"], e.number), default=None)
 
-    A delta is named by the version of the base it comes after (its epoch), by its stream
-    and by its batch, so that streams with checkpoints of their own never overwrite
-    each other's.
-    """
-    epoch = current_version(batch.sparkSession, f"{path}/base")[0] if epoch is None else epoch
-    last = dedup_last(batch, key, "seq").drop("seq").withColumn("written", F.lit(time.time_ns()))
-    name = hashlib.sha256(stream.encode()).hexdigest()[:16]
-    last.write.mode("overwrite").parquet(f"{path}/deltas/epoch={epoch}/stream=s{name}/batch={batch_id}")
+
+def _live(log: Sequence[Entry]) -> tuple[Entry | None, list[Entry]]:
+    """The base and the deltas behind its cut."""
+    base = _base(log)
+    cut = base.more["cut"] if base else 0
+    return base, [e for e in log if e.kind == "delta" and e.number > cut]
+
+
+def _stored(log: Sequence[Entry]) -> dict[str, int]:
+    """The last batch of each stream."""
+    base, deltas = _live(log)
+    last = dict(base.more["streams"]) if base else {}
+    for e in deltas:
+        last[e.more["stream"]] = max(e.more["batch"], last.get(e.more["stream"], -1))
+    return last
 
 
-def _deltas(spark: SparkSession, path: str, schema: str, since: int) -> DataFrame | None:
-    try:
-        df = spark.read.schema(f"{schema}, written bigint, epoch bigint, stream string, batch bigint").parquet(f"{path}/deltas")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return df.where(F.col("epoch") >= since).withColumn("at", F.struct("epoch", "written", "batch")).drop(
-        "epoch", "stream", "written", "batch")
+def upsert_state(batch: DataFrame, batch_id: int, path: str, key: str = "question_id", stream: str = "") -> None:
+    """Store a batch (``seq`` orders records of one key inside it). Batches of a stream come
+    in order; one that is stored already changes nothing."""
+    spark = batch.sparkSession
+    log = entries(spark, path)
+    if batch_id <= _stored(log).get(stream, -1):
+        return
+    data = new_data(path)
+    dedup_last(batch, key, "seq").drop("seq").write.parquet(data)
+    number = log[-1].number + 1 if log else 1
+    while not commit(spark, path, number, "delta", data, stream=stream, batch=batch_id):
+        number += 1
+
+
+def _read(spark: SparkSession, log: Sequence[Entry], schema: str, key: str) -> DataFrame:
+    base, deltas = _live(log)
+    found = [e for e in [base, *deltas] if e is not None]
+    if not found:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*[e.data for e in found])
+    # one row a commit since the last base
+    order = spark.createDataFrame([(e.data.rpartition("/")[2], 0 if e is base else e.number) for e in found], "__name string, __at bigint")
+    name = F.regexp_extract(F.col("_metadata.file_path"), "/data/([0-9a-f]{32})/", 1)
+    every = rows.withColumn("__name", name).join(F.broadcast(order), "__name").drop("__name")
+    return dedup_last(every, key, "__at").drop("__at")
 
 
 def read_run_state(spark: SparkSession, path: str, schema: str = RUN_STATE, key: str = "question_id") -> DataFrame:
     """Current record per key; no rows when nothing was stored."""
-    since = current_version(spark, f"{path}/base")[0]
-    base = read_table(spark, f"{path}/base", schema)
-    deltas = _deltas(spark, path, schema, since)
-    if deltas is None:
-        return base
-    first = F.lit(-1).cast("bigint")
-    every = base.withColumn("at", F.struct(first.alias("epoch"), first.alias("written"), first.alias("batch"))).unionByName(deltas)
-    return dedup_last(every, key, "at").drop("at")
+    return _read(spark, entries(spark, path), schema, key)
 
 
-def compact_state(spark: SparkSession, path: str, schema: str = RUN_STATE, keep=None) -> None:
-    """Fold the deltas into a new base, optionally keeping only some records.
+@dataclass
+class Fold:
+    """A base that is written but not yet committed."""
+
+    path: str
+    data: str
+    cut: int
+    streams: dict[str, int]
+    built_on: int
 
-    Not to be run while a stream is storing batches.
-    """
-    state = read_run_state(spark, path, schema)
-    replace_table(state if keep is None else state.where(keep), f"{path}/base")
+
+def fold_state(spark: SparkSession, path: str, schema: str = RUN_STATE, keep: Column | None = None, key: str = "question_id") -> Fold:
+    """Write all commits so far as one base, optionally only some records. ``commit_fold`` puts it
+    in force; what streams store in between follows it."""
+    log, data = entries(spark, path), new_data(path)
+    state = _read(spark, log, schema, key)
+    (state if keep is None else state.where(keep)).write.parquet(data)
+    base = _base(log)
+    return Fold(path, data, log[-1].number if log else 0, _stored(log), base.number if base else 0)
+
+
+def commit_fold(spark: SparkSession, fold: Fold) -> None:
+    """Raises Conflict if another base was committed since: fold again."""
+    while True:
+        log = entries(spark, fold.path)
+        base = _base(log)
+        if (base.number if base else 0) != fold.built_on:
+            raise Conflict(f"{fold.path} was compacted by another")
+        if commit(spark, fold.path, log[-1].number + 1 if log else 1, "base", fold.data, cut=fold.cut, streams=fold.streams):
+            return
+
+
+def compact_state(spark: SparkSession, path: str, schema: str = RUN_STATE, keep: Column | None = None) -> None:
+    """Fold the deltas into a new base, optionally keeping only some records. Streams may be
+    storing batches meanwhile; of two compactions the later one starts over."""
+    while True:
+        try:
+            return commit_fold(spark, fold_state(spark, path, schema, keep))
+        except Conflict:
+            continue
+
+
+def remove_folded(spark: SparkSession, path: str, older_than: float = 86_400.0) -> None:
+    """Delete what the current base has folded, once no reader of before needs it."""
+    log = entries(spark, path)
+    base = _base(log)
+    if base is not None:
+        remove(spark, path, [e for e in log if e.number <= base.more["cut"] and e.number != base.number], older_than)
 
 
 def reset_failed(spark: SparkSession, path: str, schema: str = RUN_STATE) -> None:
@@ -80,11 +137,14 @@ def reset_failed(spark: SparkSession, path: str, schema: str = RUN_STATE) -> Non
 
 
 def stream_upserts(records: DataFrame, path: str, checkpoint: str):
-    """Upsert every micro-batch of finished records; take what is there and stop."""
-    epoch = current_version(records.sparkSession, f"{path}/base")[0]
+    """Upsert every micro-batch of finished records; take what is there and stop.
 
+    A stream is known by its query's id, which its checkpoint keeps: one with a new
+    checkpoint is another stream.
+    """
     def store(batch: DataFrame, batch_id: int) -> None:
-        upsert_state(batch, batch_id, path, stream=checkpoint, epoch=epoch)
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        upsert_state(batch, batch_id, path, stream=query_id or checkpoint)
 
     query = (records.writeStream.option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).foreachBatch(store).start())

@@ -20,7 +20,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("n_samples", [1, 40, 399, 2000])
+@pytest.mark.parametrize("n_samples", [40, 2000])
 def test_head_gives_the_same_samples(spark, tmp_path, monkeypatch, n_samples):
     corpus = stored(spark, tmp_path / "c", 1000)
     built = [rows(P.build_concat(corpus, "k", "t", 50, n_samples)), rows(P.build_prefix(corpus, "k", "t", 50, 40, n_samples))]

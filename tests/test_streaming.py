@@ -1,14 +1,18 @@
 """State upserts and stream/batch agreement."""
 
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalweave.operators.aggregates import acceptance_rate
 from evalweave.operators.joins import pending
 from evalweave.queries.fixtures import acceptance_lines
 from evalweave.queries.registry import Tables
-from evalweave.sinks.tables import current_version, read_table, replace_table
+from evalweave.sinks.commits import Conflict, put_if_absent
+from evalweave.sinks.tables import current_version, read_table, remove_old, replace_table
 from evalweave.sources.logs import acceptance_counts
 from evalweave.streaming import state as S
 from evalweave.streaming.acceptance import RESULT, run_available
@@ -79,9 +83,53 @@ def test_replace_table_keeps_the_old_version_until_commit(spark, tmp_path):
     old = read_table(spark, path, "x bigint")
     assert replace_table(spark.range(5).withColumnRenamed("id", "x"), path) == 2
     assert (old.count(), read_table(spark, path, "x bigint").count()) == (3, 5)
-    # a version without its manifest row is invisible
-    spark.range(9).write.parquet(f"{path}/data/v3-broken")
+    # a version without its commit is invisible
+    spark.range(9).write.parquet(f"{path}/data/broken")
     assert current_version(spark, path)[0] == 2
+    remove_old(spark, path, keep=1, older_than=0)
+    assert read_table(spark, path, "x bigint").count() == 5 and len(os.listdir(f"{path}/data")) == len(os.listdir(f"{path}/log")) == 1
+    assert replace_table(spark.range(2).withColumnRenamed("id", "x"), path) == 3
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    path = str(tmp_path / "t")
+    replace_table(spark.range(1), path)
+    replace_table(spark.range(2), path, after=1)
+    with pytest.raises(Conflict):
+        replace_table(spark.range(3), path, after=1)
+    assert read_table(spark, path, "id bigint").count() == 2 and read_table(spark, path, "id bigint", 1).count() == 1
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: put_if_absent(spark, f"{tmp_path}/c/log/7", str(k)), range(40)))
+    assert sum(won) == 1 and (tmp_path / "c/log/7").read_text() == str(won.index(True)) and not os.listdir(tmp_path / "c/waiting")
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: replace_table(spark.range(k), str(tmp_path / "many")), range(8)))
+    assert sorted(versions) == list(range(1, 9))
+
+
+def test_compaction_beside_batches(spark, tmp_path):
+    store, schema = str(tmp_path / "state"), "question_id string, error string"
+
+    def put(k, **errors):
+        S.upsert_state(spark.createDataFrame([(q, 0, e) for q, e in errors.items()], "question_id string, seq int, error string"), k, store)
+
+    def now():
+        return {r.question_id: r.error for r in S.read_run_state(spark, store, schema).collect()}
+
+    put(0, a="1", b="1")
+    fold = S.fold_state(spark, store, schema, F.col("question_id") != "b")
+    late = S.fold_state(spark, store, schema)
+    put(1, a="2", c="2")
+    S.commit_fold(spark, fold)
+    assert now() == {"a": "2", "c": "2"}
+    with pytest.raises(Conflict):
+        S.commit_fold(spark, late)
+    put(0, a="again")  # folded long ago
+    put(2, b="3")
+    S.compact_state(spark, store, schema)
+    put(2, b="again")
+    S.remove_folded(spark, store, 0)
+    put(3, d="4")
+    assert now() == {"a": "2", "b": "3", "c": "2", "d": "4"} and len(os.listdir(f"{store}/data")) == 2
 
 
 def test_stream_over_rolled_files_equals_batch(spark, tmp_path):
