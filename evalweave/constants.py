@@ -10,11 +10,9 @@ DEFAULT_DATASET = "sharegpt"
 
 # --- fixed values: report orders and defaults ---
 DIFFICULTIES = ["easy", "medium", "hard"]
-INFER_MODES = ["every", "last", "every_with_gt"]
 HUMAN = "human"
 NO_ANSWER = "none"
 FIRST_QUESTION_ID = 34602
-FIT_ROUNDS = 64
 SHEET_NAME_LENGTH = 31
 MIN_AUTO_SAMPLES = 20
 AUTO_SAMPLES_PER_SLOT = 10
@@ -31,8 +29,6 @@ THINK_END = "</think>"
 ILLEGAL_NAME_CHARS = "[]:*?/\\"
 
 # --- fixed values: visual and choice question rows ---
-VISUAL_QUESTION = "Explain the contents of the picture"
-VIDEO_QUESTION = "Explain the contents of the video"
 ANNOTATION = {
     "image_id": 0,
     "answer_type": "other",

@@ -12,6 +12,7 @@ from evalweave.functions.metrics import acceptance_percent, safe_ratio, seconds_
 from evalweave.functions.text import error_category, nonblank, parse_number
 from evalweave.operators.ordering import as_list, null_safe_join, number_sorted
 from evalweave.operators.quantiles import distribution
+from evalweave.session import materialize
 
 
 def _count_if(condition: Column) -> Column:
@@ -124,8 +125,10 @@ def load_rollup(requests: DataFrame, group: str = "concurrency") -> DataFrame:
     """
     ok = F.col("ok")
     finish = F.col("start") + F.make_dt_interval(secs=F.col("elapsed_seconds").cast("decimal(18,6)"))
-    rows = requests.withColumn("__finish", finish).withColumn(
-        "__tpot", tpot("elapsed_seconds", "ttft_seconds", "output_tokens"))
+    # the numbers are worked out once, and read by the sums and both passes of the percentiles
+    rows = materialize(requests.select(
+        group, "ok", "start", "elapsed_seconds", "ttft_seconds", "input_tokens", "output_tokens", finish.alias("__finish"),
+        tpot("elapsed_seconds", "ttft_seconds", "output_tokens").alias("__tpot")))
 
     def good(c: str) -> Column:
         return F.when(ok, F.col(c))

@@ -21,16 +21,19 @@ def load_problems(
 ) -> tuple[DataFrame, DataFrame]:
     """(problems, counters) of a bank as ``read_problems`` gives it.
 
-    Problems: the first row of each id, of the wanted difficulties, ranked by date and id,
-    the first ``limit`` of them (0: all). Counters: one row with rows, malformed and
-    duplicates. A bank without a usable problem is an error.
+    Problems: the first row of each id with all its columns, of the wanted difficulties,
+    ranked by date and id, the first ``limit`` of them (0: all). Counters: one row with rows,
+    malformed and duplicates, which are the rows that are no new problem, malformed ones
+    included. A bank without a usable problem is an error.
     """
     counters = bank.agg(
         F.count("*").alias("rows"), F.count_if("malformed").alias("malformed"),
-        (F.count_if(~F.col("malformed")) - F.count_distinct(F.when(~F.col("malformed"), F.col("question_id")))).alias("duplicates"))
+        (F.count("*") - F.count_distinct(F.when(~F.col("malformed"), F.col("question_id")))).alias("duplicates"))
     first = dedup_first(bank.where("not malformed"), "question_id", "src_ord")
     wanted = filter_values(first, "difficulty", list(difficulties)) if difficulties else first
-    ranked = order_problems(wanted, "contest_date", "question_id")
+    # narrow rows are ranked, the others joined to them
+    order = order_problems(wanted.select("contest_date", "question_id"), "contest_date", "question_id")
+    ranked = wanted.join(order.select("question_id", "rank"), "question_id").drop("src_ord", "malformed")
     if ranked.isEmpty():
         raise ValueError("no usable problem in the bank")
     return ranked.where(F.col("rank") <= limit) if limit > 0 else ranked, counters

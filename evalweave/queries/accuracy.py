@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evalweave.functions.metrics import safe_ratio
+from evalweave.functions.metrics import safe_ratio, tpot
 from evalweave.functions.text import error_category
 from evalweave.operators import aggregates as A
 from evalweave.operators import filters as FL
@@ -268,9 +268,17 @@ def upsert_state(t):
 SELECT scope AS part, name, m.x AS metric, round(CASE m.x WHEN 'passed' THEN passed WHEN 'total' THEN total ELSE pass_at_1 END, 6) AS value
 FROM ({SCOPES_SQL}), (VALUES ('passed'), ('total'), ('pass_at_1')) m(x)
 UNION ALL SELECT 'errors', split_part(error, ':', 1), 'n', count(*)::DOUBLE FROM ({X.REQUESTS_SQL}) WHERE error <> '' GROUP BY 2
-UNION ALL SELECT 'timing', 'completion_tokens', m.x, round(CASE m.x WHEN 'count' THEN count(completion_tokens) WHEN 'mean' THEN avg(completion_tokens)
-  WHEN 'p50' THEN quantile_cont(completion_tokens::DOUBLE, 0.5) WHEN 'p95' THEN quantile_cont(completion_tokens::DOUBLE, 0.95)
-  WHEN 'p99' THEN quantile_cont(completion_tokens::DOUBLE, 0.99) ELSE max(completion_tokens) END, 6)
-FROM ({X.REQUESTS_SQL}), (VALUES ('count'), ('mean'), ('p50'), ('p95'), ('p99'), ('max')) m(x) GROUP BY m.x""")
+UNION ALL SELECT 'timing', c, m.x, round(CASE m.x WHEN 'count' THEN count(v) WHEN 'mean' THEN avg(v)
+  WHEN 'p50' THEN quantile_cont(v, 0.5) WHEN 'p95' THEN quantile_cont(v, 0.95)
+  WHEN 'p99' THEN quantile_cont(v, 0.99) ELSE max(v) END, 6)
+FROM (UNPIVOT (SELECT ttft_seconds, (elapsed_seconds - ttft_seconds) / nullif(completion_tokens - 1, 0) AS tpot_seconds, elapsed_seconds,
+    (request_id % 100)::DOUBLE AS prompt_tokens, completion_tokens::DOUBLE AS completion_tokens FROM ({X.REQUESTS_SQL}) WHERE completion_tokens > 1)
+  ON ttft_seconds, tpot_seconds, elapsed_seconds, prompt_tokens, completion_tokens INTO NAME c VALUE v),
+  (VALUES ('count'), ('mean'), ('p50'), ('p95'), ('p99'), ('max')) m(x) GROUP BY c, m.x""")
 def evaluation_summary(t):
-    return E.evaluation_summary(X.graded(t), X.requests(t), timings=["completion_tokens"])
+    """All five timings, of requests with more than one token; the errors of all requests."""
+    many = F.col("completion_tokens") > 1
+    records = X.requests(t).withColumns({
+        "tpot_seconds": tpot("elapsed_seconds", "ttft_seconds", "completion_tokens"), "prompt_tokens": F.col("request_id") % 100})
+    timed = [F.when(many, F.col(c)).alias(c) for c in E.TIMINGS]
+    return E.evaluation_summary(X.graded(t), records.select("error", *timed))

@@ -14,6 +14,20 @@ CONCURRENCIES = [1, 8]
 PREFIX_SHARES = [None, 85]
 
 
+#: Sample counts that follow the tables.
+ITEMS_SQL = "(SELECT 5 * count(*) + 3 FROM benchmark)"
+DOCS_SQL = "(SELECT count(*) + count(*) // 2 FROM documents)"
+
+
+def items_n(t: Tables) -> int:
+    return 5 * t.benchmark.count() + 3
+
+
+def docs_n(t: Tables) -> int:
+    n = t.documents.count()
+    return n + n // 2
+
+
 def k() -> Column:
     return F.get_json_object("props", "$.k").try_cast("bigint")
 

@@ -40,18 +40,18 @@ def read_questions(t):
 
 
 def _question_file(t):
-    """The benchmark as one prompt file, in order of its ids."""
+    """The benchmark as prompt files, in order of its ids."""
     path = scratch_path(t.spark, "questions")
-    WR.write_prompt_set(t.benchmark.coalesce(1).sortWithinPartitions("item_id"), "text", path)
+    WR.write_prompt_set(t.benchmark.repartitionByRange(4, "item_id").sortWithinPartitions("item_id"), "text", path)
     return S.read_questions(t.spark, path)
 
 
 @query("questions_to_prompt_set", f"""
 SELECT sample, {tiled_sql('toks', 200)} AS question
-FROM ({cycle_sql(f"SELECT item_id, {TOKS('text')} AS toks FROM benchmark WHERE len({TOKS('text')}) > 0", "item_id", 300, ", c.toks")})""")
+FROM ({cycle_sql(f"SELECT item_id, {TOKS('text')} AS toks FROM benchmark WHERE len({TOKS('text')}) > 0", "item_id", X.ITEMS_SQL, ", c.toks")})""")
 def questions_to_prompt_set(t):
     """File written, read, and built, on the reader's own key."""
-    return P.build_tiled(_question_file(t), "ord", "question", 200, 300).select("sample", "question")
+    return P.build_tiled(_question_file(t), "ord", "question", 200, X.items_n(t)).select("sample", "question")
 
 
 @query("questions_to_concat", f"""
@@ -74,7 +74,7 @@ SELECT sample, question, n_tokens, draws FROM n""")
 def issues_to_prompt_set(t):
     path = scratch_path(t.spark, "issues")
     issues = t.documents.select("doc_id", F.col("text").alias("problem_statement"))
-    issues.coalesce(1).sortWithinPartitions("doc_id").write.parquet(f"{path}/data")
+    issues.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/data")
     return P.build_concat(S.read_issues(t.spark, path), "ord", "text", 256)
 
 
@@ -111,14 +111,16 @@ def check_parseable(t):
 
 
 @query("load_problems", """
-SELECT CAST(doc_id AS VARCHAR) AS question_id, row_number() OVER (ORDER BY doc_id % 90, CAST(doc_id AS VARCHAR)) AS rank
+SELECT CAST(doc_id AS VARCHAR) AS question_id, md5(text) AS title_md5, source AS platform, lang AS difficulty, row_number() OVER (ORDER BY doc_id % 90, CAST(doc_id AS VARCHAR)) AS rank
 FROM documents WHERE n_chars >= 200 AND doc_id % 7 <> 0 AND lang IN ('en', 'de')""")
 def load_problems(t):
-    return E.load_problems(_bank(t), ["EN", "de"])[0].drop("contest_date")
+    problems = E.load_problems(_bank(t), ["EN", "de"])[0]
+    return problems.select("question_id", F.md5("question_title").alias("title_md5"), "platform", "difficulty", "rank")
 
 
 @query("load_problems_counters", f"""
-SELECT count(*) AS rows, count(*) FILTER (malformed) AS malformed, 0::BIGINT AS duplicates FROM ({BANK_SQL})""")
+SELECT count(*) AS rows, count(*) FILTER (malformed) AS malformed,
+  count(*) - count(DISTINCT question_id) FILTER (NOT malformed) AS duplicates FROM ({BANK_SQL})""")
 def load_problems_counters(t):
     return E.load_problems(_bank(t), limit=5)[1]
 
@@ -194,7 +196,9 @@ def _reports(t):
     deep = F.to_json(F.struct(F.array(F.struct(F.col("score"), F.array(split).alias("categories"))).alias("metrics")))
     shallow = F.to_json(F.struct(F.array(F.struct(F.col("score"), F.array("flat").alias("categories"))).alias("metrics")))
     even = F.ascii(F.substring("source", -1, 1)) % 2 == 0
-    return S.report_scores(per_source.select("source", F.when(even, deep).otherwise(shallow).alias("doc")), "doc").drop("doc")
+    path = scratch_path(t.spark, "reports")
+    per_source.select("source", F.when(even, deep).otherwise(shallow).alias("doc")).write.partitionBy("source").text(path)
+    return S.read_eval_reports(t.spark, path).withColumn("source", F.regexp_extract("report", "/source=([^/]*)/", 1))
 
 
 @query("read_eval_reports", """
@@ -226,7 +230,9 @@ def read_cases(t):
     doc = F.concat(
         F.lit('{"1": "gsm:'), key, F.lit('0-8-4-0.5-'), pfx, F.lit('", "2": {"id": "n'), key, F.lit('", "in": '), key,
         F.lit(', "out_len": 16, "c": 2, "pfx": '), pfx, F.lit('}, "3": 7}'))
-    return S.case_rows(t.supplier.select("s_suppkey", doc.alias("doc")), "doc")
+    path = scratch_path(t.spark, "cases")
+    t.supplier.select("s_suppkey", doc.alias("doc")).write.partitionBy("s_suppkey").text(path)
+    return S.read_cases(t.spark, path)
 
 
 def _log_folder(t):
@@ -264,6 +270,16 @@ def log_from_snapshot(t):
     return A.acceptance_rate(L.read_acceptance_log(t.spark, f"{path}/part-*", every="true", startingOffsets=start))
 
 
+@query("log_unfinished_line", ACCEPTANCE_SQL + " AND pos < (SELECT max(event_id) FROM events)")
+def log_unfinished_line(t):
+    """The last line is still being written: it has no line feed yet, and does not count."""
+    lines, last = X.acceptance_lines(t), t.events.agg(F.max("event_id")).first()[0]
+    path = scratch_path(t.spark, "log")
+    line = F.when(F.col("pos") == last, F.col("line")).otherwise(F.concat("line", F.lit("\n")))
+    lines.repartitionByRange(4, "pos").sortWithinPartitions("pos").select(line).write.option("lineSep", " ").text(path)
+    return A.acceptance_rate(L.read_acceptance_log(t.spark, f"{path}/part-*", every="true"))
+
+
 @query("log_after_truncation", ACCEPTANCE_SQL)
 def log_after_truncation(t):
     """Offsets beyond the files' sizes: all of them start over."""

@@ -201,9 +201,9 @@ def prompts_of(t):
 SELECT prompt FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text ELSE 'p' || text END AS prompt FROM benchmark
 WHERE item_id % 5 <> 4) ORDER BY item_id LIMIT 20""")
 def read_prompts(t):
-    """The first twenty of a file in which a question, a prompt or neither is set."""
-    path, kind = scratch_path(t.spark, "prompts") + ".jsonl", F.col("item_id") % 3
-    rows = t.benchmark.coalesce(1).sortWithinPartitions("item_id").select(
+    """The first twenty of a folder of files in which a question, a prompt or neither is set."""
+    path, kind = scratch_path(t.spark, "prompts"), F.col("item_id") % 3
+    rows = t.benchmark.repartitionByRange(4, "item_id").sortWithinPartitions("item_id").select(
         F.when(F.col("item_id") % 5 == 4, "").when(kind == 0, F.col("text")).otherwise("").alias("question"),
         F.when(F.col("item_id") % 5 == 4, "").when(kind != 0, F.concat(F.lit("p"), "text")).alias("prompt"))
     rows.write.json(path)
@@ -278,15 +278,20 @@ def number_rows(t):
     return placed.select("o_orderkey", (F.col("start") + C.FIRST_QUESTION_ID).alias("question_id"))
 
 
-def cycle_sql(rows: str, key: str, n: int, extra: str = "") -> str:
+def counted(n: str) -> str:
+    """0 to n - 1 as column ``range``."""
+    return f"(SELECT unnest(range(CAST({n} AS BIGINT))) AS range)"
+
+
+def cycle_sql(rows: str, key: str, n: str, extra: str = "") -> str:
     return f"""
-SELECT s.range AS sample, c.{key}{extra} FROM range({n}) s
+SELECT s.range AS sample, c.{key}{extra} FROM {counted(n)} s
 JOIN (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS i, count(*) OVER () AS size FROM ({rows})) c ON s.range % c.size = c.i"""
 
 
-@query("cycle_assign", cycle_sql("SELECT item_id FROM benchmark", "item_id", 5000))
+@query("cycle_assign", cycle_sql("SELECT item_id FROM benchmark", "item_id", X.ITEMS_SQL))
 def cycle_assign(t):
-    return J.cycle_assign(t.benchmark, "item_id", 5000)
+    return J.cycle_assign(t.benchmark, "item_id", X.items_n(t))
 
 
 @query("repeat_samples", """
@@ -298,9 +303,9 @@ def repeat_samples(t):
 @query("warmup_plan", f"""
 SELECT sample, sample // 16 + 1 AS wave, sample % 16 AS slot, item_id,
        text || chr(10) || chr(10) || '[warmup ' || (sample // 16 + 1) || ' ' || (sample % 16) || ']' AS prompt
-FROM ({cycle_sql("SELECT * FROM benchmark WHERE text <> ''", "item_id", 1000, ", c.text")})""")
+FROM ({cycle_sql("SELECT * FROM benchmark WHERE text <> ''", "item_id", X.ITEMS_SQL, ", c.text")})""")
 def warmup_plan(t):
-    return WU.warmup_plan(t.benchmark, "item_id", "text", 1000, 16)
+    return WU.warmup_plan(t.benchmark, "item_id", "text", X.items_n(t), 16)
 
 
 @query("warmup_prompt", """
@@ -314,12 +319,12 @@ def warmup_prompt(t):
 # ---- question files ----
 
 def _samples(t):
-    return P.build_tiled(t.benchmark, "item_id", "text", 32, 500)
+    return P.build_tiled(t.benchmark, "item_id", "text", 32, X.items_n(t))
 
 
 SAMPLES_SQL = f"""
 SELECT sample, {tiled_sql('toks', 32)} AS question
-FROM ({cycle_sql(f"SELECT item_id, {TOKS('text')} AS toks FROM benchmark WHERE len({TOKS('text')}) > 0", "item_id", 500, ", c.toks")})"""
+FROM ({cycle_sql(f"SELECT item_id, {TOKS('text')} AS toks FROM benchmark WHERE len({TOKS('text')}) > 0", "item_id", X.ITEMS_SQL, ", c.toks")})"""
 
 
 @query("write_prompt_set", f"SELECT question, 'none' AS answer FROM ({SAMPLES_SQL})")
@@ -353,16 +358,16 @@ def choice_rows(t):
 # ---- prompt sets of an exact length ----
 
 @query("build_tiled", f"""
-SELECT sample, doc_id, {tiled_sql('toks', 128)} AS question FROM ({cycle_sql(X.CORPUS_SQL, "doc_id", 1500, ", c.toks")})""")
+SELECT sample, doc_id, {tiled_sql('toks', 128)} AS question FROM ({cycle_sql(X.CORPUS_SQL, "doc_id", X.DOCS_SQL, ", c.toks")})""")
 def build_tiled(t):
-    return P.build_tiled(t.documents, "doc_id", "text", 128, 1500)
+    return P.build_tiled(t.documents, "doc_id", "text", 128, X.docs_n(t))
 
 
 @query("build_single", f"""
 SELECT sample, item_id, {tiled_sql('toks', 200)} AS question, true AS exact
-FROM ({cycle_sql(f"SELECT item_id, {TOKS('text')} AS toks FROM benchmark WHERE len({TOKS('text')}) > 0", "item_id", 300, ", c.toks")})""")
+FROM ({cycle_sql(f"SELECT item_id, {TOKS('text')} AS toks FROM benchmark WHERE len({TOKS('text')}) > 0", "item_id", X.ITEMS_SQL, ", c.toks")})""")
 def build_single(t):
-    return P.build_single(t.benchmark, "item_id", "text", 200, 300)
+    return P.build_single(t.benchmark, "item_id", "text", 200, X.items_n(t))
 
 
 def packed_sql(length: int, offsets: str) -> str:
@@ -408,9 +413,9 @@ def build_concat(t):
 
 @query("build_concat_cycled", f"""
 WITH {packed_sql(2048, OFFSETS_SQL)}, {BUILT}
-SELECT i.range AS sample, question, n_tokens, draws FROM range(400) i JOIN n ON i.range % (SELECT count(*) FROM n) = n.sample""")
+SELECT i.range AS sample, question, n_tokens, draws FROM {counted("(SELECT count(*) // 4 FROM documents)")} i JOIN n ON i.range % (SELECT count(*) FROM n) = n.sample""")
 def build_concat_cycled(t):
-    return P.build_concat(t.documents, "doc_id", "text", 2048, 400)
+    return P.build_concat(t.documents, "doc_id", "text", 2048, t.documents.count() // 4)
 
 
 @query("build_concat_first", f"""

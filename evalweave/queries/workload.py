@@ -11,9 +11,12 @@ from evalweave.operators import joins as J
 from evalweave.operators import ordering as O
 from evalweave.operators import quantiles as Q
 from evalweave.operators import sets as S
+from evalweave.plans import evaluation as E
 from evalweave.plans import matrix as MX
 from evalweave.queries import fixtures as X
 from evalweave.queries.registry import query
+from evalweave.session import materialize, scratch_path
+from evalweave.sources.files import read_chunk_log as read_chunk_log_of
 
 
 def _acceptance(t):
@@ -103,6 +106,43 @@ def describe_requests(t):
     return _settled(Q.describe(rows, ["completion_tokens", "ttft_seconds", "tpot_seconds", "elapsed_seconds"], "case_id"))
 
 
+NEAR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("sketch_quantiles", " UNION ALL ".join(
+    f"SELECT '{c}' AS metric, count({c}) AS count, max({c}) AS max, true AS p50, true AS p95, true AS p99 FROM lineitem"
+    for c in NEAR))
+def sketch_quantiles(t):
+    """Sketches stored per return flag and merged; whether each percentile lies within the bound."""
+    path = scratch_path(t.spark, "sketches")
+    Q.sketch(t.lineitem, NEAR, "l_returnflag").write.parquet(path)
+    merged = materialize(Q.described(Q.merge_sketches(t.spark.read.parquet(path))))
+    values = t.lineitem.select(*NEAR).unpivot([], NEAR, "metric", "value").join(F.broadcast(merged), "metric")
+
+    def near(name, p):
+        below, upto = F.avg((F.col("value") < F.col(name)).cast("int")), F.avg((F.col("value") <= F.col(name)).cast("int"))
+        return ((below <= p + Q.RANK_ERROR) & (upto >= p - Q.RANK_ERROR)).alias(name)
+
+    return values.groupBy("metric", "count", "max").agg(near("p50", 0.5), near("p95", 0.95), near("p99", 0.99))
+
+
+@query("parse_result", """
+WITH m AS (SELECT user_id, {case} AS param, value, event_id FROM events WHERE user_id % 3 <> 0),
+     c AS (SELECT user_id, round(sum(value), 6) AS a, round(avg(value), 6) AS b, count(*)::DOUBLE AS d FROM events GROUP BY 1)
+SELECT 'run-' || m.user_id AS stem, {picks},
+  any_value(a) AS total_tokens_per_s, any_value(b) AS requests_per_s, any_value(d) AS total_requests
+FROM m JOIN c ON m.user_id = c.user_id GROUP BY m.user_id""".format(
+    case="CASE event_type WHEN 'view' THEN 'E2EL' WHEN 'click' THEN 'TTFT' WHEN 'signup' THEN 'TPOT' WHEN 'purchase' THEN 'ITL' "
+         "ELSE 'OutputTokenThroughput' END",
+    picks=", ".join(f"arg_max(value, event_id) FILTER (param = '{p}') AS {c}" for c, p in A.C.SUMMARY_PARAMS.items())))
+def parse_result(t):
+    """Result tables of all runs, documents of two thirds of them."""
+    stem = F.concat(F.lit("run-"), F.col("user_id"))
+    rows = _metric_rows(t).withColumn("stem", stem).drop("user_id")
+    common = _common_metrics(t).where(F.col("user_id") % 3 != 0).withColumn("stem", stem).withColumn("stage", F.lit("total")).drop("user_id")
+    return E.parse_result(rows, common)
+
+
 @query("metric_stats", """
 SELECT event_type AS param, 'total' AS stage, round(avg(value), 6) AS average, min(value) AS min, max(value) AS max,
        round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS p75,
@@ -125,16 +165,23 @@ SELECT m.user_id, {", ".join(
   any_value(a) AS total_tokens_per_s, any_value(b) AS requests_per_s, any_value(d) AS total_requests
 FROM m JOIN c ON m.user_id = c.user_id GROUP BY m.user_id""")
 def summary_wide(t):
+    return A.summary_wide(_metric_rows(t), _common_metrics(t), "user_id")
+
+
+def _metric_rows(t):
     kinds = F.create_map(*[F.lit(x) for kv in PARAMS.items() for x in kv])
     rows = t.events.select("user_id", F.element_at(kinds, F.col("event_type")).alias("param"),
                            F.format_string("%.12f ms", F.col("value")).alias("average"), F.col("event_id").alias("ord"),
                            F.lit("total").alias("stage"))
     other = rows.withColumns({"stage": F.lit("stable"), "average": F.lit("0 ms"), "ord": F.col("ord") + 10**9})
-    common = t.events.groupBy("user_id").agg(
+    return rows.unionByName(other)
+
+
+def _common_metrics(t):
+    return t.events.groupBy("user_id").agg(
         F.sum("value").alias("Total Token Throughput"), F.avg("value").alias("Request Throughput"),
         F.count("*").cast("double").alias("Total Requests")).unpivot(
         ["user_id"], ["Total Token Throughput", "Request Throughput", "Total Requests"], "metric", "value")
-    return A.summary_wide(rows.unionByName(other), common, "user_id")
 
 
 ROLL_SQL = f"""
@@ -232,18 +279,17 @@ SELECT request_id, seq, CASE WHEN event_type = 'signup' THEN NULL ELSE event_typ
        CASE WHEN event_type = 'purchase' THEN 'stop' END AS finish_reason
 FROM c WHERE stop IS NULL OR seq < stop""")
 def read_chunk_log(t):
-    from evalweave.sources.files import decoded_chunks
-
     kind = F.col("event_type")
     choice = F.struct(
         F.struct(F.when(kind != "signup", kind).alias("content")).alias("delta"),
         F.when(kind == "purchase", F.lit("stop")).alias("finish_reason"))
     body = F.when(kind == "error", F.lit("[DONE]")).otherwise(F.to_json(F.struct(F.array(choice).alias("choices"))))
-    lines = t.events.select(
-        F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"),
-        F.concat(F.lit("data: "), body).alias("line"))
-    return A.before_done(decoded_chunks(lines), "request_id", "seq").select(
-        "request_id", "seq", "piece", "finish_reason")
+    path = scratch_path(t.spark, "chunks")
+    t.events.select(
+        F.col("user_id").cast("string").alias("request_id"), F.col("event_id").alias("seq"), "ts",
+        F.concat(F.lit("data: "), body).alias("line")).write.json(path)
+    return A.before_done(read_chunk_log_of(t.spark, path), "request_id", "seq").select(
+        F.col("request_id").cast("bigint").alias("request_id"), "seq", "piece", "finish_reason")
 
 
 @query("split_status", f"""

@@ -51,8 +51,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder and cut its lineage.
 
-    Used for narrow results of an expensive pass (token counts, sort positions)
-    that a plan reads more than once.
+    Used for narrow results of an expensive pass (token counts, sort positions) that a plan
+    reads more than once. Kept as Parquet: later reads take the columns they need, push
+    filters down and know the size, so that joins are planned on it.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if any(kind == "void" for _, kind in df.dtypes):
+        shared_dir(spark)
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, "kept")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

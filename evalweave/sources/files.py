@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,18 +190,37 @@ def subset_rows(reports: DataFrame, key: str = "report") -> DataFrame:
     return reports.select(key, F.explode("subsets").alias("s")).select(key, "s.*")
 
 
-def read_prompts(spark: SparkSession, path: str, n: int = 0) -> DataFrame:
-    """(ord, prompt) of a JSON-lines file (question, else prompt) or of a chat file (the
-    first human turn of each chat); the first ``n`` in file order, 0 for all."""
-    if path.endswith(".jsonl"):
+def _prompt_kind(spark: SparkSession, path: str) -> str:
+    """What a prompt file or folder holds, by how its first text begins."""
+    first = spark.read.option("lineSep", "}").text(path).where(nonblank("value")).first()
+    if first is None:
+        return "prompts"
+    if first.value.lstrip("\ufeff \t\r\n").startswith("["):
+        return "chat arrays"
+    return "chat lines" if re.search(r'(?<!\\)"conversations"\s*:', first.value) else "prompts"
+
+
+def read_prompts(spark: SparkSession, path: str, n: int = 0, kind: str | None = None) -> DataFrame:
+    """(ord, prompt) of JSON lines (question, else prompt) or of chats, as an array or as lines
+    (the first human turn of each); the first ``n`` in file order, 0 for all.
+
+    ``kind`` is "prompts", "chat arrays" or "chat lines"; without it the content decides, for
+    files and for folders. Chats of which none has conversations are an error.
+    """
+    kind = _prompt_kind(spark, path) if kind is None else kind
+    if kind == "prompts":
         rows = in_file_order(spark.read.schema("question string, prompt string").json(path))
         rows = rows.select("ord", F.coalesce(
             F.nullif("question", F.lit("")), F.nullif("prompt", F.lit(""))).alias("prompt")
         ).where("prompt is not null")
-    else:
-        chats = read_nested_chats(spark, path)
+    elif kind in ("chat arrays", "chat lines"):
+        chats = read_nested_chats(spark, path, kind == "chat arrays")
+        if chats.where("conversations is not null").isEmpty():
+            raise ValueError(f"no conversations in {path}")
         first = F.get(F.filter("conversations", lambda t: t["from"] == C.HUMAN), F.lit(0))
         rows = chats.select("ord", first["value"].alias("prompt")).where("prompt <> ''")
+    else:
+        raise ValueError(f"unknown kind of prompts: {kind!r}")
     return rows.orderBy("ord").limit(n) if n > 0 else rows
 
 

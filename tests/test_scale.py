@@ -189,3 +189,21 @@ def test_history_is_stored_once(spark):
         for r in got:
             assert r.history == "".join((x[3] or "") + "\n" for x in kept if x[0] == r.conv_id and x[1] < r.turn)
         assert len(got) == 302
+
+
+# ---- sketches ----
+
+def test_sketches_merge_within_their_bound(spark):
+    r = random.Random(9)
+    runs = {f"run{k}": [r.choice([r.gauss(k, 1), r.expovariate(0.1), 5.0]) for _ in range(1500 * (k + 1))] for k in range(4)}
+    rows = [(g, x) for g, xs in runs.items() for x in xs] + [("none", None), ("run0", float("nan"))]
+    stored = Q.sketch(spark.createDataFrame(rows, "run string, x double"), ["x"], "run")
+    assert plan_of(stored).count("Scan") == 1  # one pass
+    every = sorted(x for xs in runs.values() for x in xs)
+    got = Q.described(Q.merge_sketches(stored)).first()
+    assert got["count"] == len(every) and got["max"] == every[-1] and got["mean"] == pytest.approx(sum(every) / len(every))
+    for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        below, upto = sum(x < got[name] for x in every), sum(x <= got[name] for x in every)
+        assert below / len(every) - Q.RANK_ERROR <= p <= upto / len(every) + Q.RANK_ERROR
+    single = {x.run: x for x in Q.described(stored, "run").collect()}
+    assert single["none"]["count"] == 0 and single["none"].p50 is None and single["run3"]["count"] == 6000
