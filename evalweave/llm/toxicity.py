@@ -8,8 +8,10 @@ change of score is part of the loss: naming a group, by itself, must not move a
 
 Nulls: null and empty texts get the score of a text without features; null ids are
 scored, and are never learned from. Labels without a document, or null, are ignored; of
-repeated labels the largest counts. Without labels of both kinds all texts score alike.
-An empty table gives an empty result.
+repeated labels the largest counts; of the texts of a repeated id the one with the smallest hash is
+learned from. Features that tell equally much are taken by their hash. Without labels of both kinds all texts score alike.
+An empty table gives an empty result. Very long texts are sets of words, as large as their
+vocabulary. Only the named columns are read, so that others can't clash.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import small_batches
+from evalweave.llm.common import pinned, small_batches
 
 #: Bound of the training sample, for each label; the rows with the smallest hashes of their ids.
-SAMPLE = 4_000
+SAMPLE = 12_000
 #: Most telling features that enter the fit.
 FEATURES = 4096
 PREDICT_AT = 0.7
@@ -84,50 +86,63 @@ def _features(groups: Sequence[Sequence[str]]):
     return run
 
 
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many rows, and how many toxic ones, hold each feature, added up batch by batch."""
+    for batch in batches:
+        rows = [np.frombuffer(x, np.int64) for x in batch["features"]]
+        if rows:
+            every, place = np.unique(np.concatenate(rows), return_inverse=True)
+            toxic = np.bincount(place, np.repeat(batch["toxic"].to_numpy(float), [len(r) for r in rows]), len(every))
+            yield pd.DataFrame({"feature": every, "seen": np.bincount(place, minlength=len(every)), "toxic": toxic.astype(np.int64)})
+
+
+def _among(features: bytes, chosen: np.ndarray) -> np.ndarray:
+    """Places of those that are chosen."""
+    found = np.frombuffer(features, np.int64)
+    at = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
+    return at[chosen[at] == found].astype(np.uint16)
+
+
+def _places(chosen: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [_among(x, chosen) for x in batch["features"]]
+            other = [[_among(s, chosen) for s in some] for some in batch["swaps"]]
+            yield pd.DataFrame({
+                "toxic": batch["toxic"], "places": [x.tobytes() for x in own],
+                "gained": [[np.setdiff1d(s, x).tobytes() for s in some] for x, some in zip(own, other)],
+                "lost": [[np.setdiff1d(x, s).tobytes() for s in some] for x, some in zip(own, other)]})
+    return run
+
+
 class Sparse:
-    """Rows of feature places, for products with a weight vector."""
+    """Rows of feature places, for products with a weight vector; each place counts ``values``."""
 
-    def __init__(self, rows: list[np.ndarray], vocabulary: np.ndarray):
-        found = [np.searchsorted(vocabulary, r) for r in rows]
-        found = [f[(f < len(vocabulary))] if not len(r) else f[vocabulary[np.minimum(f, len(vocabulary) - 1)] == r] for f, r in zip(found, rows)]
-        self.at = np.concatenate(found) if found else np.empty(0, np.int64)
-        self.row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
-        self.shape = (len(rows), len(vocabulary))
+    def __init__(self, rows: list[np.ndarray], width: int, values: np.ndarray | None = None):
+        self.at = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
+        self.row = np.repeat(np.arange(len(rows)), [len(f) for f in rows])
+        self.values, self.shape = np.ones(len(self.at)) if values is None else values, (len(rows), width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.at], self.shape[0])
+        return np.bincount(self.row, w[self.at] * self.values, self.shape[0])
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, r[self.row], self.shape[1])
+        return np.bincount(self.at, r[self.row] * self.values, self.shape[1])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[list[np.ndarray]]) -> tuple[dict[int, float], float]:
-    """(weight of each feature, bias)."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, float]:
+    """(weight of each of ``width`` features, bias). ``rows``: the features of each text, by
+    place; ``changes``: those that a swapped term adds to one and those that it removes."""
     positive = int(labels.sum())
-    if not 0 < positive < len(labels):
-        rate = (positive + 1) / (len(labels) + 2)
-        return {}, float(np.log(rate / (1 - rate)))
-    every, place = np.unique(np.concatenate(rows), return_inverse=True)
-    label_of = np.repeat(labels, [len(r) for r in rows])
-    seen = np.bincount(place, minlength=len(every))
-    toxic = np.bincount(place, label_of, minlength=len(every))
-    expected = seen * positive / len(labels)
-    # signed chi-square against chance; features seen once or twice tell nothing
-    gain = np.where(seen >= 3, (toxic - expected) ** 2 / np.maximum(expected, 1e-9), 0)
-    chosen = np.sort(every[np.argsort(-gain, kind="stable")[:FEATURES]][: int((gain > 8).sum())])
-    if not len(chosen):
-        return {}, float(np.log(positive / (len(labels) - positive)))
-    x = Sparse(rows, chosen)
-    pairs = [(i, s) for i, some in enumerate(swaps) for s in some]
-    changed = Sparse([s for _, s in pairs], chosen)
-    origin = np.array([i for i, _ in pairs], np.int64)
+    x = Sparse(rows, width)
+    sizes = np.array([n for a, b in changes for n in (len(a), len(b))], np.int64)
+    change = Sparse([np.concatenate(c) for c in changes], width, np.repeat(np.tile([1.0, -1.0], len(changes)), sizes))
     weight = np.where(labels == 1, 0.5 / positive, 0.5 / (len(labels) - positive))
     # gradient descent with momentum; the step is what the largest curvature allows
-    w, b, best = np.zeros(len(chosen)), 0.0, (np.zeros(len(chosen)), 0.0)
-    v = np.ones(len(chosen))
+    w, b, v = np.zeros(width), 0.0, np.ones(width)
     for _ in range(20):
         v = x.back(weight * x.dot(v / np.linalg.norm(v)))
-    step = 1.0 / (0.25 * np.linalg.norm(v) + 0.5 + RIDGE + (4 * COUNTERFACTUAL if pairs else 0))
+    step = 1.0 / (0.25 * np.linalg.norm(v) + 0.5 + RIDGE + (4 * COUNTERFACTUAL if changes else 0))
     old_w, old_b = w, b
     for t in range(STEPS):
         m = t / (t + 3)
@@ -135,13 +150,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[list[np.ndarray]
         z = x.dot(at_w) + at_b
         r = weight * (1 / (1 + np.exp(-z)) - labels)
         grad = x.back(r) + RIDGE * at_w
-        if pairs:
-            d = (changed.dot(at_w) - x.dot(at_w)[origin]) * (2 * COUNTERFACTUAL / len(pairs))
-            grad += changed.back(d) - x.back(np.bincount(origin, d, len(rows)))
+        if changes:
+            grad += change.back(change.dot(at_w) * (2 * COUNTERFACTUAL / len(changes)))
         old_w, old_b = w, b
         w, b = at_w - step * grad, at_b - step * r.sum()
-        best = (w, b)
-    return dict(zip(chosen.tolist(), best[0].tolist())), float(best[1])
+    return w, float(b)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -149,20 +162,41 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, groups: Sequence[Sequence[str]] = GROUPS) -> tuple[dict[int, float], float]:
-    """Fit on labelled rows outside the held-out third. ``docs``: doc_id, text."""
-    small_batches(docs.sparkSession)
+    """Fit on labelled rows outside the held-out third. ``docs``: doc_id, text.
+
+    Features are counted where the texts are; the driver holds the places of the chosen few
+    in each sampled text, and what swaps change of them.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     named = named.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     picked = None
     for label in (0, 1):
         some = named.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
-    # at most two samples of ids: the bound of the broadcast
-    rows = docs.join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("toxic", "text").mapInPandas(
-        _features(groups), "toxic int, features binary, swaps array<binary>").collect()
-    read = lambda x: np.frombuffer(x, np.int64)
-    return fit([read(r["features"]) for r in rows], np.array([r["toxic"] for r in rows], float),
-               [[read(s) for s in r["swaps"]] for r in rows])
+    # at most two samples of ids: the bound of the broadcast. Of a repeated id one text counts
+    texts = docs.join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = pinned(texts.select("toxic", "text").mapInPandas(_features(groups), "toxic int, features binary, swaps array<binary>"), "labelled")
+    total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < positive < total:
+        rate = (positive + 1) / (total + 2)
+        return {}, float(np.log(rate / (1 - rate)))
+    counted = rows.select("toxic", "features").mapInPandas(_counts, "feature bigint, seen bigint, toxic bigint")
+    counted = counted.groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    # chi-square against chance; features seen once or twice tell nothing
+    expected = F.col("seen") * F.lit(positive / total)
+    gain = (F.col("toxic") - expected) * (F.col("toxic") - expected) / expected
+    best = counted.where("seen >= 3").withColumn("gain", gain).where("gain > 8").orderBy(F.desc("gain"), "feature").limit(FEATURES)
+    chosen = np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int64))
+    if not len(chosen):
+        return {}, float(np.log(positive / (total - positive)))
+    kept = rows.mapInPandas(_places(chosen), "toxic int, places binary, gained array<binary>, lost array<binary>").collect()
+    read = lambda x: np.frombuffer(x, np.uint16)
+    weights, bias = fit([read(r["places"]) for r in kept], np.array([r["toxic"] for r in kept], float),
+                        [(read(g), read(x)) for r in kept for g, x in zip(r["gained"], r["lost"])], len(chosen))
+    return dict(zip(chosen.tolist(), weights.tolist())), bias
 
 
 def _score(weights: dict[int, float], bias: float):

@@ -221,6 +221,32 @@ def labelled(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
 
 
+def test_fit_reaches_the_dense_optimum():
+    """The loss, written out on dense matrices, has no slope where the fit ends."""
+    rng = np.random.default_rng(3)
+    n, width = 120, 9
+    dense = rng.random((n, width)) < 0.3
+    labels = (dense[:, 0] | (rng.random(n) < 0.15)).astype(float)
+    swaps = [(i, np.array([1]), np.array([2])) for i in range(0, n, 3)]
+    weights, bias = toxicity.fit([np.flatnonzero(r) for r in dense], labels, [(a, b) for _, a, b in swaps], width)
+    share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
+
+    def loss(v):
+        z = dense @ v[:-1] + v[-1]
+        change = np.array([v[a].sum() - v[b].sum() for _, a, b in swaps])
+        return (share * (np.logaddexp(0, z) - labels * z)).sum() + toxicity.RIDGE / 2 * (v[:-1] ** 2).sum() + (change ** 2).mean() * toxicity.COUNTERFACTUAL
+
+    best = np.append(weights, bias)
+    slope = [(loss(best + e) - loss(best - e)) / 2e-5 for e in 1e-5 * np.eye(width + 1)]
+    assert np.abs(slope).max() < 1e-3 and abs(weights[1] - weights[2]) < 0.2 < weights[0]
+
+
+def test_training_takes_one_text_of_an_id(spark):
+    docs, labels = labelled(spark)
+    twice = docs.unionByName(docs).unionByName(docs.where("doc_id % 7 = 0"))
+    assert toxicity.train(twice, labels) == toxicity.train(docs, labels)
+
+
 def test_toxicity(spark):
     docs, labels = labelled(spark)
     out = toxicity.score(docs, labels).join(labels, "doc_id").toPandas()
