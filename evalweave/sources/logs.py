@@ -135,16 +135,21 @@ class ByteLogReader(DataSourceReader):
         self.every = options.get("every", "false").lower() == "true"
         self.width = int(options.get("rangebytes", RANGE_BYTES))
         self.starting = options.get("startingoffsets", "earliest")
+        self.known: dict[str, tuple[int, int]] = {}  # size of each file, and where its lines end
 
     def sizes(self) -> dict[str, int]:
         """Where the complete lines of each file end. A snapshot may lie behind that, in a
         line that was still being written: as long as the file is no shorter than the
-        snapshot nothing was truncated, and there is nothing to read yet."""
+        snapshot nothing was truncated, and there is nothing to read yet. Only files
+        whose size has changed are opened."""
         given = {} if self.starting == "latest" else self.first_offsets()
-        ends = {}
-        for path, size in log_files(self.path, self.every).items():
-            end, start = _complete_end(path, size), given.get(path, 0)
+        ends, listed = {}, log_files(self.path, self.every)
+        for path, size in listed.items():
+            if self.known.get(path, (-1, 0))[0] != size:
+                self.known[path] = size, _complete_end(path, size)
+            end, start = self.known[path][1], given.get(path, 0)
             ends[path] = max(end, start) if size >= start else end
+        self.known = {path: self.known[path] for path in listed}
         return ends
 
     def first_offsets(self) -> dict[str, int]:
@@ -155,7 +160,8 @@ class ByteLogReader(DataSourceReader):
         return {p: int(n) for p, n in json.loads(self.starting).items()}
 
     def partitions(self) -> list[ByteRange]:
-        return _ranges(self.first_offsets(), self.sizes(), self.width)
+        """From one listing; tasks find where lines end."""
+        return _ranges(self.first_offsets(), log_files(self.path, self.every), self.width)
 
     def read(self, partition):
         # without any range, Spark asks once, for nothing

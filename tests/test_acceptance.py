@@ -137,3 +137,18 @@ def test_rolled_files_all_count(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"part-{i}.log").write_text(record(i, 4))
     assert batch(spark, tmp_path / "*.log", every="true") == (25.0, 3)
+
+
+def test_many_logs_cost_the_driver_one_listing(tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"{k}.log").write_text("one\ntwo")
+    opened = []
+    ends = logs._complete_end
+    monkeypatch.setattr(logs, "_complete_end", lambda path, size: opened.append(path) or ends(path, size))
+    parts = logs.ByteLogReader({"path": f"{tmp_path}/*.log", "every": "true"}).partitions()
+    assert len(parts) == 300 and not opened
+    assert [b.column("line").to_pylist() for p in parts[:2] for b in logs._read(p)] == [["one"], ["one"]]
+    stream = logs.ByteLogStream({"path": f"{tmp_path}/*.log", "every": "true"})
+    assert set(stream.latestOffset().values()) == {4} and len(opened) == 300
+    (tmp_path / "7.log").write_text("one\ntwo\n")
+    assert sorted(set(stream.latestOffset().values())) == [4, 8] and len(opened) == 301
