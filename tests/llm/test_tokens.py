@@ -331,3 +331,36 @@ def test_pipeline(spark):
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert got == {d: library.encode(t) for d, t in rows}
     assert 0 < len(got) < len(docs)
+
+
+def test_splits_are_weighted_medians_of_the_widest_dimension(spark):
+    """The tree, walked again in plain Python: at each node all points of the left half lie before
+    those of the right half, and no other cut between points comes nearer to its target."""
+    rng = random.Random(21)
+    bits = sharding.HASH_BITS * sharding.HASH_ROUNDS
+    points = [(float(rng.choice([0, 0, 0, 1, 5, rng.random() * 9])), rng.random(), rng.getrandbits(bits - 1), rng.randint(1, 40)) for _ in range(400)]
+    frame = spark.createDataFrame(points, "x0 double, x1 double, h bigint, weight bigint")
+    for shards in (1, 6, 16):
+        got = [tuple(r) for r in sharding.leaves(frame, shards, 2).select("x0", "x1", "h", "weight", "shard").collect()]
+        assert sorted(p[:4] for p in got) == sorted(points) and {p[4] for p in got} == set(range(shards))
+        spans = [max(p[d] for p in points) - min(p[d] for p in points) for d in (0, 1)]
+
+        def walk(first, count):
+            here = [p for p in got if first <= p[4] < first + count]
+            if count == 1:
+                return
+            wide = [(max(p[d] for p in here) - min(p[d] for p in here)) / spans[d] for d in (0, 1)]
+            d = max((0, 1), key=lambda k: (wide[k], -k))
+            half, place = first + count // 2, lambda p: (p[d], p[2])
+            left, right = [p for p in here if p[4] < half], [p for p in here if p[4] >= half]
+            assert max(map(place, left)) < min(map(place, right))
+            target = sum(p[3] for p in here) * (count // 2) / count
+            cuts, total = [], 0
+            for p in sorted(here, key=place):
+                cuts.append(abs(total - target))
+                total += p[3]
+            assert abs(sum(p[3] for p in left) - target) == min(cuts)
+            walk(first, count // 2)
+            walk(half, count - count // 2)
+
+        walk(0, shards)
