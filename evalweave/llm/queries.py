@@ -82,10 +82,17 @@ l_kept AS (SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dr
     FROM l_drop GROUP BY doc_id)"""
 
 
-@query("op7_line_dedup", "WITH " + LINES_CTE.replace("{docs}", "documents") +
-       " SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM l_kept")
+@query("op7_line_dedup", "WITH " + LINES_CTE.replace("{docs}", "documents") + """,
+l_runs AS (SELECT doc_id, min(pos) AS a, count(*) AS n FROM (
+    SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM l_drop WHERE NOT dropped) GROUP BY doc_id, g),
+l_maps AS (SELECT doc_id, string_agg((a - 1) || '+' || n, ' ' ORDER BY a) AS runs FROM l_runs GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256, coalesce(runs, '') AS keep_runs FROM l_kept LEFT JOIN l_maps USING (doc_id)""")
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return linededup.digest(table(spark, folder, "documents")).drop("keep")
+    """With each document's keep bitmap as runs of kept lines, ``first line+lines``."""
+    rows = linededup.digest(table(spark, folder, "documents"))
+    runs = F.array_join(F.transform("keep", lambda r: F.concat_ws("+", r["start"], r["length"])), " ")
+    whole = F.concat(F.lit("0+"), "n_lines")
+    return rows.withColumn("keep_runs", F.when(F.col("keep").isNull(), whole).otherwise(runs)).drop("keep")
 
 
 @query("op6_ngram_jaccard_join")
