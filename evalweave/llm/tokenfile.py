@@ -23,7 +23,6 @@ import re
 import struct
 import uuid
 import zlib
-from collections import ChainMap
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
@@ -48,8 +47,11 @@ CHECKSUM_FLAG = 0x80
 INDEX_MAGIC = 0x184D2A50
 FRAME_TOKENS = 1 << 16
 END_ID = 2
-#: Words an encoder remembers, twice: when full, the older half goes.
-REMEMBERED = 1 << 18
+#: Words an encoder remembers, twice: when full, the older half goes. About 200 bytes each.
+REMEMBERED = 1 << 19
+#: Letters beyond these may be lower-cased in other ways than Python does.
+MARKS = ".,;:!?*$#%&"
+UNUSUAL = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]").search
 MANIFEST = "part int, path string, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint, n_bytes bigint"
 
 
@@ -65,30 +67,41 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {"": b""}, {}
-        # letters that composing and lower-casing treat one by one, then marks that don't combine
+        # letters that composing and lower-casing treat one by one, and marks behind them, are encoded
+        # apart: the ends of words tell which ids are whose
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$#%&]*)").fullmatch
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words not met lately."""
-        parts, new, odd, kept = {}, set(), [], {}
+        learnt, parts, new, odd, known = {}, [], set(), [], self.known
         for w in words:
             ids = self.older.get(w)
             if ids is not None:
-                kept[w] = ids
-            elif m := self.plain(w):
-                parts[w] = (m[1].lower(), m[2])
-                new.update(x for x in parts[w] if x not in self.known)
+                learnt[w] = ids
+                continue
+            letters = w.rstrip(MARKS)
+            if letters.isalpha() and (letters.isascii() or not UNUSUAL(letters)):
+                if len(letters) < len(w):
+                    marks = w[len(letters):]
+                    parts.append((w, letters, marks))
+                    if marks not in known:
+                        new.add(marks)
+                if letters not in known:
+                    new.add(letters)
             else:
                 odd.append(w)
-        again = {x: self.older[x] for x in new if x in self.older}
-        learnt = kept | again | self._encode(list(new - again.keys()), odd)
-        for w, (letters, marks) in parts.items():
-            learnt[w] = (learnt.get(letters) or self.known[letters]) + (learnt.get(marks) or self.known[marks])
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {"": b""}, self.known
+        for x in [x for x in new if x in self.older]:
+            learnt[x] = self.older[x]
+        learnt |= self._encode([x.lower() for x in new if x not in learnt], odd)
+        for x in new:
+            if x not in learnt:
+                learnt[x] = learnt[x.lower()]
+        for w, letters, marks in parts:
+            learnt[w] = (learnt.get(letters) or known[letters]) + (learnt.get(marks) or known[marks])
+        if len(known) > REMEMBERED:
+            self.known, self.older = {"": b""}, known
         self.known.update((w, x) for w, x in learnt.items() if len(w) <= 64)
         return learnt
 
@@ -109,18 +122,22 @@ class Encoder:
             out |= {w: struct.pack(f"<{len(e)}I", *e.ids) for w, e in zip(odd, found)}
         return out
 
+    def words(self, text: str | None) -> list[str]:
+        """Lower-cased first, as the tokenizer does, so that fewer words are new."""
+        text = text or ""
+        text = text.lower() if text.isascii() or not UNUSUAL(text) else text
+        return text.replace("\n", " ").split(" ")
+
     def many(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; what is new to all of them is learnt at once."""
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*words).difference(self.known)
-        if not new:
-            return [b"".join(map(self.known.__getitem__, w)) for w in words]
-        here = self.known
-        learnt = self._learn(new)
-        if here is self.known and new <= here.keys():
-            return [b"".join(map(here.__getitem__, w)) for w in words]
-        both = ChainMap(learnt, here)
-        return [b"".join(map(both.__getitem__, w)) for w in words]
+        words = [self.words(t) for t in texts]
+        # each different word is looked up once in what is remembered, all others in these few
+        every = set().union(*words)
+        known = self.known
+        here = {w: known[w] for w in every if w in known}
+        if len(here) < len(every):
+            here |= self._learn(every.difference(here))
+        return [b"".join(map(here.__getitem__, w)) for w in words]
 
     def __call__(self, text: str | None) -> bytes:
         return self.many([text])[0]
