@@ -7,10 +7,11 @@ import tracemalloc
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalweave.llm import components, decontam, linededup, nearjoin, quality
 from tests.llm.helpers import (
-    SCHEMA, ascii_low, awkward, awkward_rows, blank_words, brute_components, clashing, empty)
+    CLASHING, SCHEMA, ascii_low, awkward, awkward_rows, blank_words, brute_components, clashing, empty, folder_of)
 
 
 def order(rows):
@@ -336,3 +337,25 @@ def test_alignment():
     assert (round(score, 6), first, span, matched) == (0.75, 0, 6, 5)
     score, first, span, matched = decontam.align([b"z", b"a", b"b", b"d", b"e", b"f"], item)
     assert (round(score, 6), first, span, matched) == (0.75, 1, 5, 5)
+
+
+def test_pipeline_on_awkward_documents(spark, tmp_path):
+    """Nulls, empty and long texts, copies, repeated rows and clashing columns, end to end."""
+    import corpus_pipeline
+
+    rng = random.Random(30)
+    item = " ".join(f"q{rng.randrange(10**6)}" for _ in range(40))
+    own = " ".join(f"z{rng.randrange(10**6)}" for _ in range(200))
+    rows = awkward_rows() + [(300, f"{own[:700]} {item}", "en", "a", 1), (301, " ".join(f"y{k}" for k in range(30_000)), "en", "a", 1),
+                             (None, " ".join(f"g{k}" for k in range(90)), "en", "a", 1), (302, own, "en", "a", 1), (302, own, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    folder = folder_of(tmp_path, documents=docs.withColumns({c: F.lit(c) for c in CLASHING}),
+                       benchmark=spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id bigint, text string"))
+    got = corpus_pipeline.run(spark, folder).collect()
+    # 2 and a row without an id lose their only line to 1 and stay, empty; 3 is a near copy, 300
+    # holds the item, 9 repeats itself, 4 to 8 and 10 to 12 are short
+    assert {r["doc_id"] for r in got} == {1, 2, 2**53 + 1, 301, 302, None}
+    assert {r["doc_id"] for r in got if not r["ids"]} == {2, None}
+    assert sum(r["doc_id"] == 302 for r in got) == 1
+    none = folder_of(tmp_path / "none", documents=docs.limit(0), benchmark=spark.createDataFrame([], "item_id bigint, text string"))
+    assert corpus_pipeline.run(spark, none).count() == 0
