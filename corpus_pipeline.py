@@ -2,6 +2,15 @@
 
 Each stage works on all that its predecessor kept, and is written as Parquet before the
 next one reads it.
+
+Nulls: a document without text fails the quality rules and goes; one without an id takes
+part in every stage, loses its repeated lines to documents with an id, and stays only where
+no document with an id is its near copy. Empty texts and texts under fifty words go; a
+document whose lines all stand in earlier ones stays, empty. Very long texts are treated
+whole. Ties: of near copies the smallest id stays, then the smallest hash of the text, then of
+all columns. Repeated rows are near copies of each other, so one stays. An empty table gives an
+empty result. Other columns of ``documents`` pass through, whatever their names, until the
+last stage.
 """
 
 from __future__ import annotations
