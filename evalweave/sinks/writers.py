@@ -66,6 +66,12 @@ def write_summary(rows: DataFrame, path: str, fields: Sequence[str] | None = Non
     rows.write.mode("overwrite").json(f"{path}/json")
 
 
+def write_packed(texts: DataFrame, file_path: Column, text: str, path: str) -> None:
+    """Texts that would be a small file each, as lines of few files, with the path that each
+    would have had. The readers take them with ``packed``."""
+    texts.select(F.col(text).alias("value"), file_path.alias("file_path")).write.mode("overwrite").json(path)
+
+
 def write_result_groups(cases: DataFrame, details: DataFrame, path: str) -> None:
     """Case summaries and details by (dataset_type, input_len, pfx).
 

@@ -29,6 +29,15 @@ def _stem() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), r"\.[^./]*$", "")
 
 
+def whole_texts(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """(value, columns of the folders' names, file_path): each file as one text. A file costs
+    its listing and its opening, however short it is, so ``packed`` files hold many texts,
+    as ``writers.write_packed`` leaves them."""
+    if packed:
+        return spark.read.schema("value string, file_path string").json(path)
+    return spark.read.text(path, wholetext=True).select("*", "_metadata.file_path")
+
+
 def in_file_order(rows: DataFrame) -> DataFrame:
     """Add ``ord``: file, block and line, a unique key that sorts as the rows lie in their
     files. It costs no shuffle; what needs a dense number makes one of it."""
@@ -254,8 +263,10 @@ def case_rows(files: DataFrame, text: str) -> DataFrame:
     return rows.select(*others, case.alias("c")).select(*others, "c.*")
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    return case_rows(spark.read.text(path, wholetext=True), "value")
+def read_cases(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """Cases of each file, or of each text of ``packed`` files, which keep its ``file_path``."""
+    texts = whole_texts(spark, path, packed)
+    return case_rows(texts if packed else texts.drop("file_path"), "value")
 
 
 def decoded_chunks(chunks: DataFrame) -> DataFrame:

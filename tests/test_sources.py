@@ -1,6 +1,7 @@
 """Readers on small hand-made files."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +13,14 @@ from evalweave.operators import joins as J
 from evalweave.operators import ordering as O
 from evalweave.operators import sets as ST
 from evalweave.plans.prompt_sets import multiturn_chats
+from evalweave.queries import QUERIES
+from evalweave.sinks import writers as WR
 from evalweave.sources import files as S
 
 
+READ_CASES = S.read_cases
+
+
 def put(path, value):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(value if isinstance(value, str) else json.dumps(value))
@@ -172,6 +178,31 @@ def test_cases(spark, tmp_path):
     assert [r.key for r in ranked.orderBy("rank").collect()] == ["2", "3", "4", "5", "6", "7", "8", "10"]
 
 
+def test_packed_cases_are_those_of_files(spark, tmp_path):
+    """Of 40 documents, no 40 files are written or opened."""
+    docs = {f"run={k}/cases.json": json.dumps({"a": f"gsm:{k}-8-1-0.5", "b": {"in": k, "out": 2, "id": "x\ny"}, "c": 7}, indent=1) for k in range(39)}
+    docs["run=39/cases.json"] = '["8-8-1-0", {"in": 1'
+    for name, doc in docs.items():
+        put(tmp_path / "files" / name, doc)
+    df = spark.createDataFrame(list(docs.items()), "name string, doc string").repartition(2)
+    WR.write_packed(df, F.col("name"), "doc", str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed").glob("*.json"))) == 2
+    packed = S.read_cases(spark, str(tmp_path / "packed"), packed=True)
+    packed = packed.withColumn("run", F.regexp_extract("file_path", "run=([0-9]+)/", 1).cast("int"))
+    files = S.read_cases(spark, str(tmp_path / "files"))
+    assert len(rows(files)) == 117 and rows(files) == rows(packed.select(files.columns))
+
+
+def test_query_writes_few_files_for_many_cases(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "read_cases", lambda spark, path, **how: seen.append(path) or READ_CASES(spark, path, **how))
+    suppliers = spark.range(300).select(F.col("id").alias("s_suppkey"))
+    suppliers.coalesce(3).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = QUERIES["read_cases"](spark, str(tmp_path))
+    assert (got.count(), got.select("s_suppkey").distinct().count()) == (900, 300)
+    assert len(list(Path(seen[0].removeprefix("file:")).rglob("part-*"))) <= 3
+
+
 def test_chunk_log_ends_at_done(spark, tmp_path):
     def data(**delta):
         return "data: " + json.dumps({"choices": [{"delta": delta}]})
