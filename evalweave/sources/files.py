@@ -21,12 +21,12 @@ PROBLEM = "question_id string, question_title string, platform string, difficult
 PROBLEM_REQUIRED = ["question_id", "question_title", "platform", "difficulty", "contest_date"]
 
 
-def _run_dir() -> Column:
-    return F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "")
+def _run_dir(path: str = "_metadata.file_path") -> Column:
+    return F.regexp_replace(F.col(path), r"/[^/]*$", "")
 
 
-def _stem() -> Column:
-    return F.regexp_replace(F.col("_metadata.file_path"), r"\.[^./]*$", "")
+def _stem(path: str = "_metadata.file_path") -> Column:
+    return F.regexp_replace(F.col(path), r"\.[^./]*$", "")
 
 
 def whole_texts(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
@@ -126,8 +126,10 @@ def common_entries(text: str) -> Column:
     return F.flatten(F.transform(F.map_entries(metrics), entries))
 
 
-def read_common_metrics(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select("value", _run_dir().alias("run_dir"), _stem().alias("stem"))
+def read_common_metrics(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """Metrics of each file, or of each text of ``packed`` files, with their directory and stem."""
+    texts = whole_texts(spark, path, packed)
+    files = texts.select("value", _run_dir("file_path").alias("run_dir"), _stem("file_path").alias("stem"))
     return files.select("run_dir", "stem", F.explode(common_entries("value")).alias("e")).select(
         "run_dir", "stem", "e.*")
 

@@ -18,7 +18,7 @@ from evalweave.sinks import writers as WR
 from evalweave.sources import files as S
 
 
-READ_CASES = S.read_cases
+READ_CASES, READ_COMMON = S.read_cases, S.read_common_metrics
 
 
 def put(path, value):
@@ -203,6 +203,28 @@ def test_query_writes_few_files_for_many_cases(spark, tmp_path, monkeypatch):
     assert len(list(Path(seen[0].removeprefix("file:")).rglob("part-*"))) <= 3
 
 
+def test_packed_metrics_are_those_of_files(spark, tmp_path):
+    docs = {f"r{k}/m.{k}.json": json.dumps({"Total Requests": {"total": k, "other": None}, "Empty": {}}, indent=1) for k in range(30)}
+    for name, doc in docs.items():
+        put(tmp_path / "files" / name, doc)
+    df = spark.createDataFrame(list(docs.items()), "name string, doc string").repartition(2)
+    WR.write_packed(df, F.concat(F.lit(f"file:{tmp_path}/files/"), "name"), "doc", str(tmp_path / "packed"))
+    packed, files = S.read_common_metrics(spark, str(tmp_path / "packed"), packed=True), S.read_common_metrics(spark, f"{tmp_path}/files/*")
+    assert packed.columns == files.columns and packed.count() == 90
+    assert sorted(map(str, files.collect())) == sorted(map(str, packed.collect()))
+
+
+def test_query_writes_few_files_for_many_users(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "read_common_metrics", lambda spark, path, **how: seen.append(path) or READ_COMMON(spark, path, **how))
+    events = spark.range(600).select(F.col("id").alias("event_id"), (F.col("id") % 300).alias("user_id"))
+    events.coalesce(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["read_common_metrics"](spark, str(tmp_path))
+    assert (got.count(), got.select("user_id").distinct().count()) == (1200, 300)
+    folder = Path(seen[0].removeprefix("file:").rstrip("*"))
+    assert len(list(folder.rglob("part-*"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_chunk_log_ends_at_done(spark, tmp_path):
     def data(**delta):
         return "data: " + json.dumps({"choices": [{"delta": delta}]})
