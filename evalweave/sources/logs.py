@@ -4,7 +4,8 @@ Spark's file stream tracks files, not bytes: lines appended to a file it has see
 are lost to it, and its text reader returns a last line that is still being
 written. This source keeps ``{file: byte}`` as its offset, ends at the last line
 feed, and starts over when a file has become shorter than its offset. New bytes
-are cut into ranges, so that executors share even a single large file.
+are cut into ranges, so that executors share even a single large file, and a range is read
+a block at a time.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from evalweave.functions.metrics import log_counter
 
 SCHEMA = "path string, pos bigint, line string"
 RANGE_BYTES = 32 << 20
+BLOCK_BYTES = 1 << 18
 TAIL_BYTES = 1 << 16
 RANK_LOG = C.LATEST_RANK_LOG
 
@@ -98,37 +100,50 @@ def _ranges(start: dict[str, int], end: dict[str, int], width: int) -> list[Byte
     return parts
 
 
-def _read(part: ByteRange) -> Iterator[pa.RecordBatch]:
-    """Lines that begin inside the range; a line across its end is finished."""
-    fs, inner = _fs(part.path)
-    with fs.open_input_file(inner) as f:
-        back = 1 if part.start > part.first else 0
-        f.seek(part.start - back)
-        data = f.read(part.end - part.start + back)
-        pos = part.start - back
-        if back:  # up to the first line feed belongs to the range before
-            cut = data.find(b"\n") + 1
-            if cut == 0:
-                return
-            data, pos = data[cut:], pos + cut
-        while data and not data.endswith(b"\n"):
-            more = f.read(TAIL_BYTES)
-            if not more:
-                break
-            at = more.find(b"\n")
-            data += more if at < 0 else more[: at + 1]
-    lines = data.split(b"\n")[:-1]
-    if not lines:
-        return
-    places = []
+def _lines(path: str, pos: int, data: bytes) -> pa.RecordBatch:
+    """Whole lines, of which the first begins at ``pos``."""
+    lines, places = data.split(b"\n")[:-1], []
     for line in lines:
         places.append(pos)
         pos += len(line) + 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([part.path] * len(lines)), pa.array(places, pa.int64()),
+    return pa.RecordBatch.from_arrays(
+        [pa.array([path] * len(lines)), pa.array(places, pa.int64()),
          pa.array([x.decode("utf-8", "ignore") for x in lines])], names=["path", "pos", "line"])
 
 
+def _read(part: ByteRange) -> Iterator[pa.RecordBatch]:
+    """Lines that begin inside the range; a line across its end is finished. No more than a
+    block and the line that it breaks off in is held at a time."""
+    fs, inner = _fs(part.path)
+    with fs.open_input_file(inner) as f:
+        # up to the first line feed belongs to the range before
+        begun = part.start <= part.first
+        pos = part.start if begun else part.start - 1
+        f.seek(pos)
+        left, held = part.end - pos, []
+        while left > 0 or held:
+            block = f.read(min(left, BLOCK_BYTES) if left > 0 else TAIL_BYTES)
+            if not block:  # the line is still being written
+                return
+            if left <= 0:  # behind the range only the end of the open line counts
+                block = block[:block.find(b"\n") + 1] or block
+            left -= len(block)
+            if not begun:
+                cut = block.find(b"\n") + 1
+                pos += cut or len(block)
+                if not cut:
+                    continue
+                begun, block = True, block[cut:]
+            cut = block.rfind(b"\n") + 1
+            if cut:
+                data = b"".join([*held, block[:cut]])
+                yield _lines(part.path, pos, data)
+                pos += len(data)
+                held, block = [], block[cut:]
+            if block:
+                held.append(block)
+
+
 class ByteLogReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]

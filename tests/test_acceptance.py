@@ -1,6 +1,7 @@
 """Golden cases of token-weighted acceptance, read in batch and as a stream."""
 
 import os
+import random
 
 import pytest
 
@@ -152,3 +153,32 @@ def test_many_logs_cost_the_driver_one_listing(tmp_path, monkeypatch):
     assert set(stream.latestOffset().values()) == {4} and len(opened) == 300
     (tmp_path / "7.log").write_text("one\ntwo\n")
     assert sorted(set(stream.latestOffset().values())) == [4, 8] and len(opened) == 301
+
+
+def read_ranges(path, size, width, first=0):
+    parts = logs._ranges({str(path): first}, {str(path): size}, width)
+    return [(b["pos"].to_pylist(), b["line"].to_pylist()) for p in parts for b in logs._read(p)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 16, 1 << 18])
+def test_blocks_of_a_range_do_not_matter(log, monkeypatch, block):
+    monkeypatch.setattr(logs, "BLOCK_BYTES", block)
+    monkeypatch.setattr(logs, "TAIL_BYTES", max(1, block // 2))
+    r = random.Random(block)
+    for end in ("\n", "", "open"):
+        data = ("\n".join("é" * r.choice([0, 0, 1, 2, 9, 40]) for _ in range(60)) + end).encode()
+        log.write_bytes(data)
+        starts = [0] + [i + 1 for i, c in enumerate(data) if c == 10]
+        for first in (0, starts[7], starts[7] + 1):
+            want = [(first, data[first:].split(b"\n")[0])] + [(a, data[a:].split(b"\n")[0]) for a in starts if a > first]
+            want = [(a, x.decode("utf-8", "ignore")) for a, x in want if data.find(b"\n", a) >= 0]
+            for width in (1, 7, 64, 1 << 20):
+                got = [x for places, lines in read_ranges(log, len(data), width, first) for x in zip(places, lines)]
+                assert got == want, (end, first, width)
+
+
+def test_a_range_is_never_held_as_a_whole(log):
+    log.write_text(record(3, 4) * 60_000 + "x" * 5_000_000 + "\n" + record(1, 2))
+    batches = read_ranges(log, log.stat().st_size, logs.RANGE_BYTES)
+    assert sum(len(lines) for _, lines in batches) == 60_002
+    assert sorted(sum(map(len, lines)) for _, lines in batches)[-2] <= logs.BLOCK_BYTES
