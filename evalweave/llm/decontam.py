@@ -216,7 +216,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         "text is not null").distinct()
     texts = pinned(every.select("text").distinct().withColumn("item_key", F.sha2("text", 256)), "items")
     grams = pinned(texts.mapInPandas(_item_grams, "gram bigint, item_key string, at int, item_words int"), "item-grams")
-    bits = grams.select("gram").mapInPandas(_filters, "bits binary").coalesce(1).mapInPandas(_merge, "bits binary").first()
+    bits = grams.select("gram").mapInPandas(_filters, "bits binary").repartition(1).mapInPandas(_merge, "bits binary").first()
     shared = spark.sparkContext.broadcast(zlib.decompress(bits[0]) if bits else bytes(1 << FILTER_BITS - 3))
 
     # ids travel as text: pandas would round large integers next to nulls
@@ -248,6 +248,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     # repeated rows are told apart, as each counts
     passages = holders.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "text", "found").mapInPandas(
         _passages, f"{PLACE}, lo long, passage binary")
+    # else each task would hold two Python workers, and all later steps share them out
+    passages = pinned(passages, "passages")
     named = measured(texts.select(F.col("item_key").alias("k"), F.col("text").alias("item_text")))
     aligned = passages.join(named, passages["item_key"] == named["k"]).drop("k").mapInPandas(
         _align, f"{PLACE}, score double, first_word long, span_words long, matched_words long")

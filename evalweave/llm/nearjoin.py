@@ -84,7 +84,7 @@ def _classes(words: int):
             if len(seen) > 1 << 20:
                 seen.clear()
             yield pd.DataFrame({"doc_id": batch["doc_id"], "sig": sigs, "n": [len(s) for s in sets], "sketch": None})
-        yield pd.DataFrame({"doc_id": [None], "sig": [None], "n": [-1], "sketch": [zlib.compress(sketch.tobytes(), 1)]})
+        yield pd.DataFrame({"doc_id": [None], "sig": [None], "n": [-1], "sketch": [zlib.compress(sketch, 1)]})
     return run
 
 
@@ -93,12 +93,27 @@ def _add(sketch: np.ndarray, bins: np.ndarray) -> None:
     sketch[at] += count.astype(np.uint32)
 
 
+def _unpacked(packed: bytes) -> Iterator[np.ndarray]:
+    """Counts of a sketch, a megabyte at a time."""
+    unpack = zlib.decompressobj()
+    while not unpack.eof:
+        if piece := unpack.decompress(packed, 1 << 20):
+            yield np.frombuffer(piece, np.uint32)
+        packed = unpack.unconsumed_tail
+
+
 def _sum_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(1 << SKETCH_BITS, np.uint64)
+    """Counts end at the largest they can hold."""
+    total = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
         for x in batch["sketch"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
-    yield pd.DataFrame({"sketch": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+            at = 0
+            for more in _unpacked(x):
+                part = total[at:at + len(more)]
+                part += more
+                part[part < more] = 2**32 - 1
+                at += len(more)
+    yield pd.DataFrame({"sketch": [zlib.compress(total, 1)]})
 
 
 def levels(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +291,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
         _classes(words), "doc_id string, sig binary, n bigint, sketch binary")
     classes = pinned(classes.withColumn("doc_id", F.col("doc_id").cast("bigint")), "classes")
     total = classes.where("n < 0").select("sketch").repartition(8).mapInPandas(_sum_sketches, "sketch binary")
-    total = total.coalesce(1).mapInPandas(_sum_sketches, "sketch binary").first()
+    total = total.repartition(1).mapInPandas(_sum_sketches, "sketch binary").first()
     sketch = np.frombuffer(zlib.decompress(total[0]), np.uint32) if total else np.zeros(1 << SKETCH_BITS, np.uint32)
     shared = spark.sparkContext.broadcast(levels(sketch))
 

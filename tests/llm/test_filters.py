@@ -4,8 +4,11 @@ import hashlib
 import random
 import time
 import tracemalloc
+import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +193,19 @@ def test_near_pair_that_shares_rare_tokens_only(spark):
     assert (1, 384 + 18, 0) in got and order(got) == order(brute_components(rows, 3, 90))
 
 
+def test_sketches_are_summed_a_piece_at_a_time():
+    parts = np.random.default_rng(1).integers(0, 9, (3, 1 << nearjoin.SKETCH_BITS), np.uint32)
+    parts[:2, 5], parts[:2, -1] = 2**32 - 1, 2**31  # beyond what a count holds
+    packed = [pd.DataFrame({"sketch": [zlib.compress(p.tobytes(), 1)]}) for p in parts]
+    want = np.minimum(parts.sum(axis=0, dtype=np.uint64), 2**32 - 1)
+    tracemalloc.start()
+    got = next(nearjoin._sum_sketches(iter(packed)))["sketch"][0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.frombuffer(zlib.decompress(got), np.uint32) == want).all()
+    assert peak < 2.5 * want.nbytes / 2  # the sum of 4 bytes a count, and what is sent
+
+
 def test_near_stage(spark):
     docs = clashing(spark)
     out = nearjoin.first_of_group(docs)
@@ -234,6 +250,14 @@ def test_leaks(spark):
     assert decontam.clean(docs, i).columns == docs.columns
 
 
+def test_no_task_of_leaks_holds_two_python_workers(spark):
+    items = spark.createDataFrame([(1, " ".join(f"i{k}" for k in range(30)))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, f"see {' '.join(f'i{j}' for j in range(30))} there {k}") for k in range(9)], "doc_id bigint, text string")
+    found = decontam.leaks(docs, items)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 9 and plan.count("MapInPandas") == 1
+
+
 def test_leaks_of_edited_copies(spark):
     """Exact copies must not displace edited ones: all pairs against alignment of whole texts."""
     rng = random.Random(11)
