@@ -28,6 +28,9 @@ from evalweave.operators.joins import spread_join
 from evalweave.plans.prompt_sets import corpus_offsets, cut_and_join, repeated
 from evalweave.session import materialize
 
+#: Samples known so far are sent to all tasks up to this many; larger sides of joins are shuffled
+#: and merged, as levels that each just pass for small would all go through the driver.
+FEW = 1 << 12
 #: Tokens of one bucket; a bucket holds at most one text and one wanted token for each.
 BUCKET = 1 << 16
 
@@ -58,7 +61,7 @@ def successors(offsets: DataFrame, budget: int) -> DataFrame:
 def _joined(first: DataFrame, second: DataFrame) -> DataFrame:
     """Links of ``first`` followed by links of ``second``."""
     then = second.select(F.col("node").alias("__at"), F.col("next").alias("__next"), F.col("laps").alias("__laps"))
-    return first.join(then, F.col("next") == F.col("__at")).select(
+    return first.join(then.hint("merge"), F.col("next") == F.col("__at")).select(
         "node", F.col("__next").alias("next"), (F.col("laps") + F.col("__laps")).alias("laps"))
 
 
@@ -71,12 +74,13 @@ def sample_starts(links: DataFrame, n_samples: int | None = None) -> DataFrame:
     while (1 << len(levels)) < n_samples if n_samples is not None else not level.where("node = 0").isEmpty():
         levels.append(level)
         reached = level.select("next").unionByName(origin).distinct().withColumnRenamed("next", "__r")
-        level = materialize(_joined(level.join(reached, F.col("node") == F.col("__r"), "left_semi"), level))
+        level = materialize(_joined(level.join(reached.hint("merge"), F.col("node") == F.col("__r"), "left_semi"), level))
     none = F.lit(0).cast("bigint")
     found = origin.select(none.alias("sample"), F.col("next").alias("node"), none.alias("laps"))
     for k in reversed(range(len(levels))):
         step = levels[k].select(F.col("node").alias("__at"), "next", F.col("laps").alias("more"))
-        later = found.join(step, F.col("node") == F.col("__at")).select(
+        few = 1 << (len(levels) - 1 - k) <= FEW  # each level doubles the samples, at most
+        later = found.hint("broadcast" if few else "merge").join(step, F.col("node") == F.col("__at")).select(
             (F.col("sample") + (1 << k)).alias("sample"), F.col("next").alias("node"), (F.col("laps") + F.col("more")).alias("laps"))
         found = materialize(found.unionByName(later))
     return found if n_samples is None else found.where(F.col("sample") < n_samples)
@@ -86,12 +90,12 @@ def _members(offsets: DataFrame, links: DataFrame, starts: DataFrame, key: str,
     """(node, key, offset, n_tokens): the texts of a sample that begins at ``node``."""
     total = offsets.agg(F.max("total")).scalar()
     until = F.col("next") + F.col("laps") * total
-    spans = materialize(starts.select("node").distinct().join(links, "node").select(
+    spans = materialize(starts.select("node").distinct().join(links.hint("merge"), "node").select(
         "node", (until if cycled else F.least(until, total)).alias("until")))
     furthest = spans.agg(F.coalesce(F.max("until"), F.lit(0))).scalar()
     texts = repeated(offsets, key, furthest).select("*", F.floor(F.col("at") / budget).alias("bucket"))
     covered = spans.select("*", _cover(F.col("node"), F.col("until"), budget).alias("bucket"))
-    return texts.join(covered, "bucket").where((F.col("at") >= F.col("node")) & (F.col("at") < F.col("until"))).select(
+    return texts.join(covered.hint("merge"), "bucket").where((F.col("at") >= F.col("node")) & (F.col("at") < F.col("until"))).select(
         "node", key, (F.col("at") - F.col("node")).alias("offset"), "n_tokens")
 
 

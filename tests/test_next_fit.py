@@ -105,3 +105,20 @@ def test_no_task_holds_a_few_texts_that_make_all_samples(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {(r.sample, r.k) for r in rows} == {(i, i % 10) for i in range(20_000)}
+
+
+def test_levels_do_not_go_through_the_driver(spark, monkeypatch):
+    """Joins of levels are shuffled; only a bounded number of samples is broadcast."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df)
+    materialize = NF.materialize
+    monkeypatch.setattr(NF, "materialize", kept)
+    monkeypatch.setattr(NF, "FEW", 2)
+    sizes = [3, 5, 2, 7] * 10
+    got = NF.pack_next_fit(offsets(spark, sizes), "k", 6, 25)
+    assert sorted(map(tuple, got.collect())) == walk(sizes, 6, 25)
+    assert sum("BroadcastHashJoin" in p for p in plans) <= 2
+    assert any("SortMergeJoin" in p for p in plans)
